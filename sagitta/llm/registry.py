@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sharding, warc
+from . import bpe, sharding, warc
 
-_MODULES = (sharding, warc)
+_MODULES = (bpe, sharding, warc)
 
 
 def queries():

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding, warc
+from . import bpe, decontaminate, sharding, topk, warc
 
-_MODULES = (bpe, sharding, warc)
+_MODULES = (decontaminate, sharding, bpe, warc, topk)
 
 
 def queries():

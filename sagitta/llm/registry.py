@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, sharding, topk, warc
+from . import bpe, decontaminate, jaccard, langid, sharding, topk, warc
 
-_MODULES = (decontaminate, sharding, bpe, warc, langid, topk)
+_MODULES = (decontaminate, sharding, bpe, warc, langid, topk, jaccard)
 
 
 def queries():

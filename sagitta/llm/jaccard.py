@@ -22,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup_join, table, written
+from .common import HOT_SHARE, lookup_join, table, written
 
 #: The sketch: counters, and in how many parts they are summed.
 COUNTERS, PARTS = 1 << 20, 64
+#: Bits of the filter that keeps texts without a candidate from being hashed for verification (it only saves work).
+FILTER_BITS = 1 << 26
 #: Sets of one key that are all paired; shingles of a set up to which frequent tokens are combined.
 ALL_PAIRS, COMBINED = 8, 150
 #: Bytes hashed at once.
@@ -137,23 +139,52 @@ def _described(width: int):
     return run
 
 
-def _summed(sketches: DataFrame) -> np.ndarray:
-    """All counters, added up in rounds of 64 partitions at most, so that no task gets more."""
+def _combined(parts: DataFrame, either: bool) -> dict[int, bytes]:
+    """For each chunk of ``part, chunk, counts`` the sum of all partitions' counters (first 32, then 64 bits), or the bits
+    that either has: in rounds of 64 partitions at most, so that no task gets more."""
 
     def add(key, rows):
-        total = np.sum([np.frombuffer(x, np.uint64 if len(x) == 8 * COUNTERS // PARTS else np.uint32).astype(np.uint64) for x in rows.column("counts").to_pylist()], axis=0, dtype=np.uint64)
+        found = rows.column("counts").to_pylist()
+        if either:
+            total = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in found])
+        else:
+            total = np.sum([np.frombuffer(x, np.uint64 if len(x) == 8 * COUNTERS // PARTS else np.uint32).astype(np.uint64) for x in found], axis=0, dtype=np.uint64)
         return pa.table({"part": [key[0].as_py()], "chunk": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    left = sketches.agg(F.max("part")).collect()[0][0]
+    left = parts.agg(F.max("part")).collect()[0][0]
     if left is None:
-        return np.zeros(COUNTERS, np.uint64)
+        return {}
     while True:
-        sketches = sketches.withColumn("part", F.shiftright("part", 6)).groupBy("part", "chunk").applyInArrow(add, "part long, chunk int, counts binary")
+        parts = parts.withColumn("part", F.shiftright("part", 6)).groupBy("part", "chunk").applyInArrow(add, "part long, chunk int, counts binary")
         left //= 64
         if left == 0:
-            break
-    found = {r["chunk"]: np.frombuffer(r["counts"], np.uint64) for r in sketches.collect()}
-    return np.concatenate([found[i] for i in range(PARTS)])
+            return {r["chunk"]: r["counts"] for r in parts.collect()}
+
+
+def _summed(sketches: DataFrame) -> np.ndarray:
+    found = _combined(sketches, False)
+    return np.concatenate([np.frombuffer(found[i], np.uint64) for i in range(PARTS)]) if found else np.zeros(COUNTERS, np.uint64)
+
+
+def _bits_of(ids: np.ndarray) -> list[np.ndarray]:
+    mixed = _mix(ids.view(np.uint64))
+    return [(mixed >> np.uint64(s)) % np.uint64(FILTER_BITS) for s in (0, 29)]
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS bits, as a bool for each, of the one column of ``ids``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for b in batches:
+            for at in _bits_of(b.column(0).to_numpy()):
+                bits[at] = True
+        n = TaskContext.get().partitionId()
+        if bits.any():
+            yield _named("part chunk counts", pa.array([n] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([np.packbits(x).tobytes() for x in bits.reshape(PARTS, -1)], pa.binary()))
+
+    found = _combined(written(ids.mapInArrow(run, "part long, chunk int, counts binary")), True)
+    return np.concatenate([np.frombuffer(found[i], np.uint8) for i in range(PARTS)]) if found else np.zeros(FILTER_BITS // 8, np.uint8)
 
 
 def token_classes(counts: np.ndarray) -> np.ndarray:
@@ -319,18 +350,28 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).groupBy("sig").agg(F.count(F.lit(1)).alias("w"))
         wanted = written(wanted.join(nodes, "sig").select("sig", "rep", "w"))
-        texts = rows.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("text")
+        bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select("rep")))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in _slices(batches):
+                near = np.ones(b.num_rows, bool)
+                for at in _bits_of(b.column("doc_id").to_numpy()):
+                    near &= (bits.value[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
+                b = b.filter(pa.array(near))
                 found = [s for s in shingle_sets(_texts(b), width) if len(s)]
                 yield _named("sig tokens", pa.array([signature(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()))
 
-        known = written(texts.mapInArrow(sets, "sig long, tokens binary").dropDuplicates(["sig"]).join(wanted.select("sig", "w"), "sig"))
-        n = pairs.count()
-        a = lookup_join(pairs, known.select(F.col("sig").alias("a"), F.col("tokens").alias("set_a"), "w"), "a", "w", n).drop("w")
-        both = lookup_join(a, known.select(F.col("sig").alias("b"), F.col("tokens").alias("set_b"), "w"), "b", "w", n).drop("w")
-        return written(both.mapInArrow(_verified(percent), "a long, b long"))
+        known = written(rows.where("doc_id is not null").mapInArrow(sets, "sig long, tokens binary"))
+        hot = written(wanted.where(F.col("w") > max(1000, pairs.count() // HOT_SHARE)).select("sig"))
+
+        def attach(left: DataFrame, key: str, name: str) -> DataFrame:
+            """The set of the node in ``key``: of hot nodes (HOT_SHARE at most) by broadcast, of others by a shuffle."""
+            of = known.select(F.col("sig").alias(key), F.col("tokens").alias(name))
+            hot_key = F.broadcast(hot.select(F.col("sig").alias(key)))
+            return left.join(F.broadcast(of.join(hot_key, key).dropDuplicates([key])), key).unionByName(left.join(hot_key, key, "left_anti").join(of, key))
+
+        both = attach(attach(pairs, "a", "set_a"), "b", "set_b")
+        return written(both.mapInArrow(_verified(percent), "a long, b long").distinct())
 
     links = verify(pairs)
     labels = components(links)

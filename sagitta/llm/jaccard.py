@@ -393,6 +393,15 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     return done.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their own columns, whose id is the smallest of its component; of repeated ids one row.
+
+    Rows without an id link with nothing and stay, as do rows without words."""
+    found = jaccard_components(docs, width, percent, id_col, text_col)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all ``documents`` at 4-word shingles and a similarity of 0.85."""
     return jaccard_components(table(spark, sf_dir, "documents"))

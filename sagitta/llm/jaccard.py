@@ -30,6 +30,8 @@ COUNTERS, PARTS = 1 << 20, 64
 FILTER_BITS = 1 << 26
 #: Sets of one key that are all paired; shingles of a set up to which frequent tokens are combined.
 ALL_PAIRS, COMBINED = 8, 150
+#: Sets of a block, of which two meet in a task.
+BLOCK = 64
 #: Bytes hashed at once.
 _AT_ONCE = 1 << 20
 
@@ -302,6 +304,32 @@ def _verified(percent: int):
     return run
 
 
+def _links_across(percent: int):
+    """All links between sets of different labels in one table of ``sig, label, tokens``."""
+
+    def run(rows):
+        sig, label = rows.column("sig").to_numpy(), rows.column("label").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]
+        size = np.array([len(s) for s in sets])
+        tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
+        shared = np.zeros((len(sets), len(sets)), np.int64)
+        who = np.repeat(np.arange(len(sets)), size)
+        # products of 0/1 matrices over some tokens at a time: a fixed amount of memory
+        order = np.argsort(at, kind="stable")
+        at, who = at[order], who[order]
+        step = max(1, (1 << 24) // max(1, len(sets)))
+        for lo in range(0, len(tokens), step):
+            a, z = np.searchsorted(at, [lo, lo + step])
+            part = np.zeros((len(sets), min(step, len(tokens) - lo)), np.float32)
+            part[who[a:z], at[a:z] - lo] = 1
+            shared += np.rint(part @ part.T).astype(np.int64)
+        near = (100 * shared >= percent * (size[:, None] + size[None] - shared)) & (label[:, None] < label[None])
+        i, j = np.nonzero(near)
+        return pa.table({"a": np.minimum(sig[i], sig[j]), "b": np.maximum(sig[i], sig[j])})
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` of every node of ``edges(a, b)``: the smallest node reachable. Alternating large and small stars;
     hot centres are looked up by broadcast, so that no node's edges meet in one task."""
@@ -348,20 +376,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     big = found.where("b is null").select("key", F.col("a").alias("sig"), "n").unionByName(at_hot.select("key", "sig", "n")).distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).groupBy("sig").agg(F.count(F.lit(1)).alias("w"))
-        wanted = written(wanted.join(nodes, "sig").select("sig", "rep", "w"))
-        bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select("rep")))
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _slices(batches):
-                near = np.ones(b.num_rows, bool)
-                for at in _bits_of(b.column("doc_id").to_numpy()):
-                    near &= (bits.value[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
-                b = b.filter(pa.array(near))
-                found = [s for s in shingle_sets(_texts(b), width) if len(s)]
-                yield _named("sig tokens", pa.array([signature(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()))
-
-        known = written(rows.where("doc_id is not null").mapInArrow(sets, "sig long, tokens binary"))
+        wanted = written(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).groupBy("sig").agg(F.count(F.lit(1)).alias("w")))
+        known = whole_sets(wanted)
         hot = written(wanted.where(F.col("w") > max(1000, pairs.count() // HOT_SHARE)).select("sig"))
 
         def attach(left: DataFrame, key: str, name: str) -> DataFrame:
@@ -373,16 +389,55 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
         both = attach(attach(pairs, "a", "set_a"), "b", "set_b")
         return written(both.mapInArrow(_verified(percent), "a long, b long").distinct())
 
+    def whole_sets(wanted: DataFrame) -> DataFrame:
+        """``sig, tokens`` of the nodes ``wanted(sig)`` (and of a few others, by chance of the filter), hashed again from their texts."""
+        bits = docs.sparkSession.sparkContext.broadcast(id_filter(nodes.join(wanted.select("sig"), "sig", "left_semi").select("rep")))
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _slices(batches):
+                near = np.ones(b.num_rows, bool)
+                for at in _bits_of(b.column("doc_id").to_numpy()):
+                    near &= (bits.value[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
+                found = [s for s in shingle_sets(_texts(b.filter(pa.array(near))), width) if len(s)]
+                yield _named("sig tokens", pa.array([signature(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()))
+
+        return written(rows.where("doc_id is not null").mapInArrow(sets, "sig long, tokens binary"))
+
+    def across_components(members: DataFrame) -> DataFrame:
+        """Links between ``members(sig, n, label, cluster)`` of one cluster and different labels.
+
+        Members are dealt into blocks of about BLOCK sets, a large component's into blocks of its own; every two blocks
+        of a cluster meet in one task, but for two of one component. So each set is sent once for each block that it
+        meets, not for each pair, and no task gets more than two blocks.
+        """
+        n = members.count()
+        by_label = written(members.groupBy("label").agg(F.count(F.lit(1)).alias("w")))
+        own = F.col("w") >= BLOCK
+        dealt = lookup_join(members, by_label, "label", "w", n).select("sig", "n", "label", "cluster", own.alias("own"), F.xxhash64(own, F.when(own, F.col("label")).otherwise(F.col("cluster"))).alias("g"))
+        dealt = written(dealt)
+        groups = written(dealt.groupBy("g").agg(F.first("cluster").alias("c"), F.first("own").alias("o"), F.count(F.lit(1)).alias("w")))
+        of = F.ceil(F.col("w") / BLOCK).cast("long")
+        placed = written(lookup_join(dealt, groups, "g", "w", n).select("sig", "n", "label", "g", F.pmod(F.xxhash64("sig"), of).alias("s")))
+        blocks = groups.select("c", "o", "g", F.explode(F.sequence(F.lit(0).cast("long"), of - 1)).alias("s"))
+        x, y = blocks.alias("x"), blocks.alias("y")
+        first = (F.col("x.g") < F.col("y.g")) | (F.col("x.g") == F.col("y.g")) & (F.col("x.s") <= F.col("y.s")) & ~F.col("x.o")
+        met = x.join(y, (F.col("x.c") == F.col("y.c")) & first).withColumn("task", F.xxhash64("x.g", "x.s", "y.g", "y.s"))
+        sides = written(met.select(F.col("x.g").alias("g"), F.col("x.s").alias("s"), "task").unionByName(met.select(F.col("y.g").alias("g"), F.col("y.s").alias("s"), "task")).distinct())
+        known = whole_sets(members.select("sig"))
+        rows_of = sides.join(placed, ["g", "s"]).join(known.dropDuplicates(["sig"]), "sig").select("task", "sig", "label", "tokens")
+        return written(rows_of.groupBy("task").applyInArrow(_links_across(percent), "a long, b long").distinct())
+
     links = verify(pairs)
     labels = components(links)
     split = written(big.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")))
     mixed = split.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     left = written(split.join(mixed, "key", "left_semi"))
-    x, y = left.alias("x"), left.alias("y")
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))).where(near(F.col("x.n"), F.col("y.n"))).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        labels = components(links.unionByName(verify(more)))
+    if left.limit(1).count():
+        # clusters of what shares such keys
+        firsts = written(left.groupBy("key").agg(F.min("sig").alias("b"), F.count(F.lit(1)).alias("w")))
+        clusters = components(lookup_join(left, firsts, "key", "w", left.count()).select(F.col("sig").alias("a"), "b"))
+        members = left.select("sig", "n", "label").distinct().join(clusters.select(F.col("node").alias("sig"), F.col("label").alias("cluster")), "sig")
+        labels = components(links.unionByName(across_components(written(members))))
 
     joined = nodes.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     joined = written(joined)

@@ -98,8 +98,9 @@ def licence_labels(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     base = BASE if base is None else base
     vocabulary = sorted({w for t in templates for w in t.words})
     rows = docs.select(F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("words")).withColumn("known", F.array_intersect("words", _strings(vocabulary)))
+    # explode_outer: a plain explode would filter on the array first, and make it twice
     df = dict.fromkeys(vocabulary, 0)
-    df |= {r[0]: r[1] for r in rows.select(F.explode("known").alias("w")).groupBy("w").count().collect()}
+    df |= {r[0]: r[1] for r in rows.select(F.explode_outer("known").alias("w")).groupBy("w").count().where("w is not null").collect()}
 
     entry = lambda i, t: F.struct(F.lit(i).alias("t"), F.lit(t.label).alias("label"), _strings(t.words).alias("words"), _strings(t.key).alias("key"), F.lit(t.key_at).alias("key_at"), F.lit(t.need).alias("need"))
     all_templates = F.array(*[entry(i, t) for i, t in enumerate(templates)])

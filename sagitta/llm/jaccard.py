@@ -2,12 +2,13 @@
 
 1. Every text becomes a set of 64-bit shingle hashes; equal sets are one node (its signature). A sketch of fixed size
    counts all shingles, and sorts them into a rare class and frequent classes.
-2. Tokens are ordered rare first. Two sets that link share at least two tokens among the first n - ceil(t n) + 2 of
-   each. Rare ones among these are indexed alone, frequent ones (a set has such only where nearly all its tokens are
-   frequent) in combinations of two; in sets above COMBINED, whose combinations would number thousands, alone.
+2. Tokens are ordered rare first. Two sets that link share at least k tokens among the first n - ceil(t n) + k of each,
+   with k = 2 + n / ONE_MORE. Rare ones among these are indexed alone, frequent ones (a set has such only where nearly
+   all its tokens are frequent) in combinations of two; in sets above COMBINED, whose combinations would number
+   thousands, alone. So two sets that link meet in k - 1 keys at least.
 3. Up to ALL_PAIRS sets of a key are paired with each other. More are paired with the key's centre, the set with fewest
    rare tokens; after the links found are closed, the key's sets in different components are paired exhaustively, so
-   nothing is dropped and a group of near copies never yields all its pairs.
+   nothing is dropped and a group of near copies never yields all its pairs. Pairs that meet too seldom are no candidates.
 4. Candidates are verified on their whole sets; components come from alternating stars of minima.
 """
 
@@ -29,9 +30,9 @@ COUNTERS, PARTS = 1 << 20, 64
 #: Bits of the filter that keeps texts without a candidate from being hashed for verification (it only saves work).
 FILTER_BITS = 1 << 26
 #: Sets of one key that are all paired; shingles of a set up to which frequent tokens are combined.
-ALL_PAIRS, COMBINED = 8, 150
-#: Sets of a block, of which two meet in a task.
-BLOCK = 64
+ALL_PAIRS, COMBINED = 16, 150
+#: For so many shingles more, two sets must share one more key (their prefixes are longer by as much).
+ONE_MORE = 32
 #: Bytes hashed at once.
 _AT_ONCE = 1 << 20
 
@@ -209,7 +210,7 @@ def _prefix_keys(width: int, percent: int, classes):
                     continue
                 seen.add(sig)
                 kind = of[s % np.uint64(COUNTERS)]
-                first = np.lexsort((s, kind))[: n - (percent * n + 99) // 100 + 2]
+                first = np.lexsort((s, kind))[: n - (percent * n + 99) // 100 + 2 + n // ONE_MORE]
                 rare, often = s[first][kind[first] == 0], s[first][kind[first] > 0]
                 keys = [rare]
                 if n == 1:
@@ -232,25 +233,24 @@ def _prefix_keys(width: int, percent: int, classes):
     return run
 
 
-def _pairs_of_runs(percent: int):
-    """From rows sorted by key and rare: pairs of up to ALL_PAIRS sets of a key; of more, pairs with the first, and rows of ``key`` for later rounds."""
+def _pairs_of_runs(percent: int, of_run):
+    """From rows sorted by key: what ``of_run`` makes of the whole runs of keys in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in _ended(batches):
             if b is not None:
-                cols = [b.column(x).to_numpy() for x in ("key", "sig", "n", "rare")]
+                cols = [b.column(x).to_numpy() for x in ("key", "sig", "n", "extra")]
                 cols = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols)]
                 if not len(cols[0]):
                     continue
-                full = np.searchsorted(cols[0], cols[0][-1]) if len(cols[0]) else 0
+                full = np.searchsorted(cols[0], cols[0][-1])
                 rest = [x[full:] for x in cols]
                 cols = [x[:full] for x in cols]
             else:
                 cols = rest
-            if cols is None or not len(cols[0]):
-                continue
-            yield from _of_runs(cols, percent)
+            if cols is not None and len(cols[0]):
+                yield from of_run(cols, percent)
 
     return run
 
@@ -260,33 +260,59 @@ def _ended(batches):
     yield None
 
 
+def _shared_keys(n):
+    """How many keys two sets of ``n`` shingles or more share at least if they link."""
+    return 1 + n // ONE_MORE
+
+
+def _pair_rows(sig, n, a, b, percent: int, star) -> pa.RecordBatch:
+    near = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+    a, b, star = a[near], b[near], star[near]
+    return _named("a b need star key n", pa.array(np.minimum(sig[a], sig[b])), pa.array(np.maximum(sig[a], sig[b])), pa.array(_shared_keys(np.minimum(n[a], n[b]))), pa.array(star), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()))
+
+
 def _of_runs(cols: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of up to ALL_PAIRS sets of a key; of more, pairs with its centre, and rows of ``key`` for the later round."""
     key, sig, n, rare = cols
     fresh = np.r_[True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])]
     if not fresh.all():
         key, sig, n, rare = (x[fresh] for x in (key, sig, n, rare))
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)])
-    a, b, big = [], [], []
+    a, b, star, big = [], [], [], []
     for r in np.unique(size[(size > 1) & (size <= ALL_PAIRS)]):
         start = first[size == r]
         i, j = np.triu_indices(r, 1)
         a.append((start[:, None] + i).ravel())
         b.append((start[:, None] + j).ravel())
+        star.append(np.zeros(len(a[-1]), bool))
     for start, r in zip(first[size > ALL_PAIRS], size[size > ALL_PAIRS]):
         centre = start + np.lexsort((sig[start : start + r], rare[start : start + r]))[0]
-        others = np.delete(np.arange(start, start + r), centre - start)
         a.append(np.full(r - 1, centre))
-        b.append(others)
+        b.append(np.delete(np.arange(start, start + r), centre - start))
+        star.append(np.ones(r - 1, bool))
         big.append(np.arange(start, start + r))
     if a:
-        a, b = np.concatenate(a), np.concatenate(b)
-        near = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-        a, b = a[near], b[near]
-        yield _named("a b key n", pa.array(np.minimum(sig[a], sig[b])), pa.array(np.maximum(sig[a], sig[b])), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()))
+        yield _pair_rows(sig, n, np.concatenate(a), np.concatenate(b), percent, np.concatenate(star))
     if big:
         big = np.concatenate(big)
-        yield _named("a b key n", pa.array(sig[big]), pa.nulls(len(big), pa.int64()), pa.array(key[big]), pa.array(n[big]))
+        none = pa.nulls(len(big), pa.int64())
+        yield _named("a b need star key n", pa.array(sig[big]), none, none, pa.nulls(len(big), pa.bool_()), pa.array(key[big]), pa.array(n[big]))
+
+
+def _across_labels(cols: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a key's sets whose components differ."""
+    key, sig, n, label = cols
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    for start, end in zip(first, np.r_[first[1:], len(key)]):
+        for i in range(start, end - 1):
+            j = np.arange(i + 1, end)
+            j = j[label[j] != label[i]]
+            if len(j):
+                yield _pair_rows(sig, n, np.full(len(j), i), j, percent, np.zeros(len(j), bool))
+
+
+_PAIRS = "a long, b long, need long, star boolean, key long, n long"
 
 
 def _verified(percent: int):
@@ -304,32 +330,6 @@ def _verified(percent: int):
     return run
 
 
-def _links_across(percent: int):
-    """All links between sets of different labels in one table of ``sig, label, tokens``."""
-
-    def run(rows):
-        sig, label = rows.column("sig").to_numpy(), rows.column("label").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]
-        size = np.array([len(s) for s in sets])
-        tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
-        shared = np.zeros((len(sets), len(sets)), np.int64)
-        who = np.repeat(np.arange(len(sets)), size)
-        # products of 0/1 matrices over some tokens at a time: a fixed amount of memory
-        order = np.argsort(at, kind="stable")
-        at, who = at[order], who[order]
-        step = max(1, (1 << 24) // max(1, len(sets)))
-        for lo in range(0, len(tokens), step):
-            a, z = np.searchsorted(at, [lo, lo + step])
-            part = np.zeros((len(sets), min(step, len(tokens) - lo)), np.float32)
-            part[who[a:z], at[a:z] - lo] = 1
-            shared += np.rint(part @ part.T).astype(np.int64)
-        near = (100 * shared >= percent * (size[:, None] + size[None] - shared)) & (label[:, None] < label[None])
-        i, j = np.nonzero(near)
-        return pa.table({"a": np.minimum(sig[i], sig[j]), "b": np.maximum(sig[i], sig[j])})
-
-    return run
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` of every node of ``edges(a, b)``: the smallest node reachable. Alternating large and small stars;
     hot centres are looked up by broadcast, so that no node's edges meet in one task."""
@@ -366,14 +366,17 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
 
     keys = rows.where("doc_id is not null").select("text").mapInArrow(_prefix_keys(width, percent, classes), "key long, sig long, n long, rare long, frequent boolean")
     keys = written(keys)
-    found = written(keys.where("not frequent").select("key", "sig", "n", "rare").repartition("key").sortWithinPartitions("key", "sig").mapInArrow(_pairs_of_runs(percent), "a long, b long, key long, n long"))
+    found = written(keys.where("not frequent").select("key", "sig", "n", F.col("rare").alias("extra")).repartition("key").sortWithinPartitions("key", "sig").mapInArrow(_pairs_of_runs(percent, _of_runs), _PAIRS))
     hot = keys.where("frequent")
     centres = written(hot.groupBy("key").agg(F.min(F.struct("rare", "sig", "n")).alias("c"), F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count(F.lit(1)).alias("w")).where("lo <> hi").select("key", F.col("c.sig").alias("centre"), F.col("c.n").alias("cn"), "w"))
     at_hot = written(lookup_join(hot, centres, "key", "w", hot.count()).where("centre is not null"))
     near = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
-    stars = at_hot.where((F.col("sig") != F.col("centre")) & near(F.col("n"), F.col("cn"))).select(F.least("sig", "centre").alias("a"), F.greatest("sig", "centre").alias("b"))
-    pairs = written(found.where("b is not null").select("a", "b").unionByName(stars).distinct())
-    big = found.where("b is null").select("key", F.col("a").alias("sig"), "n").unionByName(at_hot.select("key", "sig", "n")).distinct()
+    need = lambda x, y: 1 + F.floor(F.least(x, y) / ONE_MORE)
+    stars = at_hot.where((F.col("sig") != F.col("centre")) & near(F.col("n"), F.col("cn"))).select(F.least("sig", "centre").alias("a"), F.greatest("sig", "centre").alias("b"), need(F.col("n"), F.col("cn")).alias("need"), F.lit(True).alias("star"))
+    # in how many keys two sets meet: exact where all sets of a key are paired, with centres only a hint
+    met = written(found.where("b is not null").select("a", "b", "need", "star").unionByName(stars).groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("times"), F.count_if(~F.col("star")).alias("sure")))
+    pairs = written(met.where("times >= need").select("a", "b"))
+    big = found.where("b is null").select("key", F.col("a").alias("sig"), "n", F.lit(False).alias("frequent")).unionByName(at_hot.select("key", "sig", "n", F.lit(True).alias("frequent"))).distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = written(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).groupBy("sig").agg(F.count(F.lit(1)).alias("w")))
@@ -403,41 +406,21 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
 
         return written(rows.where("doc_id is not null").mapInArrow(sets, "sig long, tokens binary"))
 
-    def across_components(members: DataFrame) -> DataFrame:
-        """Links between ``members(sig, n, label, cluster)`` of one cluster and different labels.
-
-        Members are dealt into blocks of about BLOCK sets, a large component's into blocks of its own; every two blocks
-        of a cluster meet in one task, but for two of one component. So each set is sent once for each block that it
-        meets, not for each pair, and no task gets more than two blocks.
-        """
-        n = members.count()
-        by_label = written(members.groupBy("label").agg(F.count(F.lit(1)).alias("w")))
-        own = F.col("w") >= BLOCK
-        dealt = lookup_join(members, by_label, "label", "w", n).select("sig", "n", "label", "cluster", own.alias("own"), F.xxhash64(own, F.when(own, F.col("label")).otherwise(F.col("cluster"))).alias("g"))
-        dealt = written(dealt)
-        groups = written(dealt.groupBy("g").agg(F.first("cluster").alias("c"), F.first("own").alias("o"), F.count(F.lit(1)).alias("w")))
-        of = F.ceil(F.col("w") / BLOCK).cast("long")
-        placed = written(lookup_join(dealt, groups, "g", "w", n).select("sig", "n", "label", "g", F.pmod(F.xxhash64("sig"), of).alias("s")))
-        blocks = groups.select("c", "o", "g", F.explode(F.sequence(F.lit(0).cast("long"), of - 1)).alias("s"))
-        x, y = blocks.alias("x"), blocks.alias("y")
-        first = (F.col("x.g") < F.col("y.g")) | (F.col("x.g") == F.col("y.g")) & (F.col("x.s") <= F.col("y.s")) & ~F.col("x.o")
-        met = x.join(y, (F.col("x.c") == F.col("y.c")) & first).withColumn("task", F.xxhash64("x.g", "x.s", "y.g", "y.s"))
-        sides = written(met.select(F.col("x.g").alias("g"), F.col("x.s").alias("s"), "task").unionByName(met.select(F.col("y.g").alias("g"), F.col("y.s").alias("s"), "task")).distinct())
-        known = whole_sets(members.select("sig"))
-        rows_of = sides.join(placed, ["g", "s"]).join(known.dropDuplicates(["sig"]), "sig").select("task", "sig", "label", "tokens")
-        return written(rows_of.groupBy("task").applyInArrow(_links_across(percent), "a long, b long").distinct())
-
     links = verify(pairs)
     labels = components(links)
     split = written(big.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")))
     mixed = split.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     left = written(split.join(mixed, "key", "left_semi"))
     if left.limit(1).count():
-        # clusters of what shares such keys
-        firsts = written(left.groupBy("key").agg(F.min("sig").alias("b"), F.count(F.lit(1)).alias("w")))
-        clusters = components(lookup_join(left, firsts, "key", "w", left.count()).select(F.col("sig").alias("a"), "b"))
-        members = left.select("sig", "n", "label").distinct().join(clusters.select(F.col("node").alias("sig"), F.col("label").alias("cluster")), "sig")
-        labels = components(links.unionByName(across_components(written(members))))
+        # every two sets of different components that meet in such keys, with how often they meet in all
+        rare_ones = left.where("not frequent").select("key", "sig", "n", F.col("label").alias("extra")).repartition("key").sortWithinPartitions("key", "sig").mapInArrow(_pairs_of_runs(percent, _across_labels), _PAIRS).select("a", "b", "need")
+        x, y = left.where("frequent").alias("x"), left.where("frequent").alias("y")
+        others = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))).where(near(F.col("x.n"), F.col("y.n"))).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"), need(F.col("x.n"), F.col("y.n")).alias("need"))
+        again = rare_ones.unionByName(others).groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("times"))
+        more = again.join(met.select("a", "b", "sure"), ["a", "b"], "left").where(F.col("times") + F.coalesce("sure", F.lit(0)) >= F.col("need")).select("a", "b")
+        more = written(more.join(pairs, ["a", "b"], "left_anti"))
+        if more.limit(1).count():
+            labels = components(links.unionByName(verify(more)))
 
     joined = nodes.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     joined = written(joined)

@@ -30,7 +30,7 @@ COUNTERS, PARTS = 1 << 20, 64
 #: Bits of the filter that keeps texts without a candidate from being hashed for verification (it only saves work).
 FILTER_BITS = 1 << 26
 #: Sets of one key that are all paired; shingles of a set up to which frequent tokens are combined.
-ALL_PAIRS, COMBINED = 16, 150
+ALL_PAIRS, COMBINED = 16, 64
 #: For so many shingles more, two sets must share one more key (their prefixes are longer by as much).
 ONE_MORE = 32
 #: Bytes hashed at once.
@@ -210,7 +210,7 @@ def _prefix_keys(width: int, percent: int, classes):
                     continue
                 seen.add(sig)
                 kind = of[s % np.uint64(COUNTERS)]
-                first = np.lexsort((s, kind))[: n - (percent * n + 99) // 100 + 2 + n // ONE_MORE]
+                first = np.lexsort((s, kind))[: _prefix_length(n, percent)]
                 rare, often = s[first][kind[first] == 0], s[first][kind[first] > 0]
                 keys = [rare]
                 if n == 1:
@@ -233,14 +233,14 @@ def _prefix_keys(width: int, percent: int, classes):
     return run
 
 
-def _pairs_of_runs(percent: int, of_run):
+def _pairs_of_runs(percent: int, of_run, names: str):
     """From rows sorted by key: what ``of_run`` makes of the whole runs of keys in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in _ended(batches):
             if b is not None:
-                cols = [b.column(x).to_numpy() for x in ("key", "sig", "n", "extra")]
+                cols = [b.column(x).to_numpy() for x in names.split()]
                 cols = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols)]
                 if not len(cols[0]):
                     continue
@@ -260,15 +260,23 @@ def _ended(batches):
     yield None
 
 
-def _shared_keys(n):
-    """How many keys two sets of ``n`` shingles or more share at least if they link."""
-    return 1 + n // ONE_MORE
+def _prefix_length(n, percent: int):
+    return n - (percent * n + 99) // 100 + 2 + n // ONE_MORE
 
 
-def _pair_rows(sig, n, a, b, percent: int, star) -> pa.RecordBatch:
+def _pair_rows(sig, n, rare, a, b, percent: int, star) -> pa.RecordBatch:
+    """``need``: in how many rare keys the two must meet to be candidates.
+
+    1 + n / ONE_MORE, unless both prefixes end in frequent tokens. Then these may be shared instead; but all rare tokens
+    of both are keys, so a set's unshared ones are known, and with fewer shared than ``least`` the union is too large.
+    """
     near = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
     a, b, star = a[near], b[near], star[near]
-    return _named("a b need star key n", pa.array(np.minimum(sig[a], sig[b])), pa.array(np.maximum(sig[a], sig[b])), pa.array(_shared_keys(np.minimum(n[a], n[b]))), pa.array(star), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()))
+    need = 1 + np.minimum(n[a], n[b]) // ONE_MORE
+    mixed = rare < _prefix_length(n, percent)
+    least = -((-percent * (n[a] + n[b])) // (100 + percent)) - np.minimum(n[a] - rare[a], n[b] - rare[b])
+    need = np.where(mixed[a] & mixed[b], np.minimum(need, np.maximum(1, least)), need)
+    return _named("a b need star key n rare", pa.array(np.minimum(sig[a], sig[b])), pa.array(np.maximum(sig[a], sig[b])), pa.array(need), pa.array(star), *[pa.nulls(len(a), pa.int64())] * 3)
 
 
 def _of_runs(cols: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
@@ -293,26 +301,28 @@ def _of_runs(cols: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
         star.append(np.ones(r - 1, bool))
         big.append(np.arange(start, start + r))
     if a:
-        yield _pair_rows(sig, n, np.concatenate(a), np.concatenate(b), percent, np.concatenate(star))
+        yield _pair_rows(sig, n, rare, np.concatenate(a), np.concatenate(b), percent, np.concatenate(star))
     if big:
         big = np.concatenate(big)
         none = pa.nulls(len(big), pa.int64())
-        yield _named("a b need star key n", pa.array(sig[big]), none, none, pa.nulls(len(big), pa.bool_()), pa.array(key[big]), pa.array(n[big]))
+        yield _named("a b need star key n rare", pa.array(sig[big]), none, none, pa.nulls(len(big), pa.bool_()), pa.array(key[big]), pa.array(n[big]), pa.array(rare[big]))
 
 
 def _across_labels(cols: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of a key's sets whose components differ."""
-    key, sig, n, label = cols
+    key, sig, n, rare, label = cols
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     for start, end in zip(first, np.r_[first[1:], len(key)]):
-        for i in range(start, end - 1):
-            j = np.arange(i + 1, end)
-            j = j[label[j] != label[i]]
-            if len(j):
-                yield _pair_rows(sig, n, np.full(len(j), i), j, percent, np.zeros(len(j), bool))
+        size, of = n[start:end], label[start:end]
+        for lo in range(0, end - start, 512):
+            other = of[lo : lo + 512, None] < of[None]
+            other &= 100 * np.minimum(size[lo : lo + 512, None], size[None]) >= percent * np.maximum(size[lo : lo + 512, None], size[None])
+            i, j = np.nonzero(other)
+            if len(i):
+                yield _pair_rows(sig, n, rare, start + lo + i, start + j, percent, np.zeros(len(i), bool))
 
 
-_PAIRS = "a long, b long, need long, star boolean, key long, n long"
+_PAIRS = "a long, b long, need long, star boolean, key long, n long, rare long"
 
 
 def _verified(percent: int):
@@ -366,17 +376,22 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
 
     keys = rows.where("doc_id is not null").select("text").mapInArrow(_prefix_keys(width, percent, classes), "key long, sig long, n long, rare long, frequent boolean")
     keys = written(keys)
-    found = written(keys.where("not frequent").select("key", "sig", "n", F.col("rare").alias("extra")).repartition("key").sortWithinPartitions("key", "sig").mapInArrow(_pairs_of_runs(percent, _of_runs), _PAIRS))
+    by_key = lambda rows, of_run, names: rows.select(*names.split()).repartition("key").sortWithinPartitions("key", "sig").mapInArrow(_pairs_of_runs(percent, of_run, names), _PAIRS)
+    found = written(by_key(keys.where("not frequent"), _of_runs, "key sig n rare"))
     hot = keys.where("frequent")
-    centres = written(hot.groupBy("key").agg(F.min(F.struct("rare", "sig", "n")).alias("c"), F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count(F.lit(1)).alias("w")).where("lo <> hi").select("key", F.col("c.sig").alias("centre"), F.col("c.n").alias("cn"), "w"))
+    centres = written(hot.groupBy("key").agg(F.min(F.struct("rare", "sig", "n")).alias("c"), F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count(F.lit(1)).alias("w")).where("lo <> hi").select("key", F.col("c.sig").alias("centre"), F.col("c.n").alias("cn"), F.col("c.rare").alias("cr"), "w"))
     at_hot = written(lookup_join(hot, centres, "key", "w", hot.count()).where("centre is not null"))
-    near = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
     need = lambda x, y: 1 + F.floor(F.least(x, y) / ONE_MORE)
-    stars = at_hot.where((F.col("sig") != F.col("centre")) & near(F.col("n"), F.col("cn"))).select(F.least("sig", "centre").alias("a"), F.greatest("sig", "centre").alias("b"), need(F.col("n"), F.col("cn")).alias("need"), F.lit(True).alias("star"))
+
+    def near(n, rare, m, more):
+        """Sizes fit, and the sets may link without a rare token in common (with one, they meet in a rare key)."""
+        return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (F.lit(100 + percent) * F.least(n - rare, m - more) >= F.lit(percent) * (n + m))
+
+    stars = at_hot.where((F.col("sig") != F.col("centre")) & near(F.col("n"), F.col("rare"), F.col("cn"), F.col("cr"))).select(F.least("sig", "centre").alias("a"), F.greatest("sig", "centre").alias("b"), need(F.col("n"), F.col("cn")).alias("need"), F.lit(True).alias("star"))
     # in how many keys two sets meet: exact where all sets of a key are paired, with centres only a hint
-    met = written(found.where("b is not null").select("a", "b", "need", "star").unionByName(stars).groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("times"), F.count_if(~F.col("star")).alias("sure")))
+    met = written(found.where("b is not null").select("a", "b", "need", "star").unionByName(stars).groupBy("a", "b").agg(F.min("need").alias("need"), F.count(F.lit(1)).alias("times"), F.count_if(~F.col("star")).alias("sure")))
     pairs = written(met.where("times >= need").select("a", "b"))
-    big = found.where("b is null").select("key", F.col("a").alias("sig"), "n", F.lit(False).alias("frequent")).unionByName(at_hot.select("key", "sig", "n", F.lit(True).alias("frequent"))).distinct()
+    big = found.where("b is null").select("key", F.col("a").alias("sig"), "n", "rare", F.lit(False).alias("frequent")).unionByName(at_hot.select("key", "sig", "n", "rare", F.lit(True).alias("frequent"))).distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = written(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).groupBy("sig").agg(F.count(F.lit(1)).alias("w")))
@@ -412,12 +427,13 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     mixed = split.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     left = written(split.join(mixed, "key", "left_semi"))
     if left.limit(1).count():
-        # every two sets of different components that meet in such keys, with how often they meet in all
-        rare_ones = left.where("not frequent").select("key", "sig", "n", F.col("label").alias("extra")).repartition("key").sortWithinPartitions("key", "sig").mapInArrow(_pairs_of_runs(percent, _across_labels), _PAIRS).select("a", "b", "need")
+        # every two sets of different components that meet in such keys: in rare ones, with how often they meet in all
+        again = by_key(left.where("not frequent"), _across_labels, "key sig n rare label").groupBy("a", "b").agg(F.min("need").alias("need"), F.count(F.lit(1)).alias("times"))
+        by_rare = again.join(met.select("a", "b", "sure"), ["a", "b"], "left").where(F.col("times") + F.coalesce("sure", F.lit(0)) >= F.col("need")).select("a", "b")
         x, y = left.where("frequent").alias("x"), left.where("frequent").alias("y")
-        others = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))).where(near(F.col("x.n"), F.col("y.n"))).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"), need(F.col("x.n"), F.col("y.n")).alias("need"))
-        again = rare_ones.unionByName(others).groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("times"))
-        more = again.join(met.select("a", "b", "sure"), ["a", "b"], "left").where(F.col("times") + F.coalesce("sure", F.lit(0)) >= F.col("need")).select("a", "b")
+        both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & near(F.col("x.n"), F.col("x.rare"), F.col("y.n"), F.col("y.rare")))
+        by_often = both.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"), need(F.col("x.n"), F.col("y.n")).alias("need")).groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("times")).where("times >= need").select("a", "b")
+        more = by_rare.unionByName(by_often).distinct()
         more = written(more.join(pairs, ["a", "b"], "left_anti"))
         if more.limit(1).count():
             labels = components(links.unionByName(verify(more)))

@@ -194,7 +194,8 @@ SQL |= {
     # up to three vertices: an acyclic member meets all conditions; the one closed class without has no source; open ones without are cut short
     "local_acyclicity": gen(f"SELECT {CM} AS mc_id, base AS is_banff, base AS is_louise, base AS is_p_prime FROM base WHERE len(r) <= 3", True),
     "provenance": gen(f"SELECT {CM} AS mc_id, coalesce(base::VARCHAR, 'unknown') AS banff, is_open AS infinite FROM base JOIN mc USING (r) WHERE len(r) <= 3", True),
-    "nation_components": "SELECT n_nationkey::BIGINT AS node, min(n_nationkey) OVER (PARTITION BY g)::BIGINT AS root FROM (SELECT n_nationkey, n_regionkey AS g FROM nation)",
+    "nation_components": """WITH RECURSIVE e AS (SELECT n_nationkey AS x, n_regionkey * 5 AS y FROM nation UNION SELECT n_regionkey * 5, n_nationkey FROM nation),
+g AS (SELECT n_nationkey AS node, n_nationkey AS y FROM nation UNION SELECT g.node, e.y FROM g JOIN e ON g.y = e.x) SELECT node::BIGINT AS node, min(y)::BIGINT AS root FROM g GROUP BY node""",
     "dynkin_seeds": "SELECT name, n::INTEGER AS n, matrix FROM (VALUES " + ", ".join(
         f"('{f}{n}', {n}, '{json.dumps([[(1 if i < j else -1) if ((abs(i - j) == 1 and not (f == 'D' and max(i, j) == n - 1)) or (f == 'D' and (min(i, j), max(i, j)) == (n - 3, n - 1))) else 0 for j in range(n)] for i in range(n)], separators=(',', ':'))}')"
         for f in "AD" for n in range(1 if f == "A" else 4, 6)) + ") t(name, n, matrix)",

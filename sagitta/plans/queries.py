@@ -86,7 +86,7 @@ def are_isomorphic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_quiver_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trade_quivers(spark, sf_dir).select("month", json_of(M()).alias("matrix"), mx.quiver_id(M()).alias("qmd_id"))
+    return trade_quivers(spark, sf_dir).withColumn("qmd_id", mx.quiver_id(M())).select("month", json_of(M()).alias("matrix"), "qmd_id")
 
 
 def join_events_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:

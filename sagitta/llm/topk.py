@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 SLICES, BLOCK, TILE = 4, 4096, 1024
+#: Below every score, and safe to negate.
+LOWEST = -(1 << 62)
 
 
 def quantised(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -104,7 +106,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
             for numbers, ids, slices, other in _tiles(batches, scale, sent.value):
                 total, near = sum(slices), np.zeros(other.shape, bool)
                 for s in slices:
-                    s = np.where(other, s, np.iinfo(np.int64).min)
+                    s = np.where(other, s, LOWEST)
                     top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
                     np.put_along_axis(near, top, True, axis=1)
                 q, c = np.nonzero(near & other)
@@ -113,7 +115,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
 
         order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
         ranked = candidates.mapInArrow(heads, "q long, vec_id long, score long").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
-        cutoff = np.full(len(block), np.iinfo(np.int64).min)
+        cutoff = np.full(len(block), LOWEST)
         for q, score in ranked.where(F.col("r") == k).select("q", "score").collect():
             cutoff[q] = score
         safe = spark.sparkContext.broadcast(cutoff)

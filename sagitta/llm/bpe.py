@@ -31,9 +31,9 @@ PLAIN = regex.compile(r"[\x21-\x7e\xa1-ʯΑ-ΡΤ-ρσ-ωА-я‐-‧‰-›€]*
 BLANK = regex.compile("[\t-\r \x85\xa0  -     　]+")
 CONTROL = regex.compile("[\x1c-\x1f]")
 #: Texts between white space that a worker remembers before it starts afresh.
-REMEMBERED = 300_000
-#: Prefixes of words up to so many symbols keep their states for the next word.
-SHARED = 9
+REMEMBERED = 200_000
+#: Prefixes of words up to so many symbols keep their states for the next word; so many are kept.
+SHARED, PREFIXES = 8, 60_000
 
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -256,9 +256,11 @@ class Vocabulary:
                 self.known_ids[c], self.known_text[c] = self.chunk(c)
             ids += map(self.known_ids.__getitem__, chunks)
             names += filter(None, map(self.known_text.__getitem__, chunks))
-            if max(len(self.known_ids), len(self.known_words), len(self.prefixes)) > REMEMBERED:
-                for known in (self.known_ids, self.known_text, self.known_words, self.prefixes):
+            if max(len(self.known_ids), len(self.known_words)) > REMEMBERED:
+                for known in (self.known_ids, self.known_text, self.known_words):
                     known.clear()
+            if len(self.prefixes) > PREFIXES:
+                self.prefixes.clear()
             if len(self.fits) > 10 * REMEMBERED:
                 self.fits.clear()
         return b"".join(ids), " ".join(names)

@@ -1,7 +1,8 @@
 """Exact Jaccard similarity join over word shingles, by token-combination prefixes.
 
 1. Every text becomes a set of 64-bit shingle hashes; equal sets are one node (its signature). A sketch of fixed size
-   counts all shingles, and sorts them into a rare class and frequent classes.
+   counts all shingles, and sorts them into a rare class and frequent classes; rare ones that more than ALL_PAIRS
+   prefixes turn out to hold are frequent, too (any order of tokens is right; this one keeps keys small).
 2. Tokens are ordered rare first. Two sets that link share at least k tokens among the first n - ceil(t n) + k of each,
    with k = 2 + n / ONE_MORE. Rare ones among these are indexed alone, frequent ones (a set has such only where nearly
    all its tokens are frequent) in combinations of two; in sets above COMBINED, whose combinations would number
@@ -27,7 +28,7 @@ from .common import HOT_SHARE, lookup_join, table, written
 
 #: The sketch: counters, and in how many parts they are summed.
 COUNTERS, PARTS = 1 << 20, 64
-#: Bits of the filter that keeps texts without a candidate from being hashed for verification (it only saves work).
+#: Bits of the filters of heavy tokens and of texts that are candidates (a filter's errors only cost work).
 FILTER_BITS = 1 << 26
 #: Sets of one key that are all paired; shingles of a set up to which frequent tokens are combined.
 ALL_PAIRS, COMBINED = 16, 64
@@ -174,6 +175,13 @@ def _bits_of(ids: np.ndarray) -> list[np.ndarray]:
     return [(mixed >> np.uint64(s)) % np.uint64(FILTER_BITS) for s in (0, 29)]
 
 
+def _in_filter(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    out = np.ones(len(ids), bool)
+    for at in _bits_of(ids):
+        out &= (bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1) == 1
+    return out
+
+
 def id_filter(ids: DataFrame) -> np.ndarray:
     """A Bloom filter of FILTER_BITS bits, as a bool for each, of the one column of ``ids``."""
 
@@ -197,11 +205,12 @@ def token_classes(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > least, 1 + np.floor(np.log2(np.maximum(counts, 1) / least)), 0).astype(np.uint8)
 
 
-def _prefix_keys(width: int, percent: int, classes):
-    """``key, sig, n, rare, frequent`` rows of each set that a partition holds first."""
+def _prefix_keys(width: int, percent: int, classes, heavy=None):
+    """``key, sig, n, rare, frequent`` rows of each set that a partition holds first. ``heavy``: a filter of tokens that are frequent, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, seen = classes.value, set()
+        bits = heavy.value if heavy else None
         for b in _slices(batches):
             out: list[tuple[np.ndarray, int, int, int, np.ndarray]] = []
             for s in shingle_sets(_texts(b), width):
@@ -210,6 +219,8 @@ def _prefix_keys(width: int, percent: int, classes):
                     continue
                 seen.add(sig)
                 kind = of[s % np.uint64(COUNTERS)]
+                if bits is not None:
+                    kind = np.maximum(kind, _in_filter(bits, s.view(np.int64)))
                 first = np.lexsort((s, kind))[: _prefix_length(n, percent)]
                 rare, often = s[first][kind[first] == 0], s[first][kind[first] > 0]
                 keys = [rare]
@@ -322,6 +333,13 @@ def _across_labels(cols: list[np.ndarray], percent: int) -> Iterator[pa.RecordBa
                 yield _pair_rows(sig, n, rare, start + lo + i, start + j, percent, np.zeros(len(i), bool))
 
 
+def _heavy_runs(cols: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
+    """The keys of more than ALL_PAIRS rows."""
+    first = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+    size = np.diff(np.r_[first, len(cols[0])])
+    yield _named("key", pa.array(cols[0][first[size > ALL_PAIRS]]))
+
+
 _PAIRS = "a long, b long, need long, star boolean, key long, n long, rare long"
 
 
@@ -374,9 +392,13 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     classes = docs.sparkSession.sparkContext.broadcast(token_classes(_summed(out.where("chunk is not null").select("part", "chunk", "counts"))))
     nodes = written(meta.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
 
-    keys = rows.where("doc_id is not null").select("text").mapInArrow(_prefix_keys(width, percent, classes), "key long, sig long, n long, rare long, frequent boolean")
-    keys = written(keys)
-    by_key = lambda rows, of_run, names: rows.select(*names.split()).repartition("key").sortWithinPartitions("key", "sig").mapInArrow(_pairs_of_runs(percent, of_run, names), _PAIRS)
+    by_key = lambda rows, of_run, names, schema=_PAIRS: rows.select(*names.split()).repartition("key").sortWithinPartitions(*names.split()[:2]).mapInArrow(_pairs_of_runs(percent, of_run, names), schema)
+    texts = rows.where("doc_id is not null").select("text")
+    key_rows = "key long, sig long, n long, rare long, frequent boolean"
+    # what the sketch can't tell from chance: tokens that many prefixes hold are frequent from here on
+    heavy = by_key(texts.mapInArrow(_prefix_keys(width, percent, classes), key_rows).where("not frequent"), _heavy_runs, "key", "key long")
+    heavy = docs.sparkSession.sparkContext.broadcast(id_filter(heavy))
+    keys = written(texts.mapInArrow(_prefix_keys(width, percent, classes, heavy), key_rows))
     found = written(by_key(keys.where("not frequent"), _of_runs, "key sig n rare"))
     hot = keys.where("frequent")
     centres = written(hot.groupBy("key").agg(F.min(F.struct("rare", "sig", "n")).alias("c"), F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count(F.lit(1)).alias("w")).where("lo <> hi").select("key", F.col("c.sig").alias("centre"), F.col("c.n").alias("cn"), F.col("c.rare").alias("cr"), "w"))
@@ -413,9 +435,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in _slices(batches):
-                near = np.ones(b.num_rows, bool)
-                for at in _bits_of(b.column("doc_id").to_numpy()):
-                    near &= (bits.value[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
+                near = _in_filter(bits.value, b.column("doc_id").to_numpy())
                 found = [s for s in shingle_sets(_texts(b.filter(pa.array(near))), width) if len(s)]
                 yield _named("sig tokens", pa.array([signature(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()))
 

@@ -31,9 +31,9 @@ PLAIN = regex.compile(r"[\x21-\x7e\xa1-ʯΑ-ΡΤ-ρσ-ωА-я‐-‧‰-›€]*
 BLANK = regex.compile("[\t-\r \x85\xa0  -     　]+")
 CONTROL = regex.compile("[\x1c-\x1f]")
 #: Texts between white space that a worker remembers before it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Prefixes of words up to so many symbols keep their states for the next word; so many are kept.
-SHARED, PREFIXES = 8, 60_000
+SHARED, PREFIXES = 9, 150_000
 
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -61,6 +61,8 @@ class Vocabulary:
         self.special: dict[str, int] = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.names = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
         self.chars = byte_chars()
+        #: symbols of each token
+        self.size = {i: len(t.removesuffix(WORD_END)) or len(t) for t, i in self.ids.items()}
         self.rank: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
@@ -72,8 +74,7 @@ class Vocabulary:
         self.fits: dict[int, bool] = {}
         self.prefixes: dict[str, tuple] = {}
         self.known_words: dict[str, tuple[bytes, str]] = {}
-        self.known_ids: dict[str, bytes] = {}
-        self.known_text: dict[str, str] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}
         self._automaton()
         self.split = regex.compile(SPLIT)
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -159,11 +160,11 @@ class Vocabulary:
         n, step, link, lengths, up, fits = len(s), self.step, self.link, self.length, self.up, self.fits
         for k in range(min(n - 1, SHARED), 0, -1):
             if found := self.prefixes.get(s[:k]):
-                state, length, last, start = found
-                last, start = [*last], [*start]
+                state, length, last = found
+                last = [*last]
                 break
         else:
-            k, state, length, last, start = 0, 0, 0, [-1], [0]
+            k, state, length, last = 0, 0, 0, [-1]
         for i in range(k + 1, n + 1):
             c = s[i - 1]
             while (to := step[state].get(c)) is None and state:
@@ -187,13 +188,12 @@ class Vocabulary:
                         break
                 at = up[at]
             last.append(found)
-            start.append(j)
             if i <= SHARED and i < n:
-                self.prefixes[s[:i]] = state, length, (*last,), (*start,)
+                self.prefixes[s[:i]] = state, length, (*last,)
         out, i = [], n
         while i:
             out.append(last[i])
-            i = start[i]
+            i -= self.size[last[i]]
         return out[::-1]
 
     def whole(self, t: int) -> bool:
@@ -227,9 +227,11 @@ class Vocabulary:
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
 
     def word(self, s: str) -> tuple[bytes, str]:
-        if (found := self.known_words.get(s)) is None:
+        # a word of ASCII in byte characters is itself, so it's also what a text's word of this form is
+        known = self.known if s.isascii() else self.known_words
+        if (found := known.get(s)) is None:
             ids = self.symbols(s)
-            found = self.known_words[s] = array("I", ids).tobytes(), " ".join(map(self.names.__getitem__, ids))
+            found = known[s] = array("I", ids).tobytes(), " ".join(map(self.names.__getitem__, ids))
         return found
 
     def chunk(self, chunk: str) -> tuple[bytes, str]:
@@ -252,16 +254,17 @@ class Vocabulary:
                 names.append(piece)
                 continue
             chunks = piece.split() if not CONTROL.search(piece) else BLANK.split(piece)
-            for c in {*chunks}.difference(self.known_ids):
-                self.known_ids[c], self.known_text[c] = self.chunk(c)
-            ids += map(self.known_ids.__getitem__, chunks)
-            names += filter(None, map(self.known_text.__getitem__, chunks))
-            if max(len(self.known_ids), len(self.known_words)) > REMEMBERED:
-                for known in (self.known_ids, self.known_text, self.known_words):
-                    known.clear()
+            for c in {*chunks}.difference(self.known):
+                self.known[c] = self.chunk(c)
+            found = [*map(self.known.__getitem__, chunks)]
+            ids += [x for x, _ in found]
+            names += [x for _, x in found if x]
+            if len(self.known) > REMEMBERED or len(self.known_words) > REMEMBERED // 3:
+                self.known.clear()
+                self.known_words.clear()
             if len(self.prefixes) > PREFIXES:
                 self.prefixes.clear()
-            if len(self.fits) > 10 * REMEMBERED:
+            if len(self.fits) > 5 * REMEMBERED:
                 self.fits.clear()
         return b"".join(ids), " ".join(names)
 

@@ -101,7 +101,7 @@ SQL = {
     "apply_permutation": ev(f"SELECT user_id, {js(relabel('m', '[3, 1, 4, 2]'))} AS relabeled FROM ev"),
     "canonical_form": ev(f"SELECT user_id, {js('c')} AS canonical FROM cf", PERM, CANON),
     "certificate": ev(f"SELECT user_id, sha256({js('c')}) AS certificate FROM cf", PERM, CANON),
-    "quiver_id": ev(f"SELECT user_id, {qid('c')} AS qmd_id FROM cf", PERM, CANON),
+    "quiver_id": ev(f"SELECT user_id, {qid('c')} AS quiver_id FROM cf", PERM, CANON),
     "mutation_class_id": ev(f"SELECT user_id, {qid('c', 'MC')} AS id_of_form FROM cf", PERM, CANON),
     "is_bipartite": ev(f"SELECT user_id, {BIP} AS is_bipartite FROM ev"),
     "is_abundant": ev(f"SELECT user_id, {ABU} AS is_abundant FROM ev"),
@@ -126,7 +126,7 @@ _flow = lambda i, j: "0" if i == j else f"greatest(-2, least(2, count(*) FILTER
 _FLOWS = "[" + ", ".join("[" + ", ".join(_flow(i, j) for j in range(4)) + "]" for i in range(4)) + "]"
 SQL["trade_quiver_ids"] = f"""WITH {PERM}, f AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, sn.n_regionkey AS i, cn.n_regionkey AS j FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
 JOIN nation cn ON cn.n_nationkey = c_nationkey JOIN nation sn ON sn.n_nationkey = s_nationkey), g AS (SELECT month, {_FLOWS} AS m FROM f GROUP BY month)
-SELECT month, {js('any_value(m)')} AS matrix, {qid(f"min({relabel('m', 'p')})")} AS qmd_id FROM g, perm WHERE n = 4 GROUP BY month"""
+SELECT month, {js('any_value(m)')} AS matrix, {qid(f"min({relabel('m', 'p')})")} AS quiver_id FROM g, perm WHERE n = 4 GROUP BY month"""
 
 #: The generated catalogue: labeled matrices, canonical forms, mutations, components of forms, orbits of representatives.
 GEN = f"""lab AS (SELECT 1 AS n, [[0]] AS m UNION ALL SELECT 2, [[0, a], [-a, 0]] FROM range(-2, 3) t(a)
@@ -181,12 +181,12 @@ SQL |= {
     "consistency_violations": "SELECT 'x' AS what, 'x' AS id WHERE false",
     "generated_gluing": "SELECT 0::BIGINT AS closed_closed, 0::BIGINT AS closed_open, 0::BIGINT AS open_open",
     "generation_summary": gen("SELECT len(r)::INTEGER AS n, count(*) FILTER (NOT is_open) AS closed, count(*) FILTER (is_open) AS open FROM mc GROUP BY 1"),
-    "labeling_counts": gen(f"SELECT {CQ} AS qmd_id, count(*) AS labeling_count FROM mem GROUP BY c"),
+    "labeling_counts": gen(f"SELECT {CQ} AS quiver_id, count(*) AS labeling_count FROM mem GROUP BY c"),
     "class_sizes": gen(f"SELECT {CM} AS mc_id, labeled_size, dq AS distinct_quiver_count FROM mc"),
     "class_openness": gen(f"SELECT {CM} AS mc_id, is_open FROM mc"),
-    "class_size": gen(f"SELECT {CQ} AS qmd_id, CASE WHEN NOT is_open THEN labeled_size END AS class_size FROM cls JOIN mc ON r = rep"),
+    "class_size": gen(f"SELECT {CQ} AS quiver_id, CASE WHEN NOT is_open THEN labeled_size END AS class_size FROM cls JOIN mc ON r = rep"),
     "frontier_size": gen(f"SELECT {CM} AS mc_id, frontier AS size_of_explored_frontier, frontier AS boundary FROM mc"),
-    "distinct_quivers": gen(f"SELECT {CM} AS mc_id, {CQ} AS qmd_id, {js('c')} AS matrix, count(*)::INTEGER AS labeling_count, c = r AS is_canonical FROM mem GROUP BY r, c"),
+    "distinct_quivers": gen(f"SELECT {CM} AS mc_id, {CQ} AS quiver_id, {js('c')} AS matrix, count(*)::INTEGER AS labeling_count, c = r AS is_canonical FROM mem GROUP BY r, c"),
     "class_mutation_acyclic_base": gen(f"SELECT {CM} AS mc_id, base FROM base", True),
     "resolve_mutation_acyclic": gen(f"SELECT {CM} AS mc_id, ma AS is_mutation_acyclic FROM ma", True),
     "dynkin_reference": gen(f"SELECT name, {qid('rep', 'MC')} AS mc_id FROM types", True),
@@ -224,8 +224,8 @@ SQL["gluing_counters"] = f"""WITH RECURSIVE {_RAW}, {_OVER}, g AS (SELECT DISTIN
 SELECT (SELECT count(*) FROM over_ WHERE NOT a_open AND NOT b_open) AS closed_closed, (SELECT count(*) FROM over_ WHERE a_open <> b_open) AS closed_open, (SELECT count(*) - count(DISTINCT r) FROM (SELECT x, min(y) AS r FROM g GROUP BY x)) AS open_open"""
 
 #: The joined listing.
-VIEW = f", v AS MATERIALIZED (SELECT q.*, {CQ} AS qmd_id, {CM} AS mc_id, is_open, labeled_size, dq, frontier, dynkin_type, ma FROM q JOIN mc ON r = rep LEFT JOIN dyn USING (r) LEFT JOIN ma USING (r))"
-ITEM = "qmd_id, len(c)::INTEGER AS num_vertices, dynkin_type, rt AS representation_type, max_edge, acyc AS is_acyclic, connected AS is_connected, bip AS is_bipartite, is_open, CASE WHEN NOT is_open THEN labeled_size END AS class_size"
+VIEW = f", v AS MATERIALIZED (SELECT q.*, {CQ} AS quiver_id, {CM} AS mc_id, is_open, labeled_size, dq, frontier, dynkin_type, ma FROM q JOIN mc ON r = rep LEFT JOIN dyn USING (r) LEFT JOIN ma USING (r))"
+ITEM = "quiver_id, len(c)::INTEGER AS num_vertices, dynkin_type, rt AS representation_type, max_edge, acyc AS is_acyclic, connected AS is_connected, bip AS is_bipartite, is_open, CASE WHEN NOT is_open THEN labeled_size END AS class_size"
 
 
 def view(select: str) -> str:
@@ -237,27 +237,27 @@ _WHERE = {
     "dynkin_type": "dynkin_type = '{}'", "representation_type": "rt = '{}'", "orbit_min": "labeled_size >= {}", "orbit_max": "labeled_size <= {}",
 }
 for _name, _filters in FILTERS.items():
-    SQL[_name] = view("SELECT qmd_id, lc AS labeling_count FROM v WHERE " + " AND ".join(_WHERE[k].format(x) for k, x in _filters.items()))
+    SQL[_name] = view("SELECT quiver_id, lc AS labeling_count FROM v WHERE " + " AND ".join(_WHERE[k].format(x) for k, x in _filters.items()))
 _LABELINGS = "SELECT v.*, m AS labeling FROM v LEFT JOIN (SELECT r AS lr, m, c AS lc_ FROM mem) l ON l.lr = v.rep AND l.lc_ = v.c"
 SQL |= {
     "join_quiver_class": view(f"SELECT {ITEM}, {js('c')} AS exchange_matrix, mc_id FROM v"),
-    "list_quivers": view(f"SELECT {ITEM}, {js('c')} AS exchange_matrix, mc_id FROM v WHERE len(c) = 3 AND acyc ORDER BY len(c), qmd_id LIMIT 50"),
-    "list_sorted": view(f"SELECT {ITEM}, {js('c')} AS exchange_matrix, mc_id FROM v ORDER BY labeled_size DESC NULLS FIRST, qmd_id"),
-    "list_page": view(f"SELECT {ITEM}, {js('c')} AS exchange_matrix, mc_id FROM v ORDER BY max_edge DESC NULLS FIRST, qmd_id LIMIT 30 OFFSET 20"),
+    "list_quivers": view(f"SELECT {ITEM}, {js('c')} AS exchange_matrix, mc_id FROM v WHERE len(c) = 3 AND acyc ORDER BY len(c), quiver_id LIMIT 50"),
+    "list_sorted": view(f"SELECT {ITEM}, {js('c')} AS exchange_matrix, mc_id FROM v ORDER BY labeled_size DESC NULLS FIRST, quiver_id"),
+    "list_page": view(f"SELECT {ITEM}, {js('c')} AS exchange_matrix, mc_id FROM v ORDER BY max_edge DESC NULLS FIRST, quiver_id LIMIT 30 OFFSET 20"),
     "labelings_scope": view(f"SELECT {ITEM}, {js('coalesce(labeling, c)')} AS exchange_matrix, mc_id FROM ({_LABELINGS})"),
-    "labelings_page": view(f"SELECT {ITEM}, {js('coalesce(labeling, c)')} AS exchange_matrix, mc_id FROM ({_LABELINGS}) ORDER BY qmd_id, coalesce(labeling, c) LIMIT 50 OFFSET 100"),
-    "search": view(f"SELECT {ITEM}, {js('c')} AS exchange_matrix, mc_id FROM v WHERE max_edge <= 1 AND connected ORDER BY len(c), qmd_id LIMIT 100"),
-    "quiver_detail": view(f"SELECT {ITEM}, {js('c')} AS exchange_matrix, mc_id, dynkin_type AS label, abu AS is_abundant, true AS is_planar, so AS symmetry_order, sn AS symmetry_name, 0 AS tags FROM v WHERE qmd_id = 'Q.n3.760c251bd59844de'"),
+    "labelings_page": view(f"SELECT {ITEM}, {js('coalesce(labeling, c)')} AS exchange_matrix, mc_id FROM ({_LABELINGS}) ORDER BY quiver_id, coalesce(labeling, c) LIMIT 50 OFFSET 100"),
+    "search": view(f"SELECT {ITEM}, {js('c')} AS exchange_matrix, mc_id FROM v WHERE max_edge <= 1 AND connected ORDER BY len(c), quiver_id LIMIT 100"),
+    "quiver_detail": view(f"SELECT {ITEM}, {js('c')} AS exchange_matrix, mc_id, dynkin_type AS label, abu AS is_abundant, true AS is_planar, so AS symmetry_order, sn AS symmetry_name, 0 AS tags FROM v WHERE quiver_id = 'Q.n3.760c251bd59844de'"),
     "class_detail": view(f"""SELECT {CM} AS mc_id, len(r)::INTEGER AS num_vertices, {js('r')} AS canonical_rep, is_open, CASE WHEN NOT is_open THEN labeled_size END AS class_size, labeled_size, dq AS distinct_quiver_count, {qid('r')} AS canonical_qid, dynkin_type, labeled_size AS size_of_explored_mutation_class, labeled_size AS labelings,
- (SELECT to_json(list(qmd_id ORDER BY c <> rep, -lc, qmd_id))::VARCHAR FROM v WHERE v.rep = mc.r) AS distinct_ids FROM mc LEFT JOIN dyn USING (r) WHERE {CM} = 'MC.n3.b381eb01e067a126'"""),
+ (SELECT to_json(list(quiver_id ORDER BY c <> rep, -lc, quiver_id))::VARCHAR FROM v WHERE v.rep = mc.r) AS distinct_ids FROM mc LEFT JOIN dyn USING (r) WHERE {CM} = 'MC.n3.b381eb01e067a126'"""),
     "totals": view("SELECT count(*) AS total, count(*) AS distinct_total, coalesce(sum(lc), 0)::BIGINT AS labeled_total FROM v WHERE len(c) = 4 AND connected"),
-    "export_cell_format": view("SELECT qmd_id, coalesce(rt, '') AS representation_type, max_edge::VARCHAR AS max_edge, upper(acyc::VARCHAR) AS is_acyclic, '' AS class_size, 'TRUE' AS is_planar FROM v WHERE is_open"),
-    "upsert_merge": view("SELECT qmd_id AS quiver_id, len(c)::INTEGER AS n_vertices, CASE WHEN len(c) = 2 THEN -1 ELSE lc END AS labeling_count FROM v WHERE len(c) <= 3"),
-    "backfill_labeling_count": view("SELECT qmd_id AS quiver_id, CASE WHEN mc_id < 'MC.n4.8' THEN lc ELSE 1 END AS labeling_count FROM v"),
+    "export_cell_format": view("SELECT quiver_id, coalesce(rt, '') AS representation_type, max_edge::VARCHAR AS max_edge, upper(acyc::VARCHAR) AS is_acyclic, '' AS class_size, 'TRUE' AS is_planar FROM v WHERE is_open"),
+    "upsert_merge": view("SELECT quiver_id AS quiver_id, len(c)::INTEGER AS n_vertices, CASE WHEN len(c) = 2 THEN -1 ELSE lc END AS labeling_count FROM v WHERE len(c) <= 3"),
+    "backfill_labeling_count": view("SELECT quiver_id AS quiver_id, CASE WHEN mc_id < 'MC.n4.8' THEN lc ELSE 1 END AS labeling_count FROM v"),
     "backfill_mutation_acyclic": gen(f"SELECT {CM} AS mc_id, base AS was, ma AS now FROM base JOIN ma USING (r) WHERE base IS DISTINCT FROM ma", True),
-    "join_events_catalogue": "WITH RECURSIVE " + EV + ", " + GEN + ", " + INV + VIEW + ", " + CANON.replace("cf AS", "ecf AS") + f" SELECT user_id, {qid('e.c')} AS qmd_id, mc_id, rt AS representation_type, is_open, dynkin_type FROM ecf e LEFT JOIN v ON v.c = e.c",
+    "join_events_catalogue": "WITH RECURSIVE " + EV + ", " + GEN + ", " + INV + VIEW + ", " + CANON.replace("cf AS", "ecf AS") + f" SELECT user_id, {qid('e.c')} AS quiver_id, mc_id, rt AS representation_type, is_open, dynkin_type FROM ecf e LEFT JOIN v ON v.c = e.c",
 }
-_EXPORT = "qmd_id, len(c)::INTEGER AS num_vertices, {matrix} AS exchange_matrix, rt AS representation_type, max_edge, acyc AS is_acyclic, connected AS is_connected, bip AS is_bipartite, abu AS is_abundant, true AS is_planar, so AS symmetry_order, sn AS symmetry_name, mc_id, dynkin_type, is_open, CASE WHEN NOT is_open THEN labeled_size END AS class_size, labeled_size, dq AS distinct_quiver_count, 1 AS merged_orbit_count, NOT is_open AS is_finite_confirmed, is_open AS is_infinite_confirmed, false AS is_infinite_expected, frontier AS size_of_explored_frontier, ma AS is_mutation_acyclic"
+_EXPORT = "quiver_id, len(c)::INTEGER AS num_vertices, {matrix} AS exchange_matrix, rt AS representation_type, max_edge, acyc AS is_acyclic, connected AS is_connected, bip AS is_bipartite, abu AS is_abundant, true AS is_planar, so AS symmetry_order, sn AS symmetry_name, mc_id, dynkin_type, is_open, CASE WHEN NOT is_open THEN labeled_size END AS class_size, labeled_size, dq AS distinct_quiver_count, 1 AS merged_orbit_count, NOT is_open AS is_finite_confirmed, is_open AS is_infinite_confirmed, false AS is_infinite_expected, frontier AS size_of_explored_frontier, ma AS is_mutation_acyclic"
 SQL["export_distinct"] = view(f"SELECT {_EXPORT.format(matrix=js('c'))} FROM v WHERE len(c) = 3")
 SQL["export_labelings"] = view(f"SELECT {_EXPORT.format(matrix=js('coalesce(labeling, c)'))} FROM ({_LABELINGS}) WHERE len(c) = 3")
 SQL["download_log"] = """SELECT CASE WHEN event_id % 2 = 0 THEN 'csv' ELSE 'xlsx' END AS fmt, event_id % 100 AS row_count, CASE WHEN user_id % 3 > 0 THEN '{"rank":"' || (user_id % 3) || '","scope":"distinct"}' ELSE '{"scope":"distinct"}' END AS filters,

@@ -50,7 +50,7 @@ SCALARS = {
     "apply_permutation": _scalar(relabeled=lambda m: json_of(mx.relabel(m, F.array(*map(F.lit, (2, 0, 3, 1)))))),
     "canonical_form": _scalar(canonical=lambda m: json_of(mx.canonical_form(m))),
     "certificate": _scalar(certificate=lambda m: F.lower(F.hex(mx.certificate(m)))),
-    "quiver_id": _scalar(qmd_id=mx.quiver_id),
+    "quiver_id": _scalar(quiver_id=mx.quiver_id),
     "mutation_class_id": _scalar(id_of_form=lambda m: mx.mutation_class_id(mx.canonical_form(m))),
     "is_bipartite": _scalar(is_bipartite=mx.is_bipartite),
     "is_abundant": _scalar(is_abundant=mx.is_abundant),
@@ -86,14 +86,14 @@ def are_isomorphic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_quiver_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trade_quivers(spark, sf_dir).withColumn("qmd_id", mx.quiver_id(M())).select("month", json_of(M()).alias("matrix"), "qmd_id")
+    return trade_quivers(spark, sf_dir).withColumn("quiver_id", mx.quiver_id(M())).select("month", json_of(M()).alias("matrix"), "quiver_id")
 
 
 def join_events_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' quivers found in the catalogue, with their classes."""
     c = catalogue(spark)
     rows = event_quivers(spark, sf_dir).select("user_id", mx.quiver_id(M()).alias("quiver_id"))
-    return rows.join(c.joined().select("quiver_id", "mc_id", "representation_type", F.col("mc.is_open").alias("is_open"), F.col("mc.dynkin_type").alias("dynkin_type")), "quiver_id", "left").select("user_id", F.col("quiver_id").alias("qmd_id"), "mc_id", "representation_type", "is_open", "dynkin_type")
+    return rows.join(c.joined().select("quiver_id", "mc_id", "representation_type", F.col("mc.is_open").alias("is_open"), F.col("mc.dynkin_type").alias("dynkin_type")), "quiver_id", "left").select("user_id", "quiver_id", "mc_id", "representation_type", "is_open", "dynkin_type")
 
 
 def seed_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +186,7 @@ def generation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labeling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogue(spark).labeled.groupBy("qmd_id").agg(F.count(F.lit(1)).alias("labeling_count"))
+    return catalogue(spark).labeled.groupBy("quiver_id").agg(F.count(F.lit(1)).alias("labeling_count"))
 
 
 def class_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +199,7 @@ def class_openness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def class_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalogue(spark)
-    return c.joined().select(F.col("quiver_id").alias("qmd_id"), c.class_size().alias("class_size"))
+    return c.joined().select("quiver_id", c.class_size().alias("class_size"))
 
 
 def frontier_size(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +207,7 @@ def frontier_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_quivers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogue(spark).distinct_quivers().orderBy("mc_id", F.desc("is_canonical"), F.desc("labeling_count"), "qmd_id").withColumn("matrix", json_of("matrix"))
+    return catalogue(spark).distinct_quivers().orderBy("mc_id", F.desc("is_canonical"), F.desc("labeling_count"), "quiver_id").withColumn("matrix", json_of("matrix"))
 
 
 def class_mutation_acyclic_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,7 +261,7 @@ def _ids(**filters):
     """The ids and totals' parts of what a filter lets through."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return catalogue(spark).filtered(**filters).select(F.col("quiver_id").alias("qmd_id"), "labeling_count")
+        return catalogue(spark).filtered(**filters).select("quiver_id", "labeling_count")
 
     return query
 
@@ -281,7 +281,7 @@ def quiver_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def class_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalogue(spark).class_("MC.n3.b381eb01e067a126")
-    return rows.select("mc_id", "num_vertices", json_of("canonical_rep").alias("canonical_rep"), "is_open", "class_size", "labeled_size", "distinct_quiver_count", "canonical_qid", "dynkin_type", "size_of_explored_mutation_class", F.size("labeled_quivers").alias("labelings"), json_of(F.transform("distinct_quivers", lambda x: x["qmd_id"])).alias("distinct_ids"))
+    return rows.select("mc_id", "num_vertices", json_of("canonical_rep").alias("canonical_rep"), "is_open", "class_size", "labeled_size", "distinct_quiver_count", "canonical_qid", "dynkin_type", "size_of_explored_mutation_class", F.size("labeled_quivers").alias("labelings"), json_of(F.transform("distinct_quivers", lambda x: x["quiver_id"])).alias("distinct_ids"))
 
 
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,7 +296,7 @@ def export(scope: str):
 
 
 def export_cell_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.cells(catalogue(spark).export(is_open=True).select("qmd_id", "representation_type", "max_edge", "is_acyclic", "class_size", "is_planar"))
+    return sinks.cells(catalogue(spark).export(is_open=True).select("quiver_id", "representation_type", "max_edge", "is_acyclic", "class_size", "is_planar"))
 
 
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,7 +341,7 @@ QUERIES = {
     "dynkin_reference": dynkin_reference, "dynkin_classify": dynkin_classify, "local_acyclicity": local_acyclicity, "provenance": provenance, "la_path": la_path,
     "join_quiver_class": _items(lambda c: c.items(c.joined())), "list_quivers": _items(lambda c: c.list_quivers(rank=3, is_acyclic=True)),
     "list_sorted": _items(lambda c: c.list_quivers(sort="class_size", direction="desc", limit=None)), "list_page": _items(lambda c: c.list_quivers(sort="max_edge", direction="desc", offset=20, limit=30)),
-    "labelings_scope": _items(lambda c: c.list_quivers(scope="labelings", limit=None)), "labelings_page": _items(lambda c: c.list_quivers(scope="labelings", sort="qmd_id", offset=100, limit=50)),
+    "labelings_scope": _items(lambda c: c.list_quivers(scope="labelings", limit=None)), "labelings_page": _items(lambda c: c.list_quivers(scope="labelings", sort="quiver_id", offset=100, limit=50)),
     "search": _items(lambda c: c.search(is_simply_laced=True, is_connected=True)), **{name: _ids(**f) for name, f in FILTERS.items()},
     "quiver_detail": quiver_detail, "class_detail": class_detail, "totals": totals, "export_distinct": export("distinct"), "export_labelings": export("labelings"), "export_cell_format": export_cell_format,
     "upsert_merge": upsert_merge, "backfill_labeling_count": backfill_labeling_count, "backfill_mutation_acyclic": backfill_mutation_acyclic, "download_log": download_log,

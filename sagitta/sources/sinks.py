@@ -93,8 +93,8 @@ def write_xlsx(rows: DataFrame, path: str) -> int:
     return n
 
 
-def file_name(scope: str, fmt: str, now: datetime | None = None) -> str:
-    return f"qmd-{'labelings' if scope == 'labelings' else 'quivers'}-{(now or datetime.now(UTC)).strftime('%Y%m%d-%H%M%S')}.{fmt}"
+def file_name(scope: str, fmt: str, now: datetime | None = None, prefix: str = "catalogue") -> str:
+    return f"{prefix}-{'labelings' if scope == 'labelings' else 'quivers'}-{(now or datetime.now(UTC)).strftime('%Y%m%d-%H%M%S')}.{fmt}"
 
 
 def client_ip(forwarded: Column, peer: Column) -> Column:

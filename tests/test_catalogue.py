@@ -18,11 +18,11 @@ def small(spark):
         [("M.1", 2, [[0, -1], [1, 0]], False, 2, 1, 1, "Q.a", "A2", "A2", True, False, False, 0, True, True, True, True), ("M.2", 2, [[0, -2], [2, 0]], True, 5, 1, 1, "Q.b", None, None, False, True, False, 3, None, None, None, None),
          ("M.3", 2, [[0, 0], [0, 0]], False, 1, 1, 1, "Q.d", "A1 + A1", None, True, False, False, 0, True, True, True, True)],
         "mc_id string, n_vertices int, canonical_rep array<array<int>>, is_open boolean, labeled_size int, distinct_quiver_count int, merged_orbit_count int, canonical_qid string, dynkin_type string, label string, is_finite_confirmed boolean, is_infinite_confirmed boolean, is_infinite_expected boolean, size_of_explored_frontier int, is_mutation_acyclic boolean, is_banff boolean, is_louise boolean, is_p_prime boolean")
-    labeled = spark.createDataFrame([("M.1", "Q.a", [[0, 1], [-1, 0]]), ("M.1", "Q.a", [[0, -1], [1, 0]]), ("M.3", "Q.d", [[0, 0], [0, 0]])], "mc_id string, qmd_id string, matrix array<array<int>>")
+    labeled = spark.createDataFrame([("M.1", "Q.a", [[0, 1], [-1, 0]]), ("M.1", "Q.a", [[0, -1], [1, 0]]), ("M.3", "Q.d", [[0, 0], [0, 0]])], "mc_id string, quiver_id string, matrix array<array<int>>")
     return Catalogue(quivers, classes, labeled)
 
 
-def ids(rows, name="qmd_id"):
+def ids(rows, name="quiver_id"):
     return [r[name] for r in rows.collect()]
 
 
@@ -31,7 +31,7 @@ def test_listing(small):
     assert ids(small.list_quivers(sort="class_size")) == ["Q.d", "Q.a", "Q.b", "Q.c"]  # nulls last
     assert ids(small.list_quivers(sort="class_size", direction="desc")) == ["Q.c", "Q.b", "Q.a", "Q.d"]  # nulls first
     assert ids(small.list_quivers(sort="nonsense", direction="DESC", offset=1, limit=2)) == ["Q.b", "Q.d"]
-    rows = {r["qmd_id"]: r for r in small.list_quivers().collect()}
+    rows = {r["quiver_id"]: r for r in small.list_quivers().collect()}
     assert rows["Q.c"]["is_open"] is False and rows["Q.c"]["class_size"] is None and rows["Q.b"]["class_size"] is None and rows["Q.a"]["class_size"] == 2
     with pytest.raises(ValueError):
         small.list_quivers(scope="Distinct")
@@ -58,7 +58,7 @@ def test_details(small):
     assert small.quiver("Q.zzz").count() == 0 and small.class_("M.zzz").count() == 0
     assert small.quiver("Q.c").collect()[0]["tags"] == []
     row = small.class_("M.1").collect()[0]
-    assert row["class_size"] == 2 and [d["qmd_id"] for d in row["distinct_quivers"]] == ["Q.a"] and row["distinct_quivers"][0]["is_canonical"]
+    assert row["class_size"] == 2 and [d["quiver_id"] for d in row["distinct_quivers"]] == ["Q.a"] and row["distinct_quivers"][0]["is_canonical"]
 
 
 def test_export(small, tmp_path):
@@ -66,7 +66,7 @@ def test_export(small, tmp_path):
     assert rows.columns == EXPORT_COLUMNS
     n = sinks.write_csv_file(rows, str(tmp_path / "x.csv"))
     data = (tmp_path / "x.csv").read_bytes()
-    assert n == 4 and data.startswith(b"\xef\xbb\xbfqmd_id,") and data.count(b"\r\n") == 5
+    assert n == 4 and data.startswith(b"\xef\xbb\xbfquiver_id,") and data.count(b"\r\n") == 5
     assert b'Q.a,2,"[[0,1],[-1,0]]",finite,1,TRUE,TRUE,TRUE,FALSE,TRUE,1,1,M.1,A2,FALSE,2,' in data and b"Q.c,3," in data
     assert sinks.write_xlsx(rows, str(tmp_path / "x.xlsx")) == 4
     book = zipfile.ZipFile(tmp_path / "x.xlsx")
@@ -95,4 +95,4 @@ def test_log(spark, tmp_path):
     assert rows[0]["filters"] == '{"rank":"2","scope":"distinct"}' and rows[0]["email"] is None and rows[0]["name"] == "x" and rows[1]["filters"] is None and rows[1]["created_at"] is not None
     ip = spark.range(1).select(sinks.client_ip(F.lit(" 1.2.3.4 , 5.6.7.8"), F.lit("p")), sinks.client_ip(F.lit(""), F.lit("p")), sinks.client_ip(F.lit(None).cast("string"), F.lit("p"))).collect()[0]
     assert ip[:] == ("1.2.3.4", "p", "p")
-    assert sinks.file_name("labelings", "csv").startswith("qmd-labelings-")
+    assert sinks.file_name("labelings", "csv").startswith("catalogue-labelings-")

@@ -447,9 +447,18 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     mixed = split.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     left = written(split.join(mixed, "key", "left_semi"))
     if left.limit(1).count():
-        # every two sets of different components that meet in such keys: in rare ones, with how often they meet in all
-        again = by_key(left.where("not frequent"), _across_labels, "key sig n rare label").groupBy("a", "b").agg(F.min("need").alias("need"), F.count(F.lit(1)).alias("times"))
+        # every two sets of different components that meet in such keys: in rare ones, with how often they meet in all.
+        # A set in too few of them can only be a candidate with sets that it meets in other keys, too; those pairs are known.
+        rare_left = left.where("not frequent")
+        held = written(rare_left.groupBy("sig").agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("label").alias("label")))
+        size = F.col("n")
+        ends_frequent = F.col("rare") < size - F.floor((percent * size + 99) / 100) + 2 + F.floor(size / ONE_MORE)
+        rich = held.where(ends_frequent | (F.col("held") >= 1 + F.floor(percent * size / 100 / ONE_MORE))).select("sig")
+        again = by_key(rare_left.join(rich, "sig", "left_semi"), _across_labels, "key sig n rare label").groupBy("a", "b").agg(F.min("need").alias("need"), F.count(F.lit(1)).alias("times"))
         by_rare = again.join(met.select("a", "b", "sure"), ["a", "b"], "left").where(F.col("times") + F.coalesce("sure", F.lit(0)) >= F.col("need")).select("a", "b")
+        side = lambda name: held.select(F.col("sig").alias(name), F.col("held").alias(f"held_{name}"), F.col("label").alias(f"label_{name}"))
+        few = met.where("sure > 0 and times < need").join(side("a"), "a").join(side("b"), "b").where((F.col("label_a") != F.col("label_b")) & (F.col("sure") + F.least("held_a", "held_b") >= F.col("need")))
+        by_rare = by_rare.unionByName(few.select("a", "b"))
         x, y = left.where("frequent").alias("x"), left.where("frequent").alias("y")
         both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & near(F.col("x.n"), F.col("x.rare"), F.col("y.n"), F.col("y.rare")))
         by_often = both.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"), need(F.col("x.n"), F.col("y.n")).alias("need")).groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("times")).where("times >= need").select("a", "b")

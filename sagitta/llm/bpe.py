@@ -30,10 +30,10 @@ PLAIN = regex.compile(r"[\x21-\x7e\xa1-ʯΑ-ΡΤ-ρσ-ωА-я‐-‧‰-›€]*
 #: White space by Unicode; str.split also splits at CONTROL.
 BLANK = regex.compile("[\t-\r \x85\xa0  -     　]+")
 CONTROL = regex.compile("[\x1c-\x1f]")
-#: Texts between white space that a worker remembers before it starts afresh.
+#: Texts between white space (and prefixes of words) that a worker remembers before it starts afresh, if not told otherwise.
 REMEMBERED = 300_000
-#: Prefixes of words up to so many symbols keep their states for the next word; so many are kept.
-SHARED, PREFIXES = 9, 150_000
+#: Prefixes of words up to so many symbols keep their states for the next word.
+SHARED = 9
 
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -54,7 +54,8 @@ def byte_chars() -> list[str]:
 class Vocabulary:
     """``spec``: the text of a vocabulary file (BPE, NFC and lower case, byte characters, word ends, no decoder)."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.library = Tokenizer.from_str(spec)
         spec = json.loads(spec)
         self.ids: dict[str, int] = spec["model"]["vocab"]
@@ -259,12 +260,12 @@ class Vocabulary:
             found = [*map(self.known.__getitem__, chunks)]
             ids += [x for x, _ in found]
             names += [x for _, x in found if x]
-            if len(self.known) > REMEMBERED or len(self.known_words) > REMEMBERED // 3:
+            if len(self.known) > self.remembered or len(self.known_words) > self.remembered // 3:
                 self.known.clear()
                 self.known_words.clear()
-            if len(self.prefixes) > PREFIXES:
+            if len(self.prefixes) > self.remembered:
                 self.prefixes.clear()
-            if len(self.fits) > 5 * REMEMBERED:
+            if len(self.fits) > self.remembered:
                 self.fits.clear()
         return b"".join(ids), " ".join(names)
 
@@ -272,26 +273,29 @@ class Vocabulary:
 _loaded: dict[int, Vocabulary] = {}
 
 
-def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED, keep: bool = True) -> DataFrame:
     """``doc_id, ids binary (little-endian 32-bit), decoded string`` for every row of ``docs``.
 
     A null text is an empty one: no ids, empty decoded text. ``path``: the vocabulary file, on the driver; its text (a
-    few MB, fixed) is broadcast. Repeated rows and null ids are kept as they are.
+    few MB, fixed) is broadcast. Repeated rows and null ids are kept as they are. ``remembered`` bounds a worker's memory
+    at about 1 KB each, at some cost in speed; ``keep``: whether it holds its tables between tasks.
     """
     spec = open(path or default_path(), encoding="utf-8").read()
     sent = docs.sparkSession.sparkContext.broadcast(spec)
-    key = hash(spec)
+    key = hash((spec, remembered))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _loaded:
             _loaded.clear()
-            _loaded[key] = Vocabulary(sent.value)
+            _loaded[key] = Vocabulary(sent.value, remembered)
         v = _loaded[key]
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 out = [v.encode(x or "") for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())], ["doc_id", "ids", "decoded"])
+        if not keep:
+            _loaded.clear()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encoded, "doc_id long, ids binary, decoded string")
 

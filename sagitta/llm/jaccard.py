@@ -29,13 +29,15 @@ from .common import HOT_SHARE, lookup_join, table, written
 #: The sketch: counters, and in how many parts they are summed.
 COUNTERS, PARTS = 1 << 20, 64
 #: Bits of the filters of heavy tokens and of texts that are candidates (a filter's errors only cost work).
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 25
 #: Sets of one key that are all paired; shingles of a set up to which frequent tokens are combined.
 ALL_PAIRS, COMBINED = 16, 64
 #: For so many shingles more, two sets must share one more key (their prefixes are longer by as much).
 ONE_MORE = 32
+#: Pairs that a task adds up before it sends them.
+WAITING = 500_000
 #: Bytes hashed at once.
-_AT_ONCE = 1 << 20
+_AT_ONCE = 1 << 18
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -115,7 +117,7 @@ def _named(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns], names.split())
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
@@ -319,18 +321,50 @@ def _of_runs(cols: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
         yield _named("a b need star key n rare", pa.array(sig[big]), none, none, pa.nulls(len(big), pa.bool_()), pa.array(key[big]), pa.array(n[big]), pa.array(rare[big]))
 
 
-def _across_labels(cols: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a key's sets whose components differ."""
-    key, sig, n, rare, label = cols
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    for start, end in zip(first, np.r_[first[1:], len(key)]):
-        size, of = n[start:end], label[start:end]
-        for lo in range(0, end - start, 512):
-            other = of[lo : lo + 512, None] < of[None]
-            other &= 100 * np.minimum(size[lo : lo + 512, None], size[None]) >= percent * np.maximum(size[lo : lo + 512, None], size[None])
-            i, j = np.nonzero(other)
-            if len(i):
-                yield _pair_rows(sig, n, rare, start + lo + i, start + j, percent, np.zeros(len(i), bool))
+def _across_labels(percent: int):
+    """Pairs of a key's sets whose components differ, from rows sorted by key; ``n`` is in how many keys of this task they meet."""
+
+    def of_run(cols: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
+        key, sig, n, rare, label = cols
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        for start, end in zip(first, np.r_[first[1:], len(key)]):
+            size, of = n[start:end], label[start:end]
+            for lo in range(0, end - start, 512):
+                other = of[lo : lo + 512, None] < of[None]
+                other &= 100 * np.minimum(size[lo : lo + 512, None], size[None]) >= percent * np.maximum(size[lo : lo + 512, None], size[None])
+                i, j = np.nonzero(other)
+                if len(i):
+                    yield _pair_rows(sig, n, rare, start + lo + i, start + j, percent, np.zeros(len(i), bool))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs are added up before they are sent, WAITING at a time."""
+        held: list[tuple] = []
+        rows = 0
+
+        def summed() -> list[np.ndarray]:
+            a, b, need, times = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((b, a))
+            a, b, need, times = a[order], b[order], need[order], times[order]
+            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            return [a[first], b[first], np.minimum.reduceat(need, first), np.add.reduceat(times, first)]
+
+        def sent(x: list[np.ndarray]) -> pa.RecordBatch:
+            none = pa.nulls(len(x[0]), pa.int64())
+            return _named("a b need star key n rare", pa.array(x[0]), pa.array(x[1]), pa.array(x[2]), pa.nulls(len(x[0]), pa.bool_()), none, pa.array(x[3]), none)
+
+        for p in _pairs_of_runs(percent, of_run, "key sig n rare label")(batches):
+            held.append((*(p.column(c).to_numpy() for c in ("a", "b", "need")), np.ones(p.num_rows, np.int64)))
+            rows += p.num_rows
+            if rows >= WAITING:
+                found = summed()
+                if len(found[0]) > WAITING // 2:
+                    yield sent(found)
+                    found = [x[:0] for x in found]
+                held, rows = [tuple(found)], len(found[0])
+        if rows:
+            yield sent(summed())
+
+    return run
 
 
 def _heavy_runs(cols: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
@@ -454,7 +488,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
         size = F.col("n")
         ends_frequent = F.col("rare") < size - F.floor((percent * size + 99) / 100) + 2 + F.floor(size / ONE_MORE)
         rich = held.where(ends_frequent | (F.col("held") >= 1 + F.floor(percent * size / 100 / ONE_MORE))).select("sig")
-        again = by_key(rare_left.join(rich, "sig", "left_semi"), _across_labels, "key sig n rare label").groupBy("a", "b").agg(F.min("need").alias("need"), F.count(F.lit(1)).alias("times"))
+        of_rich = rare_left.join(rich, "sig", "left_semi").select("key", "sig", "n", "rare", "label").repartition("key").sortWithinPartitions("key", "sig")
+        again = of_rich.mapInArrow(_across_labels(percent), _PAIRS).groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("n").alias("times"))
         by_rare = again.join(met.select("a", "b", "sure"), ["a", "b"], "left").where(F.col("times") + F.coalesce("sure", F.lit(0)) >= F.col("need")).select("a", "b")
         side = lambda name: held.select(F.col("sig").alias(name), F.col("held").alias(f"held_{name}"), F.col("label").alias(f"label_{name}"))
         few = met.where("sure > 0 and times < need").join(side("a"), "a").join(side("b"), "b").where((F.col("label_a") != F.col("label_b")) & (F.col("sure") + F.least("held_a", "held_b") >= F.col("need")))

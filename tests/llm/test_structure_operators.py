@@ -129,6 +129,42 @@ def test_ppm(spark, monkeypatch):
     assert row["n_known"] == 0 and row["score"] == pytest.approx(-math.log10(257) * (len(rows[3][1].encode()) + 1), rel=1e-6) or row["n_tokens"] == 5
 
 
+def test_ppm_scores_do_not_depend_on_what_the_trie_holds(spark, monkeypatch):
+    rng = random.Random(11)
+    syllables = ["the", "of", "th", "é", " ", "ing ", "xy"]
+    rows = [(i, "".join(rng.choices(syllables, k=rng.randint(0, 12)))) for i in range(60)] + [(200, None), (201, "zzz qqq the"), (None, "thexx of"), (3, "the of")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    symbols = lambda t: [0] * ppm.ORDER + [b + 1 for b in (t or "").encode().lower()] + [0]
+    after = defaultdict(Counter)
+    for i, t in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 7 != 2:
+            s = symbols(t)
+            for at in range(ppm.ORDER, len(s)):
+                for k in range(ppm.ORDER + 1):
+                    after[tuple(s[at - k : at])][s[at]] += 1
+
+    def log10(context, symbol):
+        out, gone = 0.0, set()
+        for k in range(ppm.ORDER, -1, -1):
+            new = {x: n for x, n in after.get(context[ppm.ORDER - k :], {}).items() if x not in gone}
+            whole = sum(new.values()) + len(new)
+            if symbol in new:
+                return out + math.log10(new[symbol] / whole)
+            out += math.log10(len(new) / whole) if new else 0
+            gone |= {*new}
+        return out - math.log10(ppm._SYMBOLS - len(gone))
+
+    want = Counter()
+    for i, t in rows:
+        s = symbols(t)
+        want[i, round(sum(log10(tuple(s[at - ppm.ORDER : at]), s[at]) for at in range(ppm.ORDER, len(s))), 3)] += 1
+    for nodes in (1 << 20, 90, 5):
+        monkeypatch.setattr(ppm, "NODES", nodes)
+        model, rare = ppm.train(docs, ~ppm.held_out())
+        assert len(model.tables) == {1 << 20: 0, 5: ppm.ORDER + 1}.get(nodes, len(model.tables)) and (nodes > 90 or model.tables)
+        assert Counter((r["doc_id"], round(r["score"], 3)) for r in ppm.score(docs, model, rare).collect()) == want
+
+
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(0)
     base = [(i, [float(x) for x in rng.normal(0, 0.3, 8).astype(np.float32)]) for i in range(300)]

@@ -1,8 +1,9 @@
 """Licence labels by a positional rare-token index, in DataFrame functions only.
 
 Templates' words are indexed with their positions. A first pass counts in how many texts each licence word stands. Then
-each text's highest-IDF licence words look up the postings of the templates whose key words it all has; postings that
-agree on the relative position of text and template make a candidate, and the mandatory key phrase must stand, word by
+the anchors of each template whose key words a text all has are looked up in it: as many highest-IDF words of the key as
+must agree, so that no place where the key stands is missed, or all words of the template if the key has fewer. Postings
+that agree on the relative position of text and template make a candidate, and the mandatory key phrase must stand, word by
 word, where that position says. Fixed base phrases are counted wherever they stand.
 """
 
@@ -13,12 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, table
+from .common import table
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Highest-IDF licence words of a text that are looked up.
-ANCHORS = 12
 
 
 @dataclass(frozen=True)
@@ -63,8 +62,14 @@ TEMPLATES = (
 )
 
 
+#: What WORD leaves out, after lower-casing.
+_BETWEEN = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
+
+
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
+    """The words of WORD in the text, A-Z lower-cased; splitting at a blank is faster than a pattern."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), upper + _BETWEEN, upper.lower() + " " * len(_BETWEEN)), " "), "")
 
 
 def _strings(values) -> Column:
@@ -102,17 +107,20 @@ def licence_labels(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     df = dict.fromkeys(vocabulary, 0)
     df |= {r[0]: r[1] for r in rows.select(F.explode_outer("known").alias("w")).groupBy("w").count().where("w is not null").collect()}
 
-    entry = lambda i, t: F.struct(F.lit(i).alias("t"), F.lit(t.label).alias("label"), _strings(t.words).alias("words"), _strings(t.key).alias("key"), F.lit(t.key_at).alias("key_at"), F.lit(t.need).alias("need"))
+    def anchors(t: Template) -> Column:
+        rarest = sorted({*t.key}, key=lambda w: (df[w], w))
+        chosen = rarest[: t.need] if len(rarest) >= t.need else t.words
+        return F.array(*[F.struct(F.lit(w).alias("w"), F.lit(j).alias("j")) for j, w in enumerate(t.words) if w in chosen])
+
+    entry = lambda i, t: F.struct(F.lit(i).alias("t"), F.lit(t.label).alias("label"), _strings(t.words).alias("words"), _strings(t.key).alias("key"), F.lit(t.key_at).alias("key_at"), F.lit(t.need).alias("need"), anchors(t).alias("anchors"))
     all_templates = F.array(*[entry(i, t) for i, t in enumerate(templates)])
-    frequency = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, df[w])])
-    # the templates that can be verified at all
-    rows = rows.withColumn("likely", F.filter(all_templates, lambda t: F.size(F.array_except(t["key"], F.col("known"))) == 0))
-    ranked = F.array_sort(F.transform(F.array_intersect("known", F.array_distinct(F.flatten(F.transform("likely", lambda t: t["words"])))), lambda w: F.struct(F.element_at(frequency, w).alias("df"), w.alias("w"))))
-    rows = rows.withColumn("anchors", F.when(F.size("likely") > 0, F.transform(F.slice(ranked, 1, ANCHORS), lambda x: x["w"])))
+    # the templates that can be verified at all; were `known` read only here, it would be made for each template
+    rows = rows.withColumn("likely", F.when(F.size("known") > 0, F.filter(all_templates, lambda t: F.size(F.array_except(t["key"], F.col("known"))) == 0)))
+    rows = rows.withColumn("anchors", F.when(F.size("likely") > 0, F.array_distinct(F.flatten(F.transform("likely", lambda t: t["anchors"]["w"])))))
     # postings of the anchors, as position in the text less position in the template
     places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("anchors", x["w"]))
     agreeing = F.flatten(F.transform(places, lambda x: F.flatten(F.transform("likely", lambda t: F.transform(
-        F.filter(F.transform(t["words"], lambda w, j: F.struct(w.alias("w"), j.alias("j"))), lambda y: y["w"] == x["w"]),
+        F.filter(t["anchors"], lambda y: y["w"] == x["w"]),
         lambda y: F.struct(t["t"].alias("t"), (x["i"] - y["j"]).alias("at"), y["j"].alias("j"), t["need"].alias("need")),
     )))))
     rows = rows.withColumn("postings", F.when(F.size("anchors") > 0, F.array_sort(agreeing)))

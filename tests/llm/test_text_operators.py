@@ -87,6 +87,24 @@ def test_licences(spark):
     assert licences.licence_labels(docs.limit(0)).count() == 0
 
 
+def test_licences_of_several_notices(spark):
+    ts = licences.TEMPLATES
+    # in the first texts the ordinary words are the rarest, or stand often
+    texts = [" ".join(t.words) for t in ts] + [" ".join(ts[i].words) + " and so on " + " ".join(ts[j].words) for i in range(len(ts)) for j in range(len(ts)) if i != j]
+    texts += [" x ".join(" ".join(t.words) for t in ts), " y ".join(" ".join(t.words) for t in reversed(ts)), "the terms of mozilla public license is in it and " * 300 + "subject one two three four five mozilla public license"]
+    texts += [" ".join(t.key) for t in ts] + ["word the of and or license " * 4000 + " ".join(ts[0].words) + " " + " ".join(ts[13].words)]
+    found = {r["doc_id"]: sorted((x["label"], x["at"]) for x in r["found"]) for r in licences.licence_labels(frame(spark, [*enumerate(texts)])).collect()}
+    for i, text in enumerate(texts):
+        w, want = words(text), []
+        for t in ts:
+            for at in range(-len(t.words), len(w)):
+                k = at + t.key_at
+                if k >= 0 and tuple(w[k : k + len(t.key)]) == t.key and sum(0 <= at + j < len(w) and w[at + j] == x for j, x in enumerate(t.words)) >= t.need:
+                    want.append((t.label, at))
+        assert found[i] == sorted(want), text[:200]
+    assert {x[0] for x in found[len(ts) * len(ts)]} == {t.label for t in ts}
+
+
 def test_bpe(spark):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(bpe.default_path())

@@ -19,6 +19,8 @@ from .generate import Generation, decoded
 CLOSED = {"max_depth": 64, "timeout": 15.0, "cap": 8}
 OPEN = {"max_depth": 8, "timeout": 3.0, "cap": 8}
 DIRECT = {"max_depth": 64, "timeout": 60.0, "cap": 32}
+#: In place of seconds, so that no state hangs on the clock; the longest search of a class up to four vertices takes 970.
+COUNTED = {"timeout": None, "max_nodes": 1_000_000}
 CONDITIONS = ("banff", "louise", "p_prime")
 
 Matrix = tuple[tuple[int, ...], ...]
@@ -174,10 +176,10 @@ _STATE = {"true": True, "false": False, "unknown": None}
 _SCHEMA = "key string, " + ", ".join(f"is_{c} boolean, {c}_witness string" for c in CONDITIONS)
 
 
-def local_acyclicity(matrices: DataFrame, tasks: int | None = None) -> DataFrame:
+def local_acyclicity(matrices: DataFrame, tasks: int | None = None, **budget) -> DataFrame:
     """``key`` and for each condition its state and witness (JSON), of ``matrices(key, matrix, is_open)``.
 
-    Rows are dealt out one by one, since a search takes between microseconds and its whole budget."""
+    ``budget`` goes before OPEN and CLOSED. Rows are dealt out one by one, since a search takes between microseconds and its whole budget."""
 
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -185,7 +187,7 @@ def local_acyclicity(matrices: DataFrame, tasks: int | None = None) -> DataFrame
             for key, matrix, is_open in zip(rows["key"], rows["matrix"], rows["is_open"]):
                 row = {"key": key}
                 for c in CONDITIONS:
-                    state, witness = status(matrix, c, **(OPEN if is_open else CLOSED))
+                    state, witness = status(matrix, c, **{**(OPEN if is_open else CLOSED), **budget})
                     row[f"is_{c}"], row[f"{c}_witness"] = _STATE[state], None if witness is None else json.dumps(witness, separators=(",", ":"))
                 out.append(row)
             yield pd.DataFrame(out, columns=["key", *[x for c in CONDITIONS for x in (f"is_{c}", f"{c}_witness")]]).astype({f"is_{c}": "object" for c in CONDITIONS})
@@ -194,5 +196,5 @@ def local_acyclicity(matrices: DataFrame, tasks: int | None = None) -> DataFrame
     return dealt.mapInPandas(searched, _SCHEMA)
 
 
-def class_conditions(g: Generation) -> DataFrame:
-    return local_acyclicity(decoded(g.classes, g.bound, g.max_vertices).select(F.col("mc_id").alias("key"), "matrix", "is_open")).withColumnRenamed("key", "mc_id")
+def class_conditions(g: Generation, **budget) -> DataFrame:
+    return local_acyclicity(decoded(g.classes, g.bound, g.max_vertices).select(F.col("mc_id").alias("key"), "matrix", "is_open"), **budget).withColumnRenamed("key", "mc_id")

@@ -10,6 +10,7 @@ from ..functions import matrix as mx
 from ..operators import acyclicity as ac
 from ..operators import dynkin, generate
 from ..operators.catalogue import Catalogue, catalogue, generation
+from ..operators.catalogue import provenance as provenance_json
 from ..operators.components import connected_components
 from ..sources import sinks
 from ..sources.derived import event_quivers, trade_quivers
@@ -227,7 +228,7 @@ def dynkin_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def local_acyclicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """States that don't hang on the clock: classes with up to three vertices."""
+    """Classes with up to three vertices, which SQL can follow; `local_acyclicity_all` has every class."""
     return catalogue(spark).classes.where("n_vertices <= 3").select("mc_id", "is_banff", "is_louise", "is_p_prime")
 
 
@@ -235,6 +236,22 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue(spark).classes.where("n_vertices <= 3").select("mc_id", F.get_json_object("provenance", "$.banff.state").alias("banff"), F.get_json_object("provenance", "$.infinite").isNotNull().alias("infinite"))
 
 
+def _counted_conditions(spark: SparkSession) -> DataFrame:
+    g = generation(spark)
+    return written(ac.class_conditions(g, **ac.COUNTED)).join(g.classes.select("mc_id", "is_open"), "mc_id")
+
+
+def local_acyclicity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of all classes, with a budget of expanded quivers instead of seconds."""
+    return _counted_conditions(spark).select("mc_id", "is_banff", "is_louise", "is_p_prime")
+
+
+def provenance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _counted_conditions(spark)
+    said = rows.select("mc_id", provenance_json(rows).alias("provenance"))
+    return said.select("mc_id", F.get_json_object("provenance", "$.banff.state").alias("banff"), F.get_json_object("provenance", "$.infinite").isNotNull().alias("infinite"))
+
+
 def la_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mutations that lead each user's quiver to an acyclic one, with a budget of expanded quivers instead of seconds."""
     rows = event_quivers(spark, sf_dir)
@@ -338,7 +355,8 @@ QUERIES = {
     "run_generation_n3": run_generation(3), "run_generation_n4": run_generation(4), "mutation_components": mutation_components, "nation_components": nation_components, "membership": membership,
     "consistency_violations": consistency_violations, "generation_summary": generation_summary, "labeling_counts": labeling_counts, "class_sizes": class_sizes, "class_openness": class_openness, "class_size": class_size,
     "frontier_size": frontier_size, "distinct_quivers": distinct_quivers, "class_mutation_acyclic_base": class_mutation_acyclic_base, "resolve_mutation_acyclic": resolve_mutation_acyclic,
-    "dynkin_reference": dynkin_reference, "dynkin_classify": dynkin_classify, "local_acyclicity": local_acyclicity, "provenance": provenance, "la_path": la_path,
+    "dynkin_reference": dynkin_reference, "dynkin_classify": dynkin_classify, "local_acyclicity": local_acyclicity, "provenance": provenance,
+    "local_acyclicity_all": local_acyclicity_all, "provenance_all": provenance_all, "la_path": la_path,
     "join_quiver_class": _items(lambda c: c.items(c.joined())), "list_quivers": _items(lambda c: c.list_quivers(rank=3, is_acyclic=True)),
     "list_sorted": _items(lambda c: c.list_quivers(sort="class_size", direction="desc", limit=None)), "list_page": _items(lambda c: c.list_quivers(sort="max_edge", direction="desc", offset=20, limit=30)),
     "labelings_scope": _items(lambda c: c.list_quivers(scope="labelings", limit=None)), "labelings_page": _items(lambda c: c.list_quivers(scope="labelings", sort="quiver_id", offset=100, limit=50)),

@@ -50,3 +50,57 @@ def test_the_library_does_not_import_the_training_data_operators():
         for f in files:
             if f.endswith(".py"):
                 assert not re.search(r"\bllm\b", open(os.path.join(folder, f)).read()), f
+
+
+def test_local_acyclicity_of_all_classes(spark):
+    from sagitta.operators.catalogue import generation
+    from sagitta.operators.generate import decoded
+
+    def mutate(q, k):
+        return tuple(tuple(-b if k in (i, j) else b + (abs(q[i][k]) * q[k][j] + q[i][k] * abs(q[k][j])) // 2 for j, b in enumerate(r)) for i, r in enumerate(q))
+
+    def without(q, *gone):
+        return tuple(tuple(b for j, b in enumerate(r) if j not in gone) for i, r in enumerate(q) if i not in gone)
+
+    def acyclic(q):
+        n = len(q)
+        paths = [[b > 0 for b in r] for r in q]
+        for k in range(n):
+            paths = [[paths[i][j] or paths[i][k] and paths[k][j] for j in range(n)] for i in range(n)]
+        return not any(paths[i][i] for i in range(n))
+
+    def state(q, kind, depth, known):
+        """True or False, or None where an unfound member may lie beyond the depth or an entry of 8."""
+        if q not in known:
+            seen, layer, cut = {q}, {q}, False
+            for _ in range(depth):
+                near = {mutate(x, k) for x in layer for k in range(len(x))}
+                layer = {x for x in near if all(abs(b) <= 8 for r in x for b in r)}
+                cut |= layer != near
+                layer -= seen
+                seen |= layer
+            cut |= bool(layer)
+            sub = lambda x, *gone: state(without(x, *gone), kind, depth, known)
+            good = any(map(acyclic, seen))
+            for x in () if good else seen:
+                for k in (k for k in range(len(x)) if all(b >= 0 for b in x[k])):
+                    parts = [[sub(x, k)]] if kind == "p_prime" else [[sub(x, k), sub(x, j), *([sub(x, k, j)] if kind == "louise" else [])] for j in range(len(x)) if x[k][j]]
+                    good |= any(all(p) for p in parts)
+                    cut |= any(None in p for p in parts)
+            known[q] = True if good else None if cut else False
+        return known[q]
+
+    g = generation(spark)
+    classes = decoded(g.classes, g.bound, g.max_vertices).select("mc_id", "n", "matrix", "is_open").collect()
+    assert {r["n"] for r in classes} == {1, 2, 3, 4}
+    kept = {(kind, depth): {} for kind in ("banff", "louise", "p_prime") for depth in (8, 64)}
+    want = {}
+    for r in classes:
+        depth = 8 if r["is_open"] else 64
+        q = tuple(tuple(int(b) for b in row) for row in r["matrix"])
+        want[r["mc_id"]] = tuple(state(q, kind, depth, kept[kind, depth]) for kind in ("banff", "louise", "p_prime"))
+    rows = QUERIES["local_acyclicity_all"](spark, DATA).collect()
+    assert len(rows) == len(classes) and {r["mc_id"]: (r["is_banff"], r["is_louise"], r["is_p_prime"]) for r in rows} == want
+    said = {True: "true", False: "false", None: "unknown"}
+    rows = QUERIES["provenance_all"](spark, DATA).collect()
+    assert len(rows) == len(classes) and {r["mc_id"]: (r["banff"], r["infinite"]) for r in rows} == {r["mc_id"]: (said[want[r["mc_id"]][0]], r["is_open"]) for r in classes}

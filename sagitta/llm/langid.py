@@ -155,12 +155,16 @@ def predict(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", tex
 
 
 def keep_known(docs: DataFrame, classifier: Classifier, least_score: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is known with ``least_score`` or more."""
+    """The rows of ``docs`` whose language is known with ``least_score`` or more; if nothing was learned, those with a letter."""
     sent = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, score = sent.value.predict(b.column(text_col).to_pylist())
+            texts = b.column(text_col).to_pylist()
+            if not sent.value.langs:
+                yield b.filter(pa.array([bool(t) and len(gram_codes(t)) > 0 for t in texts], pa.bool_()))
+                continue
+            langs, score = sent.value.predict(texts)
             yield b.filter(pc.and_(pc.not_equal(pa.array(langs), UNKNOWN), pc.greater_equal(pa.array(score), least_score)))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -153,3 +153,9 @@ def test_language_id(spark):
     # the kernel of two texts is what its definition says, up to the map's rank
     same = langid.Classifier([("x", langid.np.unique(langid.gram_codes("abc"))), ("y", langid.np.unique(langid.gram_codes("xyz")))])
     assert same.predict(["abc", "xyz"])[0] == ["x", "y"]
+
+
+def test_language_stage_where_nothing_was_learned(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "été", None), (3, "123 !?", None), (4, "", None), (5, None, None)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert not model.langs and sorted(r["doc_id"] for r in langid.keep_known(docs, model, 0.0).collect()) == [1, 2]

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: list[str] = []
-
-
 def work_dir(spark: SparkSession) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """A fresh path below ``spark.checkpoint.dir``, which all executors share. Only a session in local mode that has none set
+    gets a folder of its own; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="sagitta-"))
-        base = _own[0]
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="sagitta-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/sagitta-{uuid.uuid4().hex}"
 
 

@@ -2,28 +2,47 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of letters and digits: every character but ASCII controls, blanks and punctuation (A-Z is lower-cased first).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-_own_dir: str | None = None
-
-
 def work_dir(spark: SparkSession) -> str:
-    """A fresh path below ``spark.checkpoint.dir``, which all executors share; a temporary folder only where that is unset."""
-    global _own_dir
+    """A fresh path below ``spark.checkpoint.dir``, which all executors share. Only a session in local mode that has none set
+    gets a folder of its own; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        _own_dir = _own_dir or tempfile.mkdtemp(prefix="sagitta-")
-        base = _own_dir
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="sagitta-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/sagitta-{uuid.uuid4().hex}"
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, for ``mapInArrow``, after which the worker gives the memory it freed back to the system: workers live on from
+    stage to stage, and what they hold counts against the executor."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage, and no lost executor costs a recomputation."""
     path = work_dir(df.sparkSession)

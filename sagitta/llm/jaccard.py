@@ -1,20 +1,24 @@
 """Exact Jaccard similarity join over word shingles, by token-combination prefixes.
 
 1. Every text becomes a set of 64-bit shingle hashes; equal sets are one node (its signature). A sketch of fixed size
-   counts all shingles, and sorts them into a rare class and frequent classes; rare ones that more than ALL_PAIRS
-   prefixes turn out to hold are frequent, too (any order of tokens is right; this one keeps keys small).
-2. Tokens are ordered rare first. Two sets that link share at least k tokens among the first n - ceil(t n) + k of each,
-   with k = 2 + n / ONE_MORE. Rare ones among these are indexed alone, frequent ones (a set has such only where nearly
-   all its tokens are frequent) in combinations of two; in sets above COMBINED, whose combinations would number
-   thousands, alone. So two sets that link meet in k - 1 keys at least.
-3. Up to ALL_PAIRS sets of a key are paired with each other. More are paired with the key's centre, the set with fewest
-   rare tokens; after the links found are closed, the key's sets in different components are paired exhaustively, so
-   nothing is dropped and a group of near copies never yields all its pairs. Pairs that meet too seldom are no candidates.
+   counts all shingles and tells frequent ones from rare ones; rare ones that more than ALL_PAIRS prefixes turn out to
+   hold are frequent, too (any division is right; this one keeps keys small).
+2. Tokens are ordered rare first. Two sets that link share k tokens at least among the first n - ceil(t n) + k of each,
+   with k = 2 + n / ONE_MORE. Where these are all rare in one of the sets, the two share k rare tokens, which are keys.
+   Otherwise both prefixes hold all rare tokens and reach frequent ones, so the prefix is extended to the whole set: two
+   such sets share a rare token, or differ in few enough frequent ones to agree in one of the combinations that
+   ``combination_keys`` makes of them, about five tokens each, whatever the size of the set.
+3. Up to ALL_PAIRS sets of a rare key are paired with each other. In all other keys, sets are paired with the key's
+   centre, the set with fewest rare tokens. The links found are closed; a key whose sets are then in one component is
+   done. In the others, the sets outside the key's largest component are joined with its sets of other components,
+   under bounds from sizes and from parity bitmaps of the whole sets, so that nothing that links is dropped and a group
+   of near copies never yields its pairs.
 4. Candidates are verified on their whole sets; components come from alternating stars of minima.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -24,18 +28,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, lookup_join, table, written
+from .common import HOT_SHARE, lookup_join, table, trimmed, written
 
 #: The sketch: counters, and in how many parts they are summed.
 COUNTERS, PARTS = 1 << 20, 64
-#: Bits of the filters of heavy tokens and of texts that are candidates (a filter's errors only cost work).
+#: Most bits of the filters of heavy tokens and of texts that are candidates (a filter's errors only cost work).
 FILTER_BITS = 1 << 25
-#: Sets of one key that are all paired; shingles of a set up to which frequent tokens are combined.
-ALL_PAIRS, COMBINED = 16, 64
+#: Sets of one rare key that are all paired.
+ALL_PAIRS = 16
 #: For so many shingles more, two sets must share one more key (their prefixes are longer by as much).
 ONE_MORE = 32
-#: Pairs that a task adds up before it sends them.
-WAITING = 500_000
+#: Longs of a set's parity bitmap; sets of a key that meet in one task at most; signatures that a task remembers.
+BITMAP, CHUNK, REMEMBERED = 8, 4096, 200_000
 #: Bytes hashed at once.
 _AT_ONCE = 1 << 18
 
@@ -132,17 +136,18 @@ def _described(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.uint32)
+        names = "doc_id row n sig part chunk counts"
         none = lambda n, kind: pa.nulls(n, kind)
         for b in _slices(batches):
             sets = [*shingle_sets(_texts(b), width)]
             counts += np.bincount(np.concatenate([*sets, np.empty(0, np.uint64)]) % np.uint64(COUNTERS), minlength=COUNTERS).astype(np.uint32)
-            yield _named("doc_id n sig part chunk counts", b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.int64()), none(len(sets), pa.int64()), none(len(sets), pa.int32()), none(len(sets), pa.binary()))
+            yield _named(names, b.column("doc_id"), b.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.int64()), none(len(sets), pa.int64()), none(len(sets), pa.int32()), none(len(sets), pa.binary()))
         n = TaskContext.get().partitionId()
         if counts.any():
             parts = counts.reshape(PARTS, -1)
-            yield _named("doc_id n sig part chunk counts", none(PARTS, pa.int64()), none(PARTS, pa.int64()), none(PARTS, pa.int64()), pa.array([n] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary()))
+            yield _named(names, *[none(PARTS, pa.int64())] * 4, pa.array([n] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary()))
 
-    return run
+    return trimmed(run)
 
 
 def _combined(parts: DataFrame, either: bool) -> dict[int, bytes]:
@@ -172,224 +177,247 @@ def _summed(sketches: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(found[i], np.uint64) for i in range(PARTS)]) if found else np.zeros(COUNTERS, np.uint64)
 
 
-def _bits_of(ids: np.ndarray) -> list[np.ndarray]:
+def _bits_of(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     mixed = _mix(ids.view(np.uint64))
-    return [(mixed >> np.uint64(s)) % np.uint64(FILTER_BITS) for s in (0, 29)]
+    return [(mixed >> np.uint64(s)) % np.uint64(bits) for s in (0, 29)]
 
 
 def _in_filter(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     out = np.ones(len(ids), bool)
-    for at in _bits_of(ids):
+    for at in _bits_of(ids, 8 * len(bits)):
         out &= (bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1) == 1
     return out
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of FILTER_BITS bits, as a bool for each, of the one column of ``ids``."""
+    """A Bloom filter, as packed bits (sixteen for each id, FILTER_BITS at most), of the one column of ``ids``, a stored table."""
+    size = min(FILTER_BITS, 1 << max(16, (16 * ids.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(size, bool)
         for b in batches:
-            for at in _bits_of(b.column(0).to_numpy()):
+            for at in _bits_of(b.column(0).to_numpy(), size):
                 bits[at] = True
         n = TaskContext.get().partitionId()
         if bits.any():
             yield _named("part chunk counts", pa.array([n] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([np.packbits(x).tobytes() for x in bits.reshape(PARTS, -1)], pa.binary()))
 
-    found = _combined(written(ids.mapInArrow(run, "part long, chunk int, counts binary")), True)
-    return np.concatenate([np.frombuffer(found[i], np.uint8) for i in range(PARTS)]) if found else np.zeros(FILTER_BITS // 8, np.uint8)
+    found = _combined(written(ids.mapInArrow(trimmed(run), "part long, chunk int, counts binary")), True)
+    return np.concatenate([np.frombuffer(found[i], np.uint8) for i in range(PARTS)]) if found else np.zeros(size // 8, np.uint8)
 
 
 def token_classes(counts: np.ndarray) -> np.ndarray:
-    """0 for counters that show chance only, then one class for each doubling: any order is right, this one splits best."""
+    """1 for counters that show more than chance, which hold the frequent tokens; else 0."""
     mean = counts.mean()
-    least = max(16.0, mean + 8 * mean**0.5)
-    return np.where(counts > least, 1 + np.floor(np.log2(np.maximum(counts, 1) / least)), 0).astype(np.uint8)
+    return (counts > max(16.0, mean + 8 * mean**0.5)).astype(np.uint8)
 
 
-def _prefix_keys(width: int, percent: int, classes, heavy=None):
-    """``key, sig, n, rare, frequent`` rows of each set that a partition holds first. ``heavy``: a filter of tokens that are frequent, too."""
+def _more(n):
+    return 1 + n // ONE_MORE
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, seen = classes.value, set()
-        bits = heavy.value if heavy else None
-        for b in _slices(batches):
-            out: list[tuple[np.ndarray, int, int, int, np.ndarray]] = []
-            for s in shingle_sets(_texts(b), width):
-                n = len(s)
-                if not n or (sig := signature(s)) in seen:
-                    continue
+
+def _prefix_length(n, percent: int):
+    return n - (percent * n + 99) // 100 + 1 + _more(n)
+
+
+def _most_apart(both, percent: int):
+    """Tokens that are in one of two linked sets only, at most; ``both``: the sum of their sizes."""
+    return (100 - percent) * both // (100 + percent)
+
+
+#: Where classes of sizes begin: each is half as large again as the one before.
+SIZES = [1, 2]
+while SIZES[-1] < 1 << 40:
+    SIZES.append(max(SIZES[-1] + 1, SIZES[-1] * 3 // 2))
+
+
+def combination_keys(often: np.ndarray, n: int, rare: int, percent: int) -> list[np.ndarray]:
+    """Keys of a set of ``n`` tokens by its frequent ones, ``often``: of two sets that link without a rare token in
+    common, at least one key is equal.
+
+    Sizes fall into classes; a set has keys for its own class and for those above that it can link with, and two sets
+    meet in the class of the larger. There, tokens are dealt to buckets, and a bucket's tokens are one combination. Sets
+    that link differ in ``apart`` tokens at most, so with apart + 1 + spare buckets they agree in 1 + spare or more. A
+    set needs fewer keys by the tokens that it can't have in common: its rare ones, and those by which it is smaller than
+    its class (the last buckets are left out, so at least 1 + spare of those that both sets have still agree). Empty
+    buckets are no key, unless a set has more than ``spare`` of them.
+    """
+    out, dealt, c = [], _mix(often), bisect.bisect_right(SIZES, n) - 1
+    while percent * SIZES[c] <= 100 * n:
+        upper = SIZES[c + 1] - 1
+        most, apart = _most_apart(2 * upper, percent), _most_apart(n + min(upper, 100 * n // percent), percent)
+        if apart >= max(1, rare):
+            spare = 2 + (most + 1) // 8
+            buckets, own = most + 1 + spare, apart + 1 + spare - rare
+            at = (dealt % np.uint64(buckets)).astype(np.int64)
+            total = np.zeros(buckets, np.uint64)
+            np.add.at(total, at, often)
+            use = np.flatnonzero(np.bincount(at, minlength=buckets)[:own])
+            if own - len(use) > spare:
+                use = np.arange(own)
+            out.append(_mix(total[use] + _mix(use.astype(np.uint64) + np.uint64(c << 40))))
+        c += 1
+    return out
+
+
+def parity_bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Bits of the parity of the tokens in each of 64 * BITMAP buckets: two sets differ in at least as many tokens as their
+    bitmaps in bits."""
+    at = (_mix(tokens) >> np.uint64(40)) % np.uint64(64 * BITMAP)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * BITMAP) & 1).view(np.int64)
+
+
+def _fresh_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Signature and tokens of the sets of more than one token (one links with itself only, and that is the same set),
+    for each slice of a partition; sets among the last REMEMBERED ones are left out."""
+    seen: set[int] = set()
+    for b in _slices(batches):
+        out = []
+        for s in shingle_sets(_texts(b), width):
+            if len(s) > 1 and (sig := signature(s)) not in seen:
                 seen.add(sig)
-                kind = of[s % np.uint64(COUNTERS)]
-                if bits is not None:
-                    kind = np.maximum(kind, _in_filter(bits, s.view(np.int64)))
-                first = np.lexsort((s, kind))[: _prefix_length(n, percent)]
-                rare, often = s[first][kind[first] == 0], s[first][kind[first] > 0]
-                keys = [rare]
-                if n == 1:
-                    # one shingle links with itself only, and that is the same set
-                    continue
-                if n <= COMBINED and len(often) > 1:
-                    i, j = np.triu_indices(len(often), 1)
-                    pair = np.sort(np.stack([often[i], often[j]]), axis=0)
-                    keys.append(_mix(pair[0] * np.uint64(3) + _mix(pair[1])))
-                if 100 * n > percent * COMBINED:
-                    keys.append(_mix(often + np.uint64(1)))
-                flag = np.zeros(sum(map(len, keys)), bool)
-                flag[len(rare) :] = True
-                out.append((np.concatenate(keys), sig, n, int((kind == 0).sum()), flag))
-            size = [len(x[0]) for x in out]
-            column = lambda i, kind: pa.array(np.repeat(np.array([x[i] for x in out], np.int64), size), kind)
-            if out:
-                yield _named("key sig n rare frequent", pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), column(1, pa.int64()), column(2, pa.int64()), column(3, pa.int64()), pa.array(np.concatenate([x[4] for x in out])))
-
-    return run
-
-
-def _pairs_of_runs(percent: int, of_run, names: str):
-    """From rows sorted by key: what ``of_run`` makes of the whole runs of keys in them."""
+                out.append((sig, s))
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        yield out
+
+
+def _rare_keys(width: int, percent: int, classes):
+    """``key``: the rare tokens in the prefix of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in _ended(batches):
-            if b is not None:
-                cols = [b.column(x).to_numpy() for x in names.split()]
-                cols = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols)]
-                if not len(cols[0]):
-                    continue
-                full = np.searchsorted(cols[0], cols[0][-1])
-                rest = [x[full:] for x in cols]
-                cols = [x[:full] for x in cols]
-            else:
-                cols = rest
-            if cols is not None and len(cols[0]):
-                yield from of_run(cols, percent)
+        of = classes.value
+        for sets in _fresh_sets(batches, width):
+            if sets:
+                yield _named("key", pa.array(np.concatenate([s[of[s % np.uint64(COUNTERS)] == 0][: _prefix_length(len(s), percent)] for _, s in sets]).view(np.int64)))
 
-    return run
+    return trimmed(run)
 
 
-def _ended(batches):
-    yield from batches
-    yield None
+_SET = "key sig n rare frequent " + " ".join(f"b{i}" for i in range(BITMAP))
 
 
-def _prefix_length(n, percent: int):
-    return n - (percent * n + 99) // 100 + 2 + n // ONE_MORE
+def _prefix_keys(width: int, percent: int, classes, heavy):
+    """Rows of ``key`` of each set, and one without a key that has its bitmap. ``heavy``: a filter of tokens that are frequent, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, bits = classes.value, heavy.value
+        for sets in _fresh_sets(batches, width):
+            keys: list[np.ndarray] = []
+            single, size, described, maps = [], [], [], []
+            for sig, s in sets:
+                n = len(s)
+                often = of[s % np.uint64(COUNTERS)] > 0
+                often |= _in_filter(bits, s.view(np.int64))
+                few = s[~often]
+                first = few[: _prefix_length(n, percent)]
+                more = combination_keys(s[often], n, len(few), percent) if len(first) == len(few) else []
+                keys += [first, *more]
+                single.append(len(first))
+                size.append(len(first) + sum(map(len, more)))
+                described.append((sig, n, len(few)))
+                maps.append(parity_bitmap(s))
+            if not sets:
+                continue
+            of_key = [np.repeat(np.array(x, np.int64), size) for x in zip(*described)]
+            frequent = np.concatenate([np.arange(z) >= a for a, z in zip(single, size)])
+            none = pa.nulls(len(frequent), pa.int64())
+            yield _named(_SET, pa.array(np.concatenate(keys).view(np.int64)), *map(pa.array, of_key), pa.array(frequent), *[none] * BITMAP)
+            sets_of = [pa.array(x, pa.int64()) for x in zip(*described)]
+            yield _named(_SET, pa.nulls(len(sets), pa.int64()), *sets_of, pa.nulls(len(sets), pa.bool_()), *map(pa.array, np.stack(maps).T.copy()))
+
+    return trimmed(run)
+
+
+_PAIR, _PAIRS = "a b need star key", "a long, b long, need long, star boolean, key long"
 
 
 def _pair_rows(sig, n, rare, a, b, percent: int, star) -> pa.RecordBatch:
     """``need``: in how many rare keys the two must meet to be candidates.
 
-    1 + n / ONE_MORE, unless both prefixes end in frequent tokens. Then these may be shared instead; but all rare tokens
+    1 + _more(n), unless both prefixes end in frequent tokens. Then these may be shared instead; but all rare tokens
     of both are keys, so a set's unshared ones are known, and with fewer shared than ``least`` the union is too large.
     """
     near = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
     a, b, star = a[near], b[near], star[near]
-    need = 1 + np.minimum(n[a], n[b]) // ONE_MORE
+    need = 1 + _more(np.minimum(n[a], n[b]))
     mixed = rare < _prefix_length(n, percent)
     least = -((-percent * (n[a] + n[b])) // (100 + percent)) - np.minimum(n[a] - rare[a], n[b] - rare[b])
     need = np.where(mixed[a] & mixed[b], np.minimum(need, np.maximum(1, least)), need)
-    return _named("a b need star key n rare", pa.array(np.minimum(sig[a], sig[b])), pa.array(np.maximum(sig[a], sig[b])), pa.array(need), pa.array(star), *[pa.nulls(len(a), pa.int64())] * 3)
-
-
-def _of_runs(cols: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of up to ALL_PAIRS sets of a key; of more, pairs with its centre, and rows of ``key`` for the later round."""
-    key, sig, n, rare = cols
-    fresh = np.r_[True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])]
-    if not fresh.all():
-        key, sig, n, rare = (x[fresh] for x in (key, sig, n, rare))
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[first, len(key)])
-    a, b, star, big = [], [], [], []
-    for r in np.unique(size[(size > 1) & (size <= ALL_PAIRS)]):
-        start = first[size == r]
-        i, j = np.triu_indices(r, 1)
-        a.append((start[:, None] + i).ravel())
-        b.append((start[:, None] + j).ravel())
-        star.append(np.zeros(len(a[-1]), bool))
-    for start, r in zip(first[size > ALL_PAIRS], size[size > ALL_PAIRS]):
-        centre = start + np.lexsort((sig[start : start + r], rare[start : start + r]))[0]
-        a.append(np.full(r - 1, centre))
-        b.append(np.delete(np.arange(start, start + r), centre - start))
-        star.append(np.ones(r - 1, bool))
-        big.append(np.arange(start, start + r))
-    if a:
-        yield _pair_rows(sig, n, rare, np.concatenate(a), np.concatenate(b), percent, np.concatenate(star))
-    if big:
-        big = np.concatenate(big)
-        none = pa.nulls(len(big), pa.int64())
-        yield _named("a b need star key n rare", pa.array(sig[big]), none, none, pa.nulls(len(big), pa.bool_()), pa.array(key[big]), pa.array(n[big]), pa.array(rare[big]))
-
-
-def _across_labels(percent: int):
-    """Pairs of a key's sets whose components differ, from rows sorted by key; ``n`` is in how many keys of this task they meet."""
-
-    def of_run(cols: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
-        key, sig, n, rare, label = cols
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        for start, end in zip(first, np.r_[first[1:], len(key)]):
-            size, of = n[start:end], label[start:end]
-            for lo in range(0, end - start, 512):
-                other = of[lo : lo + 512, None] < of[None]
-                other &= 100 * np.minimum(size[lo : lo + 512, None], size[None]) >= percent * np.maximum(size[lo : lo + 512, None], size[None])
-                i, j = np.nonzero(other)
-                if len(i):
-                    yield _pair_rows(sig, n, rare, start + lo + i, start + j, percent, np.zeros(len(i), bool))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs are added up before they are sent, WAITING at a time."""
-        held: list[tuple] = []
-        rows = 0
-
-        def summed() -> list[np.ndarray]:
-            a, b, need, times = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((b, a))
-            a, b, need, times = a[order], b[order], need[order], times[order]
-            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            return [a[first], b[first], np.minimum.reduceat(need, first), np.add.reduceat(times, first)]
+    return _named(_PAIR, pa.array(np.minimum(sig[a], sig[b])), pa.array(np.maximum(sig[a], sig[b])), pa.array(need), pa.array(star), pa.nulls(len(a), pa.int64()))
 
-        def sent(x: list[np.ndarray]) -> pa.RecordBatch:
-            none = pa.nulls(len(x[0]), pa.int64())
-            return _named("a b need star key n rare", pa.array(x[0]), pa.array(x[1]), pa.array(x[2]), pa.nulls(len(x[0]), pa.bool_()), none, pa.array(x[3]), none)
 
-        for p in _pairs_of_runs(percent, of_run, "key sig n rare label")(batches):
-            held.append((*(p.column(c).to_numpy() for c in ("a", "b", "need")), np.ones(p.num_rows, np.int64)))
-            rows += p.num_rows
-            if rows >= WAITING:
-                found = summed()
-                if len(found[0]) > WAITING // 2:
-                    yield sent(found)
-                    found = [x[:0] for x in found]
-                held, rows = [tuple(found)], len(found[0])
-        if rows:
-            yield sent(summed())
+def _rare_pairs(percent: int):
+    """From ``key sig n rare`` sorted by key, rare and sig: pairs of up to ALL_PAIRS sets of a key; of more, pairs with the
+    first, its centre, and a row with the key for each. No more than ALL_PAIRS rows of a key are held at once."""
 
-    return run
-
-
-def _heavy_runs(cols: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
-    """The keys of more than ALL_PAIRS rows."""
-    first = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
-    size = np.diff(np.r_[first, len(cols[0])])
-    yield _named("key", pa.array(cols[0][first[size > ALL_PAIRS]]))
+    def large(cols: list[np.ndarray], centre: list) -> Iterator[pa.RecordBatch]:
+        key, sig, n, rare = cols
+        yield _named(_PAIR, pa.array(sig), *[pa.nulls(len(sig), pa.int64())] * 2, pa.nulls(len(sig), pa.bool_()), pa.array(key))
+        sig, n, rare = (np.r_[c, x] for c, x in zip(centre[1:], (sig, n, rare)))
+        other = np.flatnonzero(sig != sig[0])
+        yield _pair_rows(sig, n, rare, np.zeros(len(other), np.int64), other, percent, np.ones(len(other), bool))
 
+    def whole(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        fresh = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]
+        key, sig, n, rare = (x[fresh] for x in cols)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[first, len(key)])
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for r in np.unique(size[(size > 1) & (size <= ALL_PAIRS)]):
+            i, j = np.triu_indices(r, 1)
+            a.append((first[size == r][:, None] + i).ravel())
+            b.append((first[size == r][:, None] + j).ravel())
+        a, b = np.concatenate(a), np.concatenate(b)
+        if len(a):
+            yield _pair_rows(sig, n, rare, a, b, percent, np.zeros(len(a), bool))
+        for start, r in zip(first[size > ALL_PAIRS], size[size > ALL_PAIRS]):
+            run = [x[start : start + r] for x in (key, sig, n, rare)]
+            yield from large(run, [x[0] for x in run])
 
-_PAIRS = "a long, b long, need long, star boolean, key long, n long, rare long"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = centre = None
+        for b in batches:
+            cols = [b.column(x).to_numpy() for x in ("key", "sig", "n", "rare")]
+            if not len(cols[0]):
+                continue
+            if centre is not None:
+                same = int(np.searchsorted(cols[0], centre[0], "right"))
+                if same:
+                    yield from large([x[:same] for x in cols], centre)
+                    cols = [x[same:] for x in cols]
+                if not len(cols[0]):
+                    continue
+                centre = None
+            if rest is not None:
+                cols = [np.concatenate(x) for x in zip(rest, cols)]
+            full = int(np.searchsorted(cols[0], cols[0][-1]))
+            if full:
+                yield from whole([x[:full] for x in cols])
+            rest = [x[full:] for x in cols]
+            if len(rest[0]) > ALL_PAIRS:
+                centre = [x[0] for x in rest]
+                yield from large(rest, centre)
+                rest = None
+        if rest is not None:
+            yield from whole(rest)
+
+    return trimmed(run)
 
 
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column("set_a"), b.column("set_b")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * shared >= percent * (len(both) - shared))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return trimmed(run)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -413,41 +441,48 @@ def components(edges: DataFrame) -> DataFrame:
     return written(roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct().join(edges.select(F.col("u").alias("node")), "node", "left_anti")))
 
 
-def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``.
+def _across(left: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of sets of different components that may link, from rows of the keys in which such sets meet.
 
-    Two rows link when 100 * intersection >= percent * union of their sets of ``width``-word shingles (fewer words: the
-    whole sequence; none: an empty set, which links with nothing). component_id: the smallest id reachable by links,
-    its own included; null for a null id, which links with nothing. Repeated rows are in one component.
-    """
+    Of two such sets one at least is outside the key's largest component (``top``). So only those are joined with all,
+    CHUNK sets of a key at a time. Bounds let pass what may link only: sizes; bits by which the bitmaps differ; and in
+    a frequent key, by which sets meet that share no rare token, the frequent tokens of each."""
+    chunks = F.ceil(F.col("w") / CHUNK).cast("int")
+    x = left.where("label <> top").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).alias("x")
+    y = left.withColumn("chunk", F.pmod(F.xxhash64("sig"), chunks).cast("int")).alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(BITMAP)), F.lit(0))
+    few = F.lit(100 + percent) * F.least(n - F.col("x.rare"), m - F.col("y.rare")) >= F.lit(percent) * (n + m)
+    once = (F.col("y.label") == F.col("y.top")) | (F.col("x.sig") < F.col("y.sig"))
+    may = (F.col("x.label") != F.col("y.label")) & once & (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (F.lit(100 + percent) * differ <= F.lit(100 - percent) * (n + m)) & (~F.col("x.frequent") | few)
+    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.chunk") == F.col("y.chunk")) & may)
+    return both.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
+
+
+def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, row, n, sig, component_id, kept`` for every row of ``docs``. row: a hash of its text; sig: its set, null if
+    empty; kept: the set of the row with the smallest id of the component."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = written(rows.mapInArrow(_described(width), "doc_id long, n long, sig long, part long, chunk int, counts binary"))
-    meta = out.where("chunk is null").select("doc_id", "n", "sig")
-    classes = docs.sparkSession.sparkContext.broadcast(token_classes(_summed(out.where("chunk is not null").select("part", "chunk", "counts"))))
+    out = written(rows.withColumn("row", F.xxhash64("text")).mapInArrow(_described(width), "doc_id long, row long, n long, sig long, part long, chunk int, counts binary"))
+    meta = out.where("chunk is null").select("doc_id", "row", "n", "sig")
+    shared = docs.sparkSession.sparkContext.broadcast
+    classes = shared(token_classes(_summed(out.where("chunk is not null").select("part", "chunk", "counts"))))
     nodes = written(meta.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
 
-    by_key = lambda rows, of_run, names, schema=_PAIRS: rows.select(*names.split()).repartition("key").sortWithinPartitions(*names.split()[:2]).mapInArrow(_pairs_of_runs(percent, of_run, names), schema)
     texts = rows.where("doc_id is not null").select("text")
-    key_rows = "key long, sig long, n long, rare long, frequent boolean"
     # what the sketch can't tell from chance: tokens that many prefixes hold are frequent from here on
-    heavy = by_key(texts.mapInArrow(_prefix_keys(width, percent, classes), key_rows).where("not frequent"), _heavy_runs, "key", "key long")
-    heavy = docs.sparkSession.sparkContext.broadcast(id_filter(heavy))
-    keys = written(texts.mapInArrow(_prefix_keys(width, percent, classes, heavy), key_rows))
-    found = written(by_key(keys.where("not frequent"), _of_runs, "key sig n rare"))
-    hot = keys.where("frequent")
+    heavy = written(texts.mapInArrow(_rare_keys(width, percent, classes), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") > ALL_PAIRS).select("key"))
+    heavy = shared(id_filter(heavy))
+    bits = [f"b{i}" for i in range(BITMAP)]
+    keys = written(texts.mapInArrow(_prefix_keys(width, percent, classes, heavy), "key long, sig long, n long, rare long, frequent boolean, " + ", ".join(f"{x} long" for x in bits)))
+    found = written(keys.where("not frequent").select("key", "sig", "n", "rare").repartition("key").sortWithinPartitions("key", "rare", "sig").mapInArrow(_rare_pairs(percent), _PAIRS))
+    hot = keys.where("frequent").select("key", "sig", "n", "rare")
     centres = written(hot.groupBy("key").agg(F.min(F.struct("rare", "sig", "n")).alias("c"), F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count(F.lit(1)).alias("w")).where("lo <> hi").select("key", F.col("c.sig").alias("centre"), F.col("c.n").alias("cn"), F.col("c.rare").alias("cr"), "w"))
     at_hot = written(lookup_join(hot, centres, "key", "w", hot.count()).where("centre is not null"))
-    need = lambda x, y: 1 + F.floor(F.least(x, y) / ONE_MORE)
-
-    def near(n, rare, m, more):
-        """Sizes fit, and the sets may link without a rare token in common (with one, they meet in a rare key)."""
-        return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (F.lit(100 + percent) * F.least(n - rare, m - more) >= F.lit(percent) * (n + m))
-
-    stars = at_hot.where((F.col("sig") != F.col("centre")) & near(F.col("n"), F.col("rare"), F.col("cn"), F.col("cr"))).select(F.least("sig", "centre").alias("a"), F.greatest("sig", "centre").alias("b"), need(F.col("n"), F.col("cn")).alias("need"), F.lit(True).alias("star"))
+    far = (F.lit(100) * F.least("n", "cn") < F.lit(percent) * F.greatest("n", "cn")) | (F.lit(100 + percent) * F.least(F.col("n") - F.col("rare"), F.col("cn") - F.col("cr")) < F.lit(percent) * (F.col("n") + F.col("cn")))
+    stars = at_hot.where((F.col("sig") != F.col("centre")) & ~far).select(F.least("sig", "centre").alias("a"), F.greatest("sig", "centre").alias("b"), F.lit(1).cast("long").alias("need"))
     # in how many keys two sets meet: exact where all sets of a key are paired, with centres only a hint
-    met = written(found.where("b is not null").select("a", "b", "need", "star").unionByName(stars).groupBy("a", "b").agg(F.min("need").alias("need"), F.count(F.lit(1)).alias("times"), F.count_if(~F.col("star")).alias("sure")))
-    pairs = written(met.where("times >= need").select("a", "b"))
-    big = found.where("b is null").select("key", F.col("a").alias("sig"), "n", "rare", F.lit(False).alias("frequent")).unionByName(at_hot.select("key", "sig", "n", "rare", F.lit(True).alias("frequent"))).distinct()
+    pairs = written(found.where("b is not null").select("a", "b", "need").unionByName(stars).groupBy("a", "b").agg(F.min("need").alias("need"), F.count(F.lit(1)).alias("times")).where("times >= need").select("a", "b"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = written(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).groupBy("sig").agg(F.count(F.lit(1)).alias("w")))
@@ -465,59 +500,62 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
 
     def whole_sets(wanted: DataFrame) -> DataFrame:
         """``sig, tokens`` of the nodes ``wanted(sig)`` (and of a few others, by chance of the filter), hashed again from their texts."""
-        bits = docs.sparkSession.sparkContext.broadcast(id_filter(nodes.join(wanted.select("sig"), "sig", "left_semi").select("rep")))
+        of = shared(id_filter(written(nodes.join(wanted.select("sig"), "sig", "left_semi").select("rep"))))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in _slices(batches):
-                near = _in_filter(bits.value, b.column("doc_id").to_numpy())
+                near = _in_filter(of.value, b.column("doc_id").to_numpy())
                 found = [s for s in shingle_sets(_texts(b.filter(pa.array(near))), width) if len(s)]
                 yield _named("sig tokens", pa.array([signature(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()))
 
-        return written(rows.where("doc_id is not null").mapInArrow(sets, "sig long, tokens binary"))
+        return written(rows.where("doc_id is not null").mapInArrow(trimmed(sets), "sig long, tokens binary"))
 
     links = verify(pairs)
     labels = components(links)
-    split = written(big.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")))
-    mixed = split.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    left = written(split.join(mixed, "key", "left_semi"))
-    if left.limit(1).count():
-        # every two sets of different components that meet in such keys: in rare ones, with how often they meet in all.
-        # A set in too few of them can only be a candidate with sets that it meets in other keys, too; those pairs are known.
-        rare_left = left.where("not frequent")
-        held = written(rare_left.groupBy("sig").agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("label").alias("label")))
-        size = F.col("n")
-        ends_frequent = F.col("rare") < size - F.floor((percent * size + 99) / 100) + 2 + F.floor(size / ONE_MORE)
-        rich = held.where(ends_frequent | (F.col("held") >= 1 + F.floor(percent * size / 100 / ONE_MORE))).select("sig")
-        of_rich = rare_left.join(rich, "sig", "left_semi").select("key", "sig", "n", "rare", "label").repartition("key").sortWithinPartitions("key", "sig")
-        again = of_rich.mapInArrow(_across_labels(percent), _PAIRS).groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("n").alias("times"))
-        by_rare = again.join(met.select("a", "b", "sure"), ["a", "b"], "left").where(F.col("times") + F.coalesce("sure", F.lit(0)) >= F.col("need")).select("a", "b")
-        side = lambda name: held.select(F.col("sig").alias(name), F.col("held").alias(f"held_{name}"), F.col("label").alias(f"label_{name}"))
-        few = met.where("sure > 0 and times < need").join(side("a"), "a").join(side("b"), "b").where((F.col("label_a") != F.col("label_b")) & (F.col("sure") + F.least("held_a", "held_b") >= F.col("need")))
-        by_rare = by_rare.unionByName(few.select("a", "b"))
-        x, y = left.where("frequent").alias("x"), left.where("frequent").alias("y")
-        both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & near(F.col("x.n"), F.col("x.rare"), F.col("y.n"), F.col("y.rare")))
-        by_often = both.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"), need(F.col("x.n"), F.col("y.n")).alias("need")).groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("times")).where("times >= need").select("a", "b")
-        more = by_rare.unionByName(by_often).distinct()
-        more = written(more.join(pairs, ["a", "b"], "left_anti"))
-        if more.limit(1).count():
-            labels = components(links.unionByName(verify(more)))
-
-    joined = nodes.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    joined = written(joined)
-    smallest = joined.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("w"))
-    of_sig = written(lookup_join(joined.select("sig", "copies", "label"), smallest, "label", "w", joined.count()).select("sig", "component_id", "copies"))
+    known = written(keys.where("key is null").drop("key", "frequent").dropDuplicates(["sig"]).join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig")))
+    large = found.where("b is null").select("key", F.col("a").alias("sig"), F.lit(False).alias("frequent")).unionByName(at_hot.select("key", "sig", F.lit(True).alias("frequent")))
+    split = written(large.join(known.select("sig", "label"), "sig").distinct())
+    by_label = split.groupBy("key", "label").agg(F.count(F.lit(1)).alias("w"))
+    mixed = written(by_label.groupBy("key").agg(F.sum("w").alias("w"), F.max(F.struct("w", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "w", F.col("top.label").alias("top")))
+    left = written(lookup_join(split.drop("label"), mixed, "key", "w", split.count()).where("top is not null").join(known, "sig"))
+    more = written(_across(left, percent).join(pairs, ["a", "b"], "left_anti"))
+    if more.limit(1).count():
+        labels = components(written(links.unionByName(verify(more))))
+
+    joined = written(nodes.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")))
+    smallest = joined.groupBy("label").agg(F.min(F.struct("rep", "sig")).alias("first"), F.count(F.lit(1)).alias("w")).select("label", F.col("first.rep").alias("component_id"), F.col("first.sig").alias("kept"), "w")
+    of_sig = written(lookup_join(joined.select("sig", "copies", "label"), smallest, "label", "w", joined.count()).select("sig", "component_id", "kept", "copies"))
     done = lookup_join(meta, of_sig, "sig", "copies", meta.count())
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return done.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return done.select("doc_id", "row", "n", "sig", own.alias("component_id"), "kept")
+
+
+def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs``.
+
+    Two rows link when 100 * intersection >= percent * union of their sets of ``width``-word shingles (fewer words: the
+    whole sequence; none: an empty set, which links with nothing). component_id: the smallest id reachable by links,
+    its own included; null for a null id, which links with nothing. Repeated rows are in one component. Texts of any
+    length are taken whole; an empty table gives an empty result; other columns of ``docs``, whatever their names, play
+    no part.
+    """
+    return _classes(docs, width, percent, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with their own columns, whose id is the smallest of its component; of repeated ids one row.
+    """The rows of ``docs``, with their own columns, of which one stays of each component: that with the smallest id.
 
-    Rows without an id link with nothing and stay, as do rows without words."""
-    found = jaccard_components(docs, width, percent, id_col, text_col)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    What decides is the row, not its id: if rows of one id have texts of different components, each component keeps one.
+    Of rows with equal id and text one stays (any, if other columns differ); rows without words link with nothing and
+    stay, as do all rows without an id. An empty table stays empty; columns may have any names.
+    """
+    found = _classes(docs, width, percent, id_col, text_col).where("doc_id is not null")
+    first = found.where("sig is null or (doc_id = component_id and sig = kept)")
+    # of one id and one set, texts may still differ in blanks and case
+    kept = first.where("sig is not null").groupBy("doc_id", "sig").agg(F.min("row").alias("row")).unionByName(first.where("sig is null").select("doc_id", "sig", "row")).select("doc_id", "row").distinct()
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("whole"))
+    once = whole.where("doc_id is not null").join(kept, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
+    return once.select("whole.*").unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

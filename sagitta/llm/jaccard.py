@@ -10,9 +10,9 @@
    ``combination_keys`` makes of them, about five tokens each, whatever the size of the set.
 3. Up to ALL_PAIRS sets of a rare key are paired with each other. In all other keys, sets are paired with the key's
    centre, the set with fewest rare tokens. The links found are closed; a key whose sets are then in one component is
-   done. In the others, the sets outside the key's largest component are joined with its sets of other components,
-   under bounds from sizes and from parity bitmaps of the whole sets, so that nothing that links is dropped and a group
-   of near copies never yields its pairs.
+   done. In the others, the sets outside the key's largest component are joined with the sets of that and of other
+   components, under bounds from sizes and from parity bitmaps of the whole sets, so that nothing that links is dropped
+   and a group of near copies never yields its pairs.
 4. Candidates are verified on their whole sets; components come from alternating stars of minima.
 """
 
@@ -38,8 +38,10 @@ FILTER_BITS = 1 << 25
 ALL_PAIRS = 16
 #: For so many shingles more, two sets must share one more key (their prefixes are longer by as much).
 ONE_MORE = 32
-#: Longs of a set's parity bitmap; sets of a key that meet in one task at most; signatures that a task remembers.
-BITMAP, CHUNK, REMEMBERED = 8, 4096, 200_000
+#: Longs of the parity bitmap of a set of WIDE shingles or more, and of smaller ones.
+BITMAP, NARROW, WIDE = 32, 8, 300
+#: Sets of a key that meet in one task at most; signatures that a task remembers.
+CHUNK, REMEMBERED = 4096, 200_000
 #: Bytes hashed at once.
 _AT_ONCE = 1 << 18
 
@@ -261,9 +263,10 @@ def combination_keys(often: np.ndarray, n: int, rare: int, percent: int) -> list
 
 
 def parity_bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Bits of the parity of the tokens in each of 64 * BITMAP buckets: two sets differ in at least as many tokens as their
-    bitmaps in bits."""
-    at = (_mix(tokens) >> np.uint64(40)) % np.uint64(64 * BITMAP)
+    """Bits of the parity of the tokens in each of many buckets: two sets, both of WIDE tokens or more or both smaller,
+    differ in at least as many tokens as their bitmaps in bits."""
+    many = 64 * (BITMAP if len(tokens) >= WIDE else NARROW)
+    at = (_mix(tokens) >> np.uint64(40)) % np.uint64(many)
     return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * BITMAP) & 1).view(np.int64)
 
 
@@ -441,21 +444,25 @@ def components(edges: DataFrame) -> DataFrame:
     return written(roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct().join(edges.select(F.col("u").alias("node")), "node", "left_anti")))
 
 
-def _across(left: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of sets of different components that may link, from rows of the keys in which such sets meet.
+def _across(met: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of sets of different components that may link.
 
-    Of two such sets one at least is outside the key's largest component (``top``). So only those are joined with all,
-    CHUNK sets of a key at a time. Bounds let pass what may link only: sizes; bits by which the bitmaps differ; and in
-    a frequent key, by which sets meet that share no rare token, the frequent tokens of each."""
-    chunks = F.ceil(F.col("w") / CHUNK).cast("int")
-    x = left.where("label <> top").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).alias("x")
-    y = left.withColumn("chunk", F.pmod(F.xxhash64("sig"), chunks).cast("int")).alias("y")
+    ``met``: for each key in which such sets meet, rows of ``top`` (the key's largest component), ``frequent`` and ``sig``.
+    Of two such sets one at least is outside ``top``. So all sets of the keys that a component tops are one group, however
+    many keys they share, and in a group the sets outside the component are joined with all others, CHUNK at a time.
+    Bounds let pass what may link only: sizes; bits by which the bitmaps differ; and of sets that meet in frequent keys
+    and need share no rare token, the frequent tokens of each."""
+    rows = written(met.distinct())
+    chunks = rows.groupBy("top", "frequent").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    sets = written(rows.join(chunks, ["top", "frequent"]).join(known, "sig"))
+    x = sets.where("label <> top").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).alias("x")
+    y = sets.withColumn("chunk", F.pmod(F.xxhash64("sig"), "chunks").cast("int")).alias("y")
     n, m = F.col("x.n"), F.col("y.n")
     differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(BITMAP)), F.lit(0))
     few = F.lit(100 + percent) * F.least(n - F.col("x.rare"), m - F.col("y.rare")) >= F.lit(percent) * (n + m)
     once = (F.col("y.label") == F.col("y.top")) | (F.col("x.sig") < F.col("y.sig"))
-    may = (F.col("x.label") != F.col("y.label")) & once & (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (F.lit(100 + percent) * differ <= F.lit(100 - percent) * (n + m)) & (~F.col("x.frequent") | few)
-    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.chunk") == F.col("y.chunk")) & may)
+    may = (F.col("x.label") != F.col("y.label")) & once & (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (((n >= WIDE) != (m >= WIDE)) | (F.lit(100 + percent) * differ <= F.lit(100 - percent) * (n + m))) & (~F.col("x.frequent") | few)
+    both = x.join(y, (F.col("x.top") == F.col("y.top")) & (F.col("x.frequent") == F.col("y.frequent")) & (F.col("x.chunk") == F.col("y.chunk")) & may)
     return both.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
 
 
@@ -517,8 +524,8 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     split = written(large.join(known.select("sig", "label"), "sig").distinct())
     by_label = split.groupBy("key", "label").agg(F.count(F.lit(1)).alias("w"))
     mixed = written(by_label.groupBy("key").agg(F.sum("w").alias("w"), F.max(F.struct("w", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "w", F.col("top.label").alias("top")))
-    left = written(lookup_join(split.drop("label"), mixed, "key", "w", split.count()).where("top is not null").join(known, "sig"))
-    more = written(_across(left, percent).join(pairs, ["a", "b"], "left_anti"))
+    met = lookup_join(split.drop("label"), mixed, "key", "w", split.count()).where("top is not null").select("top", "frequent", "sig")
+    more = written(_across(met, known, percent).join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         labels = components(written(links.unionByName(verify(more))))
 

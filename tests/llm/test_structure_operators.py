@@ -248,6 +248,49 @@ def test_near_duplicates_and_empty(spark):
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_by_row(spark):
+    """Each text keeps one row, also where rows of one id have different texts."""
+    w, u = "a b c d e f g h", "i j k l m n o p"
+    docs = spark.createDataFrame([(1, w), (2, w), (2, u), (3, u), (3, u.upper()), (4, ""), (4, None), (4, "")], "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("sig", F.lit("x"))
+    kept = jaccard.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == [(1, w), (2, u), (4, ""), (4, "")]
+    again = jaccard.drop_near_duplicates(docs.where("doc_id = 3"))
+    assert again.count() == 1
+
+
+def test_large_groups(spark):
+    """2,000 near copies of one text, and a line in every document, beside texts at the edge of linking."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    line = " ".join(f"common{i}" for i in range(30))
+    rows = []
+    for i in range(2000):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 1, 1, 2])):
+            copy[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(2000 + i, line + "".join(f" y{rng.randrange(10**6)}" for _ in range(rng.choice([0, 1, 3, 5, 40])))) for i in range(400)]
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect())
+    assert found == brute_components(rows, 4, 85)
+
+
+def test_combination_keys():
+    """Two sets that may link without a rare token in common always share a combination."""
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        percent = int(rng.choice([80, 85, 90]))
+        n = int(rng.choice([3, 7, 9, 13, 20, 40, 100, 400]))
+        x = rng.integers(0, 2**63, n).astype(np.uint64)
+        apart = (100 - percent) * 2 * n // (100 + percent)
+        gone, more, ra, rb = (int(v) for v in rng.multinomial(rng.integers(0, apart + 1), [0.25] * 4))
+        fa, fb = x[: max(1, n - ra)], np.concatenate([x[gone : max(1, n - ra)], rng.integers(0, 2**63, more).astype(np.uint64)])
+        na, nb = len(fa) + ra, len(fb) + rb
+        both = len(np.intersect1d(fa, fb))
+        if both and 100 * both >= percent * (na + nb - both) and (na, ra) != (nb, rb):
+            a, b = (np.concatenate([np.empty(0, np.uint64), *jaccard.combination_keys(np.sort(f), k, r, percent)]) for f, k, r in ((fa, na, ra), (fb, nb, rb)))
+            assert len(np.intersect1d(a, b)), (percent, na, nb, ra, rb)
+
+
 def test_frequent_tokens(spark, monkeypatch):
     """With a sketch that calls nearly everything frequent, combinations and centres must find the same."""
     monkeypatch.setattr(jaccard, "token_classes", lambda counts: (counts > 1).astype(np.uint8))

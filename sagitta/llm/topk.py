@@ -1,11 +1,12 @@
 """Exact top-k inner products by three phases with a uniform threshold.
 
-A vector's components form SLICES lists. Phase 1: every partition gathers the head of each of its local score lists
-and the full scores of what stands there; each query's k-th best of them all is a safe cutoff. Phase 2: the cutoff is
-broadcast, and a candidate is collected only if one of its slice scores reaches the uniform threshold cutoff / SLICES
-(if none does, their sum can't reach the cutoff). Phase 3: the remaining slice scores of the collected are added
-exactly, and each partition's k best go to the final ranking. Queries come in blocks of BLOCK, so what is broadcast has
-a fixed bound; no pair of a query and a candidate is ever shuffled.
+A vector's components form SLICES lists of partial scores. Phase 1 makes the first list only: every partition gathers the
+full scores of its head, and each query's k-th best of all heads is a safe cutoff. Phase 2: the cutoff is broadcast, and
+lists are made one after the other, for those candidates only that can still reach it by what their remaining components
+can add at most; entries are collected where one list at least reaches the uniform threshold cutoff / SLICES (if none
+does, their sum can't reach the cutoff). Phase 3: the scores of the collected are added up exactly, and each partition's k
+best go to the final ranking. Queries come in blocks of BLOCK, one after the other, so what is broadcast has a fixed
+bound; no pair of a query and a candidate is ever shuffled.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, trimmed, written
 
 SLICES, BLOCK, TILE = 4, 4096, 1024
 #: Below every score, and safe to negate.
@@ -27,24 +28,30 @@ LOWEST = -(1 << 62)
 
 def quantised(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and floor(scale * x), by vector length, of the rows that take part."""
-    by_size: dict[int, tuple[list, list]] = {}
-    for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-        if i is None or not v.is_valid or v.values.null_count or not len(v.values):
-            continue
-        x = np.floor(v.values.to_numpy(zero_copy_only=False).astype(np.float64) * scale)
-        if np.isfinite(x).all():
-            ids, rows = by_size.setdefault(len(x), ([], []))
-            ids.append(i)
-            rows.append(x)
-    for ids, rows in by_size.values():
-        yield np.array(ids, np.int64), np.stack(rows)
+    ids, vectors = batch.column(0), batch.column(1)
+    size = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = vectors.flatten()
+    with np.errstate(over="ignore", invalid="ignore"):
+        x = np.floor(values.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) * scale)
+    ends = np.cumsum(size)
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(x))])
+    good = ids.is_valid().to_numpy(zero_copy_only=False) & vectors.is_valid().to_numpy(zero_copy_only=False) & (bad[ends] == bad[ends - size])
+    known = ids.fill_null(0).to_numpy(zero_copy_only=False)
+    for n in np.unique(size[good]):
+        rows = np.flatnonzero(good & (size == n))
+        yield known[rows], x[(ends - size)[rows, None] + np.arange(n)]
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products, exact: in float64 where no sum can pass 2**53, else in int64."""
-    if np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1] < 2**53:
+    """Integer inner products, exact: in float64 where no sum can pass 2**53, else in int64 or Python's integers; what a long
+    doesn't hold becomes the largest or smallest score."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
+    if most < 2**53:
         return (q @ c.T).astype(np.int64)
-    return q.astype(np.int64) @ c.astype(np.int64).T
+    if most < 2**62:
+        return q.astype(np.int64) @ c.astype(np.int64).T
+    whole = np.frompyfunc(int, 1, 1)
+    return np.clip(whole(q) @ whole(c).T, LOWEST + 1, -LOWEST - 1).astype(np.int64)
 
 
 class Best:
@@ -67,54 +74,95 @@ class Best:
 
 
 def _tiles(batches, scale, blocks):
-    """For each tile of candidates and block of queries of one length: numbers and slice scores."""
+    """Each tile of candidates with each block of queries of the same length: numbers, own ids and vectors, ids and vectors."""
     for b in batches:
         for at in range(0, b.num_rows, TILE):
             for ids, rows in quantised(b.slice(at, TILE), scale):
                 for numbers, own, vectors in blocks:
-                    if vectors.shape[1] != rows.shape[1]:
-                        continue
-                    cuts = np.linspace(0, rows.shape[1], SLICES + 1).astype(int)
-                    for lo in range(0, len(numbers), TILE):
-                        q = vectors[lo : lo + TILE]
-                        slices = [products(q[:, a:z], rows[:, a:z]) for a, z in zip(cuts, cuts[1:])]
-                        other = own[lo : lo + TILE, None] != ids[None]
-                        yield numbers[lo : lo + TILE], ids, slices, other
+                    if vectors.shape[1] == rows.shape[1]:
+                        for lo in range(0, len(numbers), TILE):
+                            yield numbers[lo : lo + TILE], own[lo : lo + TILE], vectors[lo : lo + TILE], ids, rows
+
+
+def _cuts(n: int) -> list[tuple[int, int]]:
+    at = np.linspace(0, n, SLICES + 1).astype(int)
+    return [*zip(at, at[1:])]
+
+
+def _pairs(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows of two arrays of one shape."""
+    if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < 2**53:
+        return np.einsum("ij,ij->i", q, c).astype(np.int64)
+    return np.array([products(x[None], y[None])[0, 0] for x, y in zip(q, c)], np.int64)
+
+
+def head(q: np.ndarray, c: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phase 1, from the first list alone: places of its ``k`` highest entries of each query, and their full scores."""
+    a, z = _cuts(q.shape[1])[0]
+    first = np.where(other, products(q[:, a:z], c[:, a:z]), LOWEST)
+    near = np.zeros(other.shape, bool)
+    np.put_along_axis(near, np.argpartition(-first, min(k, first.shape[1]) - 1, axis=1)[:, :k], True, axis=1)
+    i, j = np.nonzero(near & other)
+    return i, j, _pairs(q[i], c[j])
+
+
+def reaching(q: np.ndarray, c: np.ndarray, other: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Phases 2 and 3: places and scores of all entries that reach their query's cutoff, and how many list entries were made."""
+    cuts = _cuts(q.shape[1])
+    if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] >= 2**60:
+        cuts = [(0, q.shape[1])]  # partial sums might pass what a long holds
+    score = np.zeros(other.shape, np.int64)
+    #: ceil(cutoff / SLICES): integers below it can't sum up to the cutoff
+    least, near, made = -(-cut // len(cuts)), np.zeros(other.shape, bool), 0
+    at = np.arange(len(c))
+    for n, (a, z) in enumerate(cuts):
+        part = products(q[:, a:z], c[at, a:z])
+        made += part.size
+        score[:, at] += part
+        near[:, at] |= part >= least[:, None]
+        if z < q.shape[1]:
+            # by Cauchy and Schwarz, a little more than what the rest of both can add
+            rest = np.sqrt((q[:, z:] ** 2).sum(1))[:, None] * np.sqrt((c[at, z:] ** 2).sum(1))[None] * (1 + 1e-9) + 1
+            at = at[((score[:, at] + rest >= cut[:, None]) & other[:, at]).any(0)]
+            if not len(at):
+                break
+    whole = np.zeros(len(c), bool)
+    whole[at] = True
+    # scores of dropped candidates aren't complete
+    i, j = np.nonzero(near & other & whole[None] & (score >= cut[:, None]))
+    return i, j, score[i, j], made
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` highest integer inner products of floor(scale * x), ties to the smaller vec_id.
 
-    Candidates: all rows of ``vectors`` but those with the query's own id. Rows whose id or vector is null, empty or
-    holds null or non-finite components take no part; vectors of different lengths don't meet. Repeated candidates are
-    ranked each by itself; of repeated query ids each gets its ranks. Fewer than k candidates: all of them.
+    Candidates: all rows of ``vectors`` but those with the query's own id. Rows whose id or vector is null or whose vector
+    holds null or non-finite components (also after scaling) take no part; vectors of different lengths don't meet, empty
+    ones score 0. Scores that a long can't hold count as 2**62 - 1. Repeated candidates are ranked each by itself; of
+    repeated query ids each gets its ranks. Fewer than k candidates: all of them. Empty tables give an empty result;
+    other columns play no part.
     """
     spark = vectors.sparkSession
     sent_rows = queries.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"))
-    candidates = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
+    candidates = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     found, block = [], []
 
     def search(block: list[tuple[int, list]]) -> DataFrame:
         by_size: dict[int, list[int]] = {}
         for n, (_, v) in enumerate(block):
             by_size.setdefault(len(v), []).append(n)
-        blocks = [(np.array(x, np.int64), np.array([block[n][0] for n in x], np.int64), np.array([block[n][1] for n in x])) for x in by_size.values()]
+        blocks = [(np.array(x, np.int64), np.array([block[n][0] for n in x], np.int64), np.array([block[n][1] for n in x], np.float64).reshape(len(x), size)) for size, x in by_size.items()]
         sent = spark.sparkContext.broadcast(blocks)
 
         def heads(batches):
             best = Best(k)
-            for numbers, ids, slices, other in _tiles(batches, scale, sent.value):
-                total, near = sum(slices), np.zeros(other.shape, bool)
-                for s in slices:
-                    s = np.where(other, s, LOWEST)
-                    top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
-                    np.put_along_axis(near, top, True, axis=1)
-                q, c = np.nonzero(near & other)
-                best.add(numbers[q], ids[c], total[q, c])
+            for numbers, own, q, ids, c in _tiles(batches, scale, sent.value):
+                i, j, scores = head(q, c, own[:, None] != ids[None], k)
+                best.add(numbers[i], ids[j], scores)
             yield best.batch()
 
         order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-        ranked = candidates.mapInArrow(heads, "q long, vec_id long, score long").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+        ranked = candidates.mapInArrow(trimmed(heads), "q long, vec_id long, score long").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
         cutoff = np.full(len(block), LOWEST)
         for q, score in ranked.where(F.col("r") == k).select("q", "score").collect():
             cutoff[q] = score
@@ -122,27 +170,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
 
         def collected(batches):
             best = Best(k)
-            for numbers, ids, slices, other in _tiles(batches, scale, sent.value):
-                cut = safe.value[numbers][:, None]
-                # ceil(cutoff / SLICES): integers below it can't sum up to the cutoff
-                least = -(-cut // SLICES)
-                near = other & (slices[0] >= least)
-                for s in slices[1:]:
-                    near |= other & (s >= least)
-                q, c = np.nonzero(near)
-                score = sum(s[q, c] for s in slices)
-                enough = score >= cut[q, 0]
-                best.add(numbers[q[enough]], ids[c[enough]], score[enough])
+            for numbers, own, q, ids, c in _tiles(batches, scale, sent.value):
+                i, j, scores, _ = reaching(q, c, own[:, None] != ids[None], safe.value[numbers])
+                best.add(numbers[i], ids[j], scores)
             yield best.batch()
 
         ids = spark.createDataFrame([(n, i) for n, (i, _) in enumerate(block)], "q long, query_id long")
-        rows = candidates.mapInArrow(collected, "q long, vec_id long, score long").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        return rows.join(F.broadcast(ids), "q").select("query_id", "rank", "vec_id", "score")
+        rows = candidates.mapInArrow(trimmed(collected), "q long, vec_id long, score long").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = written(rows.join(F.broadcast(ids), "q").select("query_id", "rank", "vec_id", "score"))
+        # the next block takes the place of this one
+        sent.unpersist()
+        safe.unpersist()
+        return out
 
     for i, v in sent_rows.toLocalIterator():
-        if i is None or not v or any(x is None or not np.isfinite(x) for x in v):
+        if i is None or v is None or any(x is None for x in v):
+            continue
+        with np.errstate(over="ignore", invalid="ignore"):
+            x = np.floor(np.array(v, np.float64) * scale)
+        if not np.isfinite(x).all():
             continue
-        block.append((i, [float(x) for x in np.floor(np.array(v) * scale)]))
+        block.append((i, x))
         if len(block) == BLOCK:
             found.append(search(block))
             block = []

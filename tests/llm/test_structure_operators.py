@@ -18,11 +18,18 @@ def test_blocks():
     page = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body class="page"><header><h2>Site</h2></header><nav><ul><li><a href="/">Home</a></li></ul></nav><!-- <p>no</p> -->
 <div class="ad">Buy</div><div id="cookie-notice">Accept</div><article><header><h1>Ti&shy;tle &amp; more</h1></header><p><b>One&nbsp;two<br>three<p>four <em>five</em>six</p><aside>side</aside><form><p>mail</p></form>
 <div class="share-buttons">Share</div><pre>a\n  b</pre><table><tr><td>x</td><td>y</td></tr></table><ul><li>i<li>j</ul>&lt;b&gt; &#x41;&notanentity;</article><section id="comments"><p>Nice!</p></section><footer>(c)</footer></body></html>"""
-    assert [x for x, _ in html.blocks(page)] == ["Ti­tle & more", "One two", "three", "four fivesix", "a b", "x", "y", "i", "j", "<b> A¬anentity;"]
+    alone = lambda page: html.main_text(html.blocks(page), [])[0].split("\n")
+    assert alone(page) == ["Ti­tle & more", "One two", "three", "four fivesix", "a b", "x", "y", "i", "j", "<b> A¬anentity;"]
+    assert [x for x, k in html.blocks(page) if k == html.DROPPED_LINE] == ["Site", "Home", "Buy", "Accept", "side", "mail", "Share", "Nice!", "(c)"]
     assert html.blocks(None) == html.blocks("") == html.blocks("<script>never closed") == []
-    assert html.blocks("<p>a <b>b") == [("a b", False)]
-    assert html.blocks('<div class="wrapper with-sidebar"><p>kept</p><div class="sidebar">gone</div><p style="display: none">gone</p><p hidden>gone</p><p data-hidden="1">kept, too</p></div>') == [("kept", False), ("kept, too", False)]
-    assert html.blocks('<main><h1 class="article-header">Title</h1><p>x<div role="navigation">1 2 3</div><ul class="commentList"><li>no</ul>y</main><p>outside') == [("Title", True), ("x", True), ("y", True)]
+    assert html.blocks("<p>a <b>b") == [("a b", html.PLAIN)]
+    assert alone('<div class="wrapper with-sidebar"><p>kept</p><div class="sidebar">gone</div><p style="display: none">gone</p><p hidden>gone</p><p data-hidden="1">kept, too</p></div>') == ["kept", "kept, too"]
+    assert alone('<main><h1 class="article-header">Title</h1><p>x<div role="navigation">1 2 3</div><ul class="commentList"><li>no</ul>y</main><p>outside') == ["Title", "x", "y"]
+    # a stray quote ends with its tag; quotes behind an equals sign may hold a >
+    assert alone('<p>Hello <a href=x">link</a> there</p><p>Second</p>') == ["Hello link there", "Second"]
+    assert alone('<p title="a > b">one</p><p title=\'>\'>two</p><p title="never closed>three</p>') == ["one", "two", "three"]
+    # a mark is a whole word of the class, with nothing but general words beside it
+    assert alone('<article><p class="share-price">Up</p><p class="ad-hoc">committee</p><p class="lead share-buttons">gone</p><p class="ad-box">gone</p><p>a <span class="ad">x</span> b</article>') == ["Up", "committee", "a b"]
 
 
 def test_common_lines():
@@ -42,35 +49,112 @@ def test_extraction(spark):
     same = "<article><p>Same story</p></article>"
     rows = [(1, "http://h/a/1", plain("<p>First text</p><p>goes on</p><p>and on</p><p>to its end</p>")), (2, "http://h/a/2", plain("<p>Second text</p><p>is another</p><p>altogether</p><p>you see</p>")), (3, "http://other/x", plain("<p>Alone</p>")), (4, None, None), (5, "no url", ""), (6, "http://k/1", same), (7, "http://k/2", same), (7, "http://k/2", same), (None, "http://[bad", "<p>x</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("lines", F.lit(2))
-    found = sorted(((r["page_id"] or 0, r["text"]) for r in html.extract(pages).collect()))
-    assert found == [(0, "x"), (1, "First text\ngoes on\nand on\nto its end"), (2, "Second text\nis another\naltogether\nyou see"), (3, "Menu one\nMenu two\nAlone\nAll about us"), (4, ""), (5, ""), (6, "Same story"), (7, "Same story"), (7, "Same story")]
+    found = sorted(((r["page_id"] or 0, r["text"], r["n_shared"]) for r in html.extract(pages).collect()))
+    assert found == [(0, "x", 0), (1, "First text\ngoes on\nand on\nto its end", 3), (2, "Second text\nis another\naltogether\nyou see", 3), (3, "Menu one\nMenu two\nAlone\nAll about us", 0), (4, "", 0), (5, "", 0), (6, "Same story", 0), (7, "Same story", 0), (7, "Same story", 0)]
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_extraction_without_marked_articles(spark):
+    """Sites of which only comparison tells what each page repeats: the same result in any number of parts."""
+    rng = random.Random(9)
+    rows, want = [], {}
+    for host in range(6):
+        menu = [f"host {host} menu {i}" for i in range(3)]
+        for n in range(1 if host == 5 else 25):
+            i = host * 100 + n
+            body = [f"page {i} line {k} {rng.random()}" for k in range(rng.randint(4, 9))]
+            section = [f"section {n // 5} of {host}"]
+            rows.append((i, f"https://site{host}.example/s{n // 5}/{n:03}", "".join(f"<div>{x}</div>" for x in [*menu, *section, *body, f"contact {host}"])))
+            want[i] = ("\n".join(body), 5)
+    # without a neighbour nothing can be told
+    want[500] = ("\n".join([*menu, *section, *body, "contact 5"]), 0)
+    # copies next to each other: the other neighbour tells
+    rows.append((900, "https://site0.example/s4/024", rows[24][2]))
+    want[900] = want[24]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    for parts in (1, 4, 211):
+        found = {r["page_id"]: (r["text"], r["n_shared"]) for r in html.extract(pages, parts).collect()}
+        wrong = {i for i in want if found[i] != want[i]}
+        # the last of the copies has only the other copy beside it, and keeps all
+        assert wrong <= {900}, wrong
+        assert sum(n for _, n in found.values()) >= 600 and found[900][0].endswith("contact 0")
+
+
+def test_extraction_of_the_pages(spark):
+    """Differencing and structure on the whole table: lines that pages share go, the marked article stays."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = html.extract(pages).collect()
+    again = html.extract(pages.repartition(5), 37).collect()
+    assert sorted((r["page_id"], r["text"], r["n_shared"]) for r in found) == sorted((r["page_id"], r["text"], r["n_shared"]) for r in again)
+    print("lines that differencing took:", sum(r["n_shared"] for r in found))
+    of = {r["page_id"]: html.main_text(html.blocks(r["html"]), [])[0] for r in pages.collect()}
+    assert all(of[r["page_id"]] == r["text"] for r in found)
+
+
 def test_sharding(spark):
     rng = random.Random(4)
     texts = ["hot " * 40] * 300 + ["t%d " % i * rng.randint(1, 60) for i in range(580)] + [None] * 10 + ["", "long " * 3000]
-    rows = [(i, t, i) for i, t in enumerate(texts)] + [(None, "no id", 7), (5, texts[5], 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")
+    rows = [(i, t, i, i, "k") for i, t in enumerate(texts)] + [(None, "no id", 7, 1, "k"), (5, texts[5], 5, 1, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, size int, key string")
     out = sharding.histogram_shards(docs, rows_per_cell=20).collect()
-    assert len(out) == len(rows) and {*out[0].asDict()} == {"doc_id", "text", "shard", "_size", "_shard", "_slot"}
+    assert len(out) == len(rows) and {*out[0].asDict()} == {"row", "size", "shard", "slot"}
+    assert sorted(map(repr, (tuple(r["row"]) for r in out))) == sorted(map(repr, rows))
     size = defaultdict(int)
     slots = defaultdict(list)
     for r in out:
-        assert r["_size"] == len((r["text"] or "").encode()) + 1
-        size[r["_shard"]] += r["_size"]
-        slots[r["_shard"]].append(r["_slot"])
+        assert r["size"] == len((r["row"]["text"] or "").encode()) + 1
+        size[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == [*range(len(s))] for s in slots.values()) and {*slots} == {*range(8)}
-    longest = max(r["_size"] for r in out)
+    longest = max(r["size"] for r in out)
     mean = sum(size.values()) / 8
     assert all(abs(v - mean) <= 1.5 * longest for v in size.values())
     # equal texts stand together: one run of places in the order of shards and slots
-    order = [r["text"] for r in sorted(out, key=lambda r: (r["_shard"], r["_slot"]))]
+    order = [r["row"]["text"] for r in sorted(out, key=lambda r: (r["shard"], r["slot"]))]
     assert sum(a == "hot " * 40 and b != "hot " * 40 for a, b in zip(order, order[1:] + [None])) == 1
     assert sharding.histogram_shards(docs.limit(0)).count() == 0
     assert sharding.histogram_shards(docs.limit(1)).count() == 1
 
 
+def test_sharding_against_a_sort(spark):
+    """All rows sorted by key: shards are runs of it, cut where the bytes below come nearest to equal shares."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, "word " * rng.randint(0, 30)) for i in range(3000)], "doc_id long, text string")
+    found = sharding.histogram_shards(docs, tolerance=0.0).withColumn("key", sharding.sort_key(F.col("row.text"), F.col("row.doc_id"))).collect()
+    found.sort(key=lambda r: (r["shard"], r["slot"]))
+    assert [r["key"] for r in found] == sorted(r["key"] for r in found)
+    below, total, want = 0, sum(r["size"] for r in found), []
+    for r in found:
+        want.append(min(7, int((below + r["size"] / 2) * 8 // total)))
+        below += r["size"]
+    assert [r["shard"] for r in found] == want
+
+
+def test_sharding_of_equal_rows(spark):
+    """Thousands of rows with one id and text, and of rows without either, are divided as any others."""
+    for row in ((3, "the same text"), (None, None)):
+        out = sharding.histogram_shards(spark.createDataFrame([row] * 4000, "doc_id long, text string").repartition(3)).collect()
+        shards = Counter(r["shard"] for r in out)
+        assert {*shards} == {*range(8)} and max(shards.values()) - min(shards.values()) <= 40
+        assert all(sorted(r["slot"] for r in out if r["shard"] == n) == [*range(m)] for n, m in shards.items())
+
+
+def test_top_k_makes_fewer_entries():
+    """Candidates that can't reach the cutoff any more get no further lists, and all that reach it are found."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(20, 32)) * 100
+    c = np.floor(centres[rng.integers(0, 20, 900)] + rng.normal(size=(900, 32)) * 5)
+    q, other = c[:10], np.ones((10, 900), bool)
+    full = (q @ c.T).astype(np.int64)
+    cut = np.sort(full, axis=1)[:, -5]
+    i, j, scores, made = topk.reaching(q, c, other, cut)
+    want = {(a, b) for a, b in zip(*np.nonzero(full >= cut[:, None]))}
+    assert {*zip(i.tolist(), j.tolist())} == want and (scores == full[i, j]).all()
+    assert made < 0.9 * full.size * topk.SLICES
+    i, j, scores = topk.head(q, c, other, 5)
+    assert (scores == full[i, j]).all() and len(i) == 50
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/1", "<p>é</p>"), (2, "http://a/2", "<p>é</p>"), (3, None, None), (4, "u\r\nX: y", ""), (5, "http://a/5", "a\r\n\r\nWARC/1.1\r\nb"), (None, "http://n", "<p>é</p>"), (None, "http://m", "alone"), (6, "http://a/6", "x" * 100000), (2, "http://a/2b", "<p>é</p>"), (7, "http://a/7", "alone too")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload_digest", F.lit("clash")).withColumn("first_id", F.lit(9))

@@ -2,8 +2,8 @@
 
 A document's words are streamed through the automaton, whose state is the longest match that ends at each word. A match
 of ``ngram`` words or more lies in windows of items; items shorter than a window count as a whole. The automaton of a
-block of items (BLOCK_WORDS words at most, whatever the benchmark) is broadcast; further blocks follow in the same pass
-over the documents, so no document is ever shuffled.
+block of items (BLOCK_WORDS words at most, whatever the benchmark) is broadcast. Further blocks follow one after the other,
+and documents are shuffled only then, once.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, trimmed, written
 from .suffix import SuffixAutomaton
 
 #: Words of the items whose automaton is broadcast at once.
@@ -107,69 +107,93 @@ def _blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[list[tup
     yield block
 
 
-def find_hits(docs: DataFrame, items: DataFrame, ngram: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``doc_id, n_words, n_hit, items array<string>, spans array<struct<first, last>>`` for every row of ``docs``, and its columns ``keep`` (as ``_keep`` struct).
+_SCHEMA = "doc_id long, row long, n_words long, items array<string>, spans array<struct<first: long, last: long>>, rest string"
 
-    Spans are numbers of words, from 0, both ends included. A null text has no words; a null or wordless item has no
-    windows; the words of an item without id are hit, but it is not listed. Items with one id count as one. Repeated
-    documents each get their row. An empty benchmark hits nothing.
+
+def find_hits(docs: DataFrame, items: DataFrame, ngram: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, cut_over: int | None = None) -> DataFrame:
+    """``doc_id, n_words, n_hit, items array<string>, spans array<struct<first, last>>, rest`` for every row of ``docs``, and its columns ``keep`` (as ``_keep`` struct).
+
+    Spans are numbers of words, from 0, both ends included. ``rest``: the text without the spans of more than ``cut_over``
+    words (null if that is not given). A null text has no words; a null or wordless item has no windows; the words of an
+    item without id are hit, but it is not listed. Items with one id count as one. Repeated documents each get their row;
+    texts of any length are scanned whole. An empty benchmark hits nothing; empty documents give no rows. Other columns
+    play no part.
+
+    A benchmark of more than one block is searched block by block: each leaves its hits alone in the shared folder before
+    the next is broadcast, and documents are joined with all their hits once.
     """
-    schema = "doc_id long, text string, n_words long, items array<string>, spans array<struct<first: long, last: long>>"
-    extra = F.struct(*(keep or [F.lit(True).alias("none")])).alias("_keep")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<first: bigint, last: bigint>>").alias("spans"), extra)
+    spark = docs.sparkSession
+    extra = F.struct(*([docs[f"`{c}`"] for c in keep] if keep else [F.lit(True).alias("none")])).alias("_keep")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<first: bigint, last: bigint>>").alias("spans"), extra)
     kept = rows.schema["_keep"].dataType.simpleString()
-    for block in _blocks(items, item_col, item_text_col):
-        sent = docs.sparkSession.sparkContext.broadcast(Windows(block, ngram))
 
-        def scanned(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
+    def scan(rows: DataFrame, sent) -> DataFrame:
+        """Hits of the automaton in ``sent``, if any, added to those that the rows have."""
+
+        def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = sent.value if sent else None
             for b in batches:
-                for at in range(0, b.num_rows, 1000):
-                    part = b.slice(at, 1000)
-                    n_words, items, spans = [], [], []
-                    old_items, old_spans = part.column("items").to_pylist(), part.column("spans").to_pylist()
-                    for text, i, s in zip(part.column("text").cast(pa.binary()).to_pylist(), old_items, old_spans):
+                for at in range(0, b.num_rows, 500):
+                    part = b.slice(at, 500)
+                    n_words, items, spans, rest = [], [], [], []
+                    texts = part.column("text").cast(pa.binary())
+                    for text, i, s in zip(texts.to_pylist(), part.column("items").to_pylist(), part.column("spans").to_pylist()):
                         words = words_of(text)
-                        s, found = [(x["first"], x["last"]) for x in s], {*i}
-                        index.scan(words, s, found)
+                        s, found = [(x["first"], x["last"]) for x in s or ()], {*(i or ())}
+                        if index:
+                            index.scan(words, s, found)
+                        s = merged(s)
                         n_words.append(len(words))
                         items.append(sorted(found - {None}))
-                        spans.append([{"first": x, "last": y} for x, y in merged(s)])
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPANS), part.column("_keep")], ["doc_id", "text", "n_words", "items", "spans", "_keep"])
-
-        rows = rows.mapInArrow(scanned, f"{schema}, _keep {kept}")
+                        spans.append([{"first": x, "last": y} for x, y in s])
+                        if cut_over is not None:
+                            rest.append(text if not s else cut_spans(text, [x for x in s if x[1] - x[0] + 1 > cut_over]))
+                    cut = pa.array(rest, pa.binary()).cast(pa.string()) if rest else pa.nulls(part.num_rows, pa.string())
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPANS), cut, part.column("_keep")], ["doc_id", "row", "n_words", "items", "spans", "rest", "_keep"])
+
+        return rows.mapInArrow(trimmed(scanned), f"{_SCHEMA}, _keep {kept}")
+
+    blocks = _blocks(items, item_col, item_text_col)
+    send = lambda block: spark.sparkContext.broadcast(Windows(block, ngram))
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        found = scan(rows, send(block))
+    else:
+        hits = None
+        while block is not None:
+            sent = send(block)
+            part = written(scan(rows.withColumn("_keep", F.lit(None).cast(kept)), sent).where(F.size("spans") > 0).select("row", "items", "spans"))
+            sent.unpersist()
+            hits = part if hits is None else hits.unionByName(part)
+            block, more = more, next(blocks, None)
+        hits = hits.groupBy("row").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+        found = scan(rows.drop("items", "spans").join(hits, "row", "left"), None)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
-    return rows.select("doc_id", "text", "n_words", n_hit.alias("n_hit"), "items", "spans", "_keep")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans", "rest", "_keep")
 
 
-def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` without the words of ``spans`` and what stands between them."""
-    data, at, out = text.encode(), 0, []
+def cut_spans(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """A text's UTF-8 without the words of ``spans`` and what stands between them."""
+    at, out = 0, []
     places = [m.span() for m in _WORD_BYTES.finditer(data.translate(_FOLD))]
     for first, last in spans:
         out.append(data[at : places[first][0]])
         at = places[last][1]
-    return b"".join([*out, data[at:]]).decode()
+    return b"".join([*out, data[at:]])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, ngram: int = 10, max_words: int = 0, max_coverage: float = 0.0, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` with its own columns: hit spans of more than ``max_words`` words are cut from the text, and documents with
     more than ``max_coverage`` of their words hit are left out (0: all that are hit at all). ``size_col``, if there,
-    becomes the new length. Rows without a hit pass unchanged, null texts included."""
-    found = find_hits(docs, items, ngram, id_col, text_col, item_col, item_text_col, keep=docs.columns)
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        return texts.combine(spans, lambda t, s: cut_spans(t, [(x["first"], x["last"]) for x in s if x["last"] - x["first"] + 1 > max_words]) if t is not None and len(s) else t)
-
+    becomes the new length. Rows without a hit pass unchanged, null texts included; so do all with an empty benchmark.
+    Repeated rows are treated each by itself; columns may have any names."""
+    found = find_hits(docs, items, ngram, id_col, text_col, item_col, item_text_col, keep=docs.columns, cut_over=max_words)
     left = found.where(F.col("n_hit") <= F.lit(max_coverage) * F.col("n_words"))
-    if max_coverage > 0:
-        left = left.withColumn("text", cut("text", "spans"))
     changed = F.col("n_hit") > 0
     own = {c: F.col("_keep")[c] for c in docs.columns}
-    own[text_col] = F.col("text")
+    own[text_col] = F.when(changed, F.col("rest")).otherwise(own[text_col])
     if size_col in own:
-        own[size_col] = F.when(changed, F.length("text")).otherwise(own[size_col]).cast(docs.schema[size_col].dataType)
+        own[size_col] = F.when(changed, F.length("rest")).otherwise(own[size_col]).cast(docs.schema[size_col].dataType)
     return left.select(*[v.alias(c) for c, v in own.items()])
 
 

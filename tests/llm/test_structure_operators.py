@@ -1,9 +1,12 @@
 """HTML, sharding, WARC, LM scores, top-k and the Jaccard join against brute force and edge cases."""
 
 import base64
+import datetime
+import gzip
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -158,10 +161,23 @@ def test_top_k_makes_fewer_entries():
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/1", "<p>é</p>"), (2, "http://a/2", "<p>é</p>"), (3, None, None), (4, "u\r\nX: y", ""), (5, "http://a/5", "a\r\n\r\nWARC/1.1\r\nb"), (None, "http://n", "<p>é</p>"), (None, "http://m", "alone"), (6, "http://a/6", "x" * 100000), (2, "http://a/2b", "<p>é</p>"), (7, "http://a/7", "alone too")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload_digest", F.lit("clash")).withColumn("first_id", F.lit(9))
-    for k, zipped in enumerate((True, False)):
+    for k in range(2):
         path = str(tmp_path / f"w{k}")
-        warc.write_archives(pages, path, gzipped=zipped)
+        warc.write_archives(pages.repartition(3) if k else pages, path)
         got = warc.read_archives(spark, path).collect()
+        # record ids are unique, also those of repeated pages, and each revisit's response is there
+        ids = {r["record_id"]: r for r in got}
+        named = [r for r in got if r["refers_to_id"]]
+        assert len(ids) == len(rows) and all(ids[r["refers_to_id"]]["page_id"] == r["refers_to"] and ids[r["refers_to_id"]]["record_type"] == "response" for r in named)
+        # the page 2 is there twice, so its revisits name no record
+        assert sorted(r["page_id"] or 0 for r in got if r["record_type"] == "revisit" and r not in named) == [0, 1] and len(named) == 1
+        assert all(time.time() - 600 < datetime.datetime.fromisoformat(r["date"]).timestamp() <= time.time() + 1 for r in got)
+        # any reader sees the records one after the other, each a member of its own
+        data = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / f"w{k}").glob("part-*")))
+        assert data.count(b"WARC/1.1\r\nWARC-Type: ") == len(rows) and data.endswith(b"\r\n\r\n")
+        first = next(p for p in sorted((tmp_path / f"w{k}").glob("part-*")) if p.stat().st_size).read_bytes()
+        member = zlib.decompressobj(31)
+        assert warc.parse_record(member.decompress(first))[7] in ids and member.unused_data.startswith(warc.BETWEEN)
         assert len(got) == len(rows)
         payloads = {r["payload_digest"]: r["payload"] for r in got if r["record_type"] == "response"}
         seen = Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got)

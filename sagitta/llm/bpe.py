@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import sys
+import os
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import table
+from .common import table, trimmed
 
 #: Fixed values of the vocabulary file's format: how it splits words between white space, and its word end.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -79,6 +80,8 @@ class Vocabulary:
         self._automaton()
         self.split = regex.compile(SPLIT)
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        #: What all special tokens begin with: texts without it have none.
+        self.marker = os.path.commonprefix([*self.special])
 
     def _automaton(self) -> None:
         """Suffix automaton of all token bodies. ``inner[s]``, ``final[s]``: the token that is the longest string of state s (within a word, at its end); ``up[s]``: the next state by suffix links that has a token."""
@@ -249,7 +252,7 @@ class Vocabulary:
     def encode(self, text: str) -> tuple[bytes, str]:
         """Little-endian 32-bit ids of a whole text, and their decoded text (token names joined by blanks)."""
         ids, names = [], []
-        for piece in self.cut.split(text) if "<|" in text else (text,):
+        for piece in self.cut.split(text) if self.special and self.marker in text else (text,):
             if piece in self.special:
                 ids.append(self.special[piece].to_bytes(4, "little"))
                 names.append(piece)
@@ -277,7 +280,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     """``doc_id, ids binary (little-endian 32-bit), decoded string`` for every row of ``docs``.
 
     A null text is an empty one: no ids, empty decoded text. ``path``: the vocabulary file, on the driver; its text (a
-    few MB, fixed) is broadcast. Repeated rows and null ids are kept as they are. ``remembered`` bounds a worker's memory
+    few MB, fixed) is broadcast. Repeated rows and null ids are kept as they are; texts of any length are encoded whole; an
+    empty table gives no rows; other columns play no part. No ties: each prefix of a word has one last token. ``remembered`` bounds a worker's memory
     at about 1 KB each, at some cost in speed; ``keep``: whether it holds its tables between tasks.
     """
     spec = open(path or default_path(), encoding="utf-8").read()
@@ -297,7 +301,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
         if not keep:
             _loaded.clear()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encoded, "doc_id long, ids binary, decoded string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(encoded), "doc_id long, ids binary, decoded string")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,7 +281,7 @@ def extract(pages: DataFrame, parts: int | None = None) -> DataFrame:
         yield _texts(out)
 
     found = rows.withColumn("to", F.lit(None).cast("int")).unionByName(guests).mapInArrow(trimmed(parsed), schema)
-    return found.repartition("part").sortWithinPartitions("part", *_KEY).select("part", "guest", "page_id", "url", "host", "path", "lines", "kinds").mapInArrow(trimmed(differenced), "page_id long, url string, text string, n_shared long")
+    return found.repartition(parts, "part").sortWithinPartitions("part", *_KEY).select("part", "guest", "page_id", "url", "host", "path", "lines", "kinds").mapInArrow(trimmed(differenced), "page_id long, url string, text string, n_shared long")
 
 
 def _texts(rows: list[tuple]) -> pa.RecordBatch:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, table, trimmed
 
 #: Blend of the spectrum: weight of shared n-grams by n.
 WEIGHTS = {1: 0.25, 2: 1.0, 3: 1.0}
@@ -113,6 +113,12 @@ class Classifier:
         return langs, score
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def fit(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Classifier:
     """A classifier of the rows where ``learn`` holds and lang and text are not null.
 
@@ -128,11 +134,11 @@ def fit(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text",
     least = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 32, int((each + 5 * each**0.5 + 20) / n * (1 << 32))))])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             codes = [np.unique(gram_codes(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array([c.astype(np.int32).tobytes() for c in codes], pa.binary())], ["lang", "h", "codes"])
 
-    found = rows.where(F.col("h") < least[F.col("lang")]).mapInArrow(grams, "lang string, h long, codes binary").collect()
+    found = rows.where(F.col("h") < least[F.col("lang")]).mapInArrow(trimmed(grams), "lang string, h long, codes binary").collect()
     sample, taken = [], dict.fromkeys(counts, 0)
     for lang, _, codes in sorted(found, key=lambda r: (r[1], r[0], r[2])):
         if len(codes) and taken[lang] < each:
@@ -143,23 +149,25 @@ def fit(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text",
 
 def predict(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` for every row: UNKNOWN and 0 if the text is null or has no letter (or nothing was
-    learned). Ties go to the first language in order. Repeated rows get the same prediction."""
+    learned). Ties go to the first language in order. Repeated rows get the same prediction, also those with null ids; texts
+    of any length are read whole, some hundred at a time. An empty table gives no rows; other columns play no part."""
     sent = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             langs, score = sent.value.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(predicted, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(predicted), "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, classifier: Classifier, least_score: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is known with ``least_score`` or more; if nothing was learned, those with a letter."""
+    """The rows of ``docs`` whose language is known with ``least_score`` or more; if nothing was learned, those with a letter.
+    A null text has no language; all columns, whatever their names, are kept as they are; an empty table stays empty."""
     sent = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             texts = b.column(text_col).to_pylist()
             if not sent.value.langs:
                 yield b.filter(pa.array([bool(t) and len(gram_codes(t)) > 0 for t in texts], pa.bool_()))
@@ -167,7 +175,7 @@ def keep_known(docs: DataFrame, classifier: Classifier, least_score: float, text
             langs, score = sent.value.predict(texts)
             yield b.filter(pc.and_(pc.not_equal(pa.array(langs), UNKNOWN), pc.greater_equal(pa.array(score), least_score)))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(trimmed(kept), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, lookup_join, table, written
+from .common import crc_mod, lookup_join, table, trimmed, written
 
 ORDER, NODES, FREQUENT = 5, 1 << 20, 400_000
 #: A symbol is a byte plus 1; 0 stands before a text and ends it.
@@ -227,7 +227,7 @@ def _contexts(grams_k: DataFrame, k: int) -> DataFrame:
 
 def train(docs: DataFrame, learn, text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model of the rows where ``learn`` holds, and ``word binary, n`` of the words that it doesn't hold itself."""
-    rows = docs.where(learn).select(F.col(text_col).alias("text")).mapInArrow(_counted, "word binary, code long, n long")
+    rows = docs.where(learn).select(F.col(text_col).alias("text")).mapInArrow(trimmed(_counted), "word binary, code long, n long")
     counts = written(rows.groupBy("word", "code").agg(F.sum("n").alias("n")))
     words = counts.where("word is not null").select("word", "n")
     tokens, distinct = words.agg(F.sum("n"), F.count(F.lit(1))).collect()[0]
@@ -281,7 +281,7 @@ def _told(asked: DataFrame, model: Model, sent) -> DataFrame:
             found = sent.value.trie.log10(codes.astype(np.int64).view(np.uint64), order, so_far, np.stack([t, d]).astype(np.float64))
             yield pa.RecordBatch.from_arrays([b.column("code"), b.column("asked"), pa.array(found)], ["code", "asked", "log10"])
 
-    out = left.mapInArrow(shorter, "code long, asked long, log10 double")
+    out = left.mapInArrow(trimmed(shorter), "code long, asked long, log10 double")
     for s in seen:
         out = out.unionByName(s)
     return written(out)
@@ -290,8 +290,9 @@ def _told(asked: DataFrame, model: Model, sent) -> DataFrame:
 def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
 
-    A null text is empty: its one token is the end. Repeated rows are scored each. Where nothing was learned, no token
-    is known and all symbols are equally likely.
+    A null text is empty: its one token is the end. Repeated rows are scored each, null ids too; texts of any length are
+    scored whole. Where nothing was learned, no token is known and all symbols are equally likely. Which of equally
+    frequent grams and words are broadcast changes no score. An empty table gives no rows; other columns play no part.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -324,7 +325,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id"
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), *[pa.list_(pa.int64())] * 3)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, k) for v, k in zip(out.values(), kinds))], ["doc_id", *out])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scored, "doc_id long, row long, n_tokens long, n_known long, base double, score double, words array<binary>, times array<long>, codes array<long>, code_times array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(scored), "doc_id long, row long, n_tokens long, n_known long, base double, score double, words array<binary>, times array<long>, codes array<long>, code_times array<long>")
     rows = written(rows)
     others = rows.where(F.size("words") > 0).select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     # no word of `rare` is frequent, so no key of this join is hot

@@ -2,10 +2,9 @@
 
 A vector's components form SLICES lists of partial scores. Phase 1 makes the first list only: every partition gathers the
 full scores of its head, and each query's k-th best of all heads is a safe cutoff. Phase 2: the cutoff is broadcast, and
-lists are made one after the other, for those candidates only that can still reach it by what their remaining components
-can add at most; entries are collected where one list at least reaches the uniform threshold cutoff / SLICES (if none
-does, their sum can't reach the cutoff). Phase 3: the scores of the collected are added up exactly, and each partition's k
-best go to the final ranking. Queries come in blocks of BLOCK, one after the other, so what is broadcast has a fixed
+lists are made again; an entry that reaches the cutoff has the uniform threshold cutoff / SLICES in one list at least, and
+candidates whose first half falls so far short that the other can't make up for it get no further lists. Phase 3: the
+remaining scores of the collected are added up exactly, and each partition's k best go to the final ranking. Queries come in blocks of BLOCK, one after the other, so what is broadcast has a fixed
 bound; no pair of a query and a candidate is ever shuffled.
 """
 
@@ -107,30 +106,28 @@ def head(q: np.ndarray, c: np.ndarray, other: np.ndarray, k: int) -> tuple[np.nd
 
 
 def reaching(q: np.ndarray, c: np.ndarray, other: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Phases 2 and 3: places and scores of all entries that reach their query's cutoff, and how many list entries were made."""
-    cuts = _cuts(q.shape[1])
-    if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] >= 2**60:
-        cuts = [(0, q.shape[1])]  # partial sums might pass what a long holds
-    score = np.zeros(other.shape, np.int64)
-    #: ceil(cutoff / SLICES): integers below it can't sum up to the cutoff
-    least, near, made = -(-cut // len(cuts)), np.zeros(other.shape, bool), 0
-    at = np.arange(len(c))
+    """Phases 2 and 3: places and scores of all entries that reach their query's cutoff, and how many list entries were made.
+
+    An entry that reaches it has a list with the uniform threshold cutoff / SLICES or more. Where the first half of the lists
+    falls short of its share, the rest must make up for that; by Cauchy and Schwarz it can't add more than the product of
+    the two rests' lengths, and candidates for which that is too little for every query of the tile get no further lists."""
+    cuts, half = _cuts(q.shape[1]), SLICES // 2 - 1
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
+    if most >= 2**53:
+        cuts, half = [(0, q.shape[1])], -1  # partial sums might pass what a long holds
+    at, cut, score, made = np.arange(len(c)), cut[:, None], 0, 0
     for n, (a, z) in enumerate(cuts):
-        part = products(q[:, a:z], c[at, a:z])
-        made += part.size
-        score[:, at] += part
-        near[:, at] |= part >= least[:, None]
-        if z < q.shape[1]:
-            # by Cauchy and Schwarz, a little more than what the rest of both can add
-            rest = np.sqrt((q[:, z:] ** 2).sum(1))[:, None] * np.sqrt((c[at, z:] ** 2).sum(1))[None] * (1 + 1e-9) + 1
-            at = at[((score[:, at] + rest >= cut[:, None]) & other[:, at]).any(0)]
-            if not len(at):
-                break
-    whole = np.zeros(len(c), bool)
-    whole[at] = True
-    # scores of dropped candidates aren't complete
-    i, j = np.nonzero(near & other & whole[None] & (score >= cut[:, None]))
-    return i, j, score[i, j], made
+        part = q[:, a:z] @ c[at, a:z].T if most < 2**53 else products(q, c)
+        score, made = score + part, made + part.size
+        if n == half:
+            rest = np.sqrt((q[:, z:] ** 2).sum(1))[:, None] * (np.sqrt((c[:, z:] ** 2).sum(1)) * (1 + 1e-9))[None] + 1
+            left = (score + rest >= cut).any(0)
+            if not left.all():
+                at, score = at[left], score[:, left]
+    i, j = np.nonzero(score >= cut)
+    scores, j = score[i, j].astype(np.int64), at[j]
+    own = other[i, j]
+    return i[own], j[own], scores[own], made
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

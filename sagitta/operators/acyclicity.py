@@ -23,6 +23,9 @@ DIRECT = {"max_depth": 64, "timeout": 60.0, "cap": 32}
 COUNTED = {"timeout": None, "max_nodes": 1_000_000}
 CONDITIONS = ("banff", "louise", "p_prime")
 
+#: The deletions that must meet a condition again: of a source (k), of a neighbour of it (j), of both.
+DELETIONS = {"p_prime": ("k",), "banff": ("k", "j"), "louise": ("k", "j", "kj")}
+
 Matrix = tuple[tuple[int, ...], ...]
 
 
@@ -135,21 +138,20 @@ class Search:
         return found
 
     def condition(self, q: Matrix) -> dict | str | None:
+        """What of ``q`` itself meets the condition: acyclic, or a source (with a neighbour) whose DELETIONS all have a witness."""
         if acyclic(q):
             return "acyclic"
+        parts = DELETIONS[self.kind]
         for k in (k for k in range(len(q)) if min(q[k]) >= 0):
-            if (w_k := self.witness(without(q, k))) is None:
-                continue
-            if self.kind == "p_prime":
-                return {"source": k, "witness_k": w_k}
-            for j in (j for j in range(len(q)) if q[k][j]):
-                if (w_j := self.witness(without(q, j))) is None:
-                    continue
-                found = {"source": k, "neighbor": j, "witness_k": w_k, "witness_j": w_j}
-                if self.kind == "banff":
+            for j in [j for j in range(len(q)) if q[k][j]] if "j" in parts else [None]:
+                gone = {"k": k, "j": j}
+                found = {"source": k} | ({} if j is None else {"neighbor": j})
+                for part in parts:
+                    if (below := self.witness(without(q, *map(gone.__getitem__, part)))) is None:
+                        break
+                    found[f"witness_{part}"] = below
+                else:
                     return found
-                if (w_kj := self.witness(without(q, k, j))) is not None:
-                    return {**found, "witness_kj": w_kj}
         return None
 
 

@@ -172,6 +172,14 @@ def check_gluing(orbits: DataFrame) -> dict:
     return found
 
 
+def check_shared(orbits: DataFrame) -> None:
+    """Raises AssertionError if a quiver of ``orbits(mc_id, qid, is_open)`` is in a closed orbit and in another one: what
+    ``check_gluing`` finds, by one aggregate."""
+    shared = orbits.groupBy("qid").agg(F.countDistinct("mc_id").alias("orbits"), F.bool_or(~F.col("is_open")).alias("closed")).where("orbits > 1 and closed")
+    if found := shared.take(3):
+        raise AssertionError(f"a closed orbit shares a quiver with another orbit: {found}")
+
+
 @dataclass(frozen=True)
 class Generation:
     """``quivers(n, code, qid, class_code, mc_id)``, ``labeled(n, code, ccode, class_code, qid, mc_id, is_boundary)``: the orbit of
@@ -208,10 +216,15 @@ def run_generation(spark: SparkSession, max_vertices: int = 4, bound: int = 2) -
     orbit = parts.join(quivers.where("code = class_code").select("n", F.col("code").alias("orbit_code"), "mc_id"), ["n", "orbit_code"])
     orbit = orbit.join(labeled, ["n", "code"]).join(escapes, ["n", "code"]).join(quivers.select("n", F.col("code").alias("ccode"), "qid"), ["n", "ccode"])
     orbit = written(orbit.select("n", "code", "ccode", F.col("orbit_code").alias("class_code"), "qid", "mc_id", "is_boundary"))
+    check_shared(orbit.join(orbit.groupBy("mc_id").agg(F.bool_or("is_boundary").alias("is_open")), "mc_id"))
+    # the labeled components of all members of a class, by the least canonical form in each: what was explored and glued
+    members = labeled.join(parts, ["n", "code"]).join(quivers.select("n", F.col("code").alias("ccode"), "mc_id"), ["n", "ccode"])
+    merged = members.groupBy("n", "orbit_code", "mc_id").agg(F.min("ccode").alias("least")).groupBy("mc_id").agg(F.countDistinct("least").cast("int").alias("merged_orbit_count"))
     classes = orbit.groupBy("n", F.col("class_code").alias("code"), "mc_id").agg(
         F.bool_or("is_boundary").alias("is_open"), F.count(F.lit(1)).cast("int").alias("labeled_size"), F.countDistinct("qid").cast("int").alias("distinct_quiver_count"),
-        F.lit(1).alias("merged_orbit_count"), F.count_if("is_boundary").cast("int").alias("frontier"),
+        F.count_if("is_boundary").cast("int").alias("frontier"),
     )
+    classes = classes.join(merged, "mc_id").select("n", "code", "mc_id", "is_open", "labeled_size", "distinct_quiver_count", "merged_orbit_count", "frontier")
     return Generation(quivers, orbit, written(classes.coalesce(1)), max_vertices, bound)
 
 

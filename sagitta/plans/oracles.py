@@ -191,9 +191,6 @@ SQL |= {
     "resolve_mutation_acyclic": gen(f"SELECT {CM} AS mc_id, ma AS is_mutation_acyclic FROM ma", True),
     "dynkin_reference": gen(f"SELECT name, {qid('rep', 'MC')} AS mc_id FROM types", True),
     "dynkin_classify": gen(f"SELECT {CM} AS mc_id, dynkin_type FROM dyn", True),
-    # up to three vertices: an acyclic member meets all conditions; the one closed class without has no source; open ones without are cut short
-    "local_acyclicity": gen(f"SELECT {CM} AS mc_id, base AS is_banff, base AS is_louise, base AS is_p_prime FROM base WHERE len(r) <= 3", True),
-    "provenance": gen(f"SELECT {CM} AS mc_id, coalesce(base::VARCHAR, 'unknown') AS banff, is_open AS infinite FROM base JOIN mc USING (r) WHERE len(r) <= 3", True),
     "nation_components": """WITH RECURSIVE e AS (SELECT n_nationkey AS x, n_regionkey * 5 AS y FROM nation UNION SELECT n_regionkey * 5, n_nationkey FROM nation),
 g AS (SELECT n_nationkey AS node, n_nationkey AS y FROM nation UNION SELECT g.node, e.y FROM g JOIN e ON g.y = e.x) SELECT node::BIGINT AS node, min(y)::BIGINT AS root FROM g GROUP BY node""",
     "dynkin_seeds": "SELECT name, n::INTEGER AS n, matrix FROM (VALUES " + ", ".join(
@@ -257,9 +254,31 @@ SQL |= {
     "backfill_mutation_acyclic": gen(f"SELECT {CM} AS mc_id, base AS was, ma AS now FROM base JOIN ma USING (r) WHERE base IS DISTINCT FROM ma", True),
     "join_events_catalogue": "WITH RECURSIVE " + EV + ", " + GEN + ", " + INV + VIEW + ", " + CANON.replace("cf AS", "ecf AS") + f" SELECT user_id, {qid('e.c')} AS quiver_id, mc_id, rt AS representation_type, is_open, dynkin_type FROM ecf e LEFT JOIN v ON v.c = e.c",
 }
-_EXPORT = "quiver_id, len(c)::INTEGER AS num_vertices, {matrix} AS exchange_matrix, rt AS representation_type, max_edge, acyc AS is_acyclic, connected AS is_connected, bip AS is_bipartite, abu AS is_abundant, true AS is_planar, so AS symmetry_order, sn AS symmetry_name, mc_id, dynkin_type, is_open, CASE WHEN NOT is_open THEN labeled_size END AS class_size, labeled_size, dq AS distinct_quiver_count, 1 AS merged_orbit_count, NOT is_open AS is_finite_confirmed, is_open AS is_infinite_confirmed, false AS is_infinite_expected, frontier AS size_of_explored_frontier, ma AS is_mutation_acyclic"
-SQL["export_distinct"] = view(f"SELECT {_EXPORT.format(matrix=js('c'))} FROM v WHERE len(c) = 3")
-SQL["export_labelings"] = view(f"SELECT {_EXPORT.format(matrix=js('coalesce(labeling, c)'))} FROM ({_LABELINGS}) WHERE len(c) = 3")
+# A class with an acyclic member meets all conditions, a closed one without none. Of the open ones without, those do that have a
+# member with a source that leaves a class that does, and for two of the conditions a neighbour of it that does, too.
+# Members are looked for beyond the bound, too, up to entries of 8 and four mutations away.
+LA = f"""far AS (SELECT rep, c AS m, 0 AS d FROM cls JOIN base ON r = rep WHERE base IS NULL UNION SELECT rep, {mutated('m', '4', 'k')}, d + 1 FROM far, range(1, 5) t(k) WHERE d < 4 AND {maxabs(mutated('m', '4', 'k'))} <= 8),
+members AS MATERIALIZED (SELECT DISTINCT rep, m AS c FROM far),
+deletions AS MATERIALIZED (SELECT rep, c, k, {relabel('c', 'list_filter(range(1, 5), lambda v: v <> k)')} AS s FROM members, range(1, 5) t(k)),
+below AS (SELECT s AS o, s, 0 AS d FROM (SELECT DISTINCT s FROM deletions) UNION SELECT o, {mutated('s', '3', 'k')}, d + 1 FROM below, range(1, 4) t(k) WHERE d < 3 AND {maxabs(mutated('s', '3', 'k'))} <= 8),
+good AS MATERIALIZED (SELECT DISTINCT o FROM below WHERE NOT (s[1][2] * s[2][3] > 0 AND s[2][3] * s[3][1] > 0)),
+deleted AS MATERIALIZED (SELECT rep, c, k, s IN (SELECT o FROM good) AS ok FROM deletions),
+sourced AS (SELECT * FROM deleted WHERE ok AND list_min(c[k]) >= 0),
+pprime AS (SELECT DISTINCT rep AS r FROM sourced),
+banff AS (SELECT DISTINCT s.rep AS r FROM sourced s JOIN deleted d ON s.c = d.c AND d.ok AND s.c[s.k][d.k] <> 0),
+la AS (SELECT r, coalesce(base, CASE WHEN r IN (SELECT r FROM banff) THEN true END) AS is_banff, coalesce(base, CASE WHEN r IN (SELECT r FROM pprime) THEN true END) AS is_p_prime FROM base)"""
+
+
+def conditions(select: str) -> str:
+    return "WITH RECURSIVE " + GEN + ", " + INV + VIEW + ", " + LA + " " + select
+
+
+SQL["local_acyclicity"] = SQL["local_acyclicity_all"] = conditions(f"SELECT {CM} AS mc_id, is_banff, is_banff AS is_louise, is_p_prime FROM la")
+_SAID = "coalesce({0}::VARCHAR, 'unknown')"
+SQL["provenance"] = SQL["provenance_all"] = conditions(f"SELECT {CM} AS mc_id, {_SAID.format('is_banff')} AS banff, {_SAID.format('is_banff')} AS louise, {_SAID.format('is_p_prime')} AS p_prime, CASE WHEN is_open THEN 'Derksen-Owen: a bounded mutation reached |b_ij| >= 3' END AS method FROM la JOIN mc USING (r)")
+_EXPORT = "quiver_id, len(c)::INTEGER AS num_vertices, {matrix} AS exchange_matrix, rt AS representation_type, max_edge, acyc AS is_acyclic, connected AS is_connected, bip AS is_bipartite, abu AS is_abundant, true AS is_planar, so AS symmetry_order, sn AS symmetry_name, mc_id, dynkin_type, is_open, CASE WHEN NOT is_open THEN labeled_size END AS class_size, labeled_size, dq AS distinct_quiver_count, 1 AS merged_orbit_count, NOT is_open AS is_finite_confirmed, is_open AS is_infinite_confirmed, false AS is_infinite_expected, frontier AS size_of_explored_frontier, ma AS is_mutation_acyclic, la.is_banff, la.is_banff AS is_louise, la.is_p_prime"
+SQL["export_distinct"] = conditions(f"SELECT {_EXPORT.format(matrix=js('c'))} FROM v LEFT JOIN la ON la.r = rep")
+SQL["export_labelings"] = conditions(f"SELECT {_EXPORT.format(matrix=js('coalesce(labeling, c)'))} FROM ({_LABELINGS}) x LEFT JOIN la ON la.r = x.rep")
 SQL["download_log"] = """SELECT CASE WHEN event_id % 2 = 0 THEN 'csv' ELSE 'xlsx' END AS fmt, event_id % 100 AS row_count, CASE WHEN user_id % 3 > 0 THEN '{"rank":"' || (user_id % 3) || '","scope":"distinct"}' ELSE '{"scope":"distinct"}' END AS filters,
 CASE WHEN user_id % 2 = 1 THEN user_id || '@example.org' END AS email, NULL::VARCHAR AS name, CASE WHEN event_id % 5 > 0 THEN '10.0.0.' || (event_id % 5) ELSE '127.0.0.1' END AS ip, NULL::VARCHAR AS user_agent, event_id::VARCHAR AS referer FROM events WHERE event_type = 'purchase'"""
 

@@ -228,12 +228,18 @@ def dynkin_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def local_acyclicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes with up to three vertices, which SQL can follow; `local_acyclicity_all` has every class."""
-    return catalogue(spark).classes.where("n_vertices <= 3").select("mc_id", "is_banff", "is_louise", "is_p_prime")
+    """The stored states of all classes."""
+    return catalogue(spark).classes.select("mc_id", "is_banff", "is_louise", "is_p_prime")
 
 
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogue(spark).classes.where("n_vertices <= 3").select("mc_id", F.get_json_object("provenance", "$.banff.state").alias("banff"), F.get_json_object("provenance", "$.infinite").isNotNull().alias("infinite"))
+    """What the JSON of all classes says, but for the witnesses."""
+    return _said(catalogue(spark).classes)
+
+
+def _said(rows: DataFrame) -> DataFrame:
+    states = [F.get_json_object("provenance", f"$.is_{c}.state").alias(c) for c in ac.CONDITIONS]
+    return rows.select("mc_id", *states, F.get_json_object("provenance", "$.is_infinite_confirmed.method").alias("method"))
 
 
 def _counted_conditions(spark: SparkSession) -> DataFrame:
@@ -249,7 +255,7 @@ def local_acyclicity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def provenance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _counted_conditions(spark)
     said = rows.select("mc_id", provenance_json(rows).alias("provenance"))
-    return said.select("mc_id", F.get_json_object("provenance", "$.banff.state").alias("banff"), F.get_json_object("provenance", "$.infinite").isNotNull().alias("infinite"))
+    return _said(said)
 
 
 def la_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,7 +313,7 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export(scope: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return catalogue(spark).export(scope=scope, rank=3).drop("is_banff", "is_louise", "is_p_prime")
+        return catalogue(spark).export(scope=scope)
 
     return query
 

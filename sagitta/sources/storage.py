@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def work_dir(spark: SparkSession) -> str:
     """A fresh path below ``spark.checkpoint.dir``, which all executors share. Only a session in local mode that has none set
     gets a folder of its own; on a cluster that is an error."""

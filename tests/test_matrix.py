@@ -1,3 +1,6 @@
+import itertools
+import math
+import random
 from itertools import combinations, permutations
 
 import pytest
@@ -9,6 +12,7 @@ from sagitta.functions import invariants as inv
 from sagitta.functions import matrix as mx
 from sagitta.operators import acyclicity as ac
 
+# Matrices and ids that must come out the same.
 A2, A3 = [[0, 1], [-1, 0]], [[0, 1, 0], [-1, 0, 1], [0, -1, 0]]
 D4 = [[0, 1, 1, 1], [-1, 0, 0, 0], [-1, 0, 0, 0], [-1, 0, 0, 0]]
 D4_PERM = [[0, -1, 0, 0], [1, 0, 1, 1], [0, -1, 0, 0], [0, -1, 0, 0]]
@@ -77,7 +81,12 @@ def test_larger_matrices_use_exact_integers(spark):
     path = [[0, 1, 0, 0, 0], [-1, 0, 1, 0, 0], [0, -1, 0, 1, 0], [0, 0, -1, 0, 1], [0, 0, 0, -1, 0]]
     rows = inv.exact_invariants(frame(spark, [big, path, D4]), "i", "m").orderBy("i").collect()
     assert [tuple(r) for r in rows] == [("0", "0", "wild"), ("1", "0", "finite"), ("2", "0", "finite")]  # odd skew-symmetric
-    assert inv.exact_determinant([]) == 1 and inv.exact_determinant([[0, 2], [-2, 0]]) == 4
+    assert inv.exact_determinant([]) == 1 and inv.exact_determinant([[0, 2], [-2, 0]]) == 4 and inv.exact_determinant([[7]]) == 7
+    rng = random.Random(1)
+    for n in range(1, 6):
+        a = [[rng.randint(-9, 9) for _ in range(n)] for _ in range(n)]
+        want = sum((-1) ** sum(p[i] > p[j] for i in range(n) for j in range(i + 1, n)) * math.prod(a[i][p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
+        assert inv.exact_determinant(a) == want
     assert values(spark, [path], mx.quiver_id) == values(spark, [[r[::-1] for r in path[::-1]]], mx.quiver_id)
 
 

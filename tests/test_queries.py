@@ -103,4 +103,4 @@ def test_local_acyclicity_of_all_classes(spark):
     assert len(rows) == len(classes) and {r["mc_id"]: (r["is_banff"], r["is_louise"], r["is_p_prime"]) for r in rows} == want
     said = {True: "true", False: "false", None: "unknown"}
     rows = QUERIES["provenance_all"](spark, DATA).collect()
-    assert len(rows) == len(classes) and {r["mc_id"]: (r["banff"], r["infinite"]) for r in rows} == {r["mc_id"]: (said[want[r["mc_id"]][0]], r["is_open"]) for r in classes}
+    assert len(rows) == len(classes) and {r["mc_id"]: (r["banff"], r["louise"], r["p_prime"], r["method"] is not None) for r in rows} == {r["mc_id"]: (*(said[x] for x in want[r["mc_id"]]), r["is_open"]) for r in classes}

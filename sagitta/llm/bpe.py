@@ -9,8 +9,8 @@ merges of their joined text never cross the seam. Back-pointers from the end giv
 from __future__ import annotations
 
 import json
-import sys
 import os
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator

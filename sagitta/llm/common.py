@@ -27,9 +27,17 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sagitta-{uuid.uuid4().hex}"
 
 
+#: Bytes of rows that go to a Python worker at once, where the session has Spark's own default of 64 MB.
+BATCH_BYTES = 4 << 20
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run``, for ``mapInArrow``, after which the worker gives the memory it freed back to the system: workers live on from
-    stage to stage, and what they hold counts against the executor."""
+    stage to stage, and what they hold counts against the executor. Bounds the session's batches, too, in bytes, since a
+    batch of long texts would else stand in the executor and in the worker at once."""
+    session, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    if session and session.conf.get(key) in ("67108864b", "67108864", "64MB"):
+        session.conf.set(key, BATCH_BYTES)
 
     def wrapped(batches: Iterator) -> Iterator:
         try:

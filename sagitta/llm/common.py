@@ -27,6 +27,14 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sagitta-{uuid.uuid4().hex}"
 
 
+def release() -> None:
+    """Gives the memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: Bytes of rows that go to a Python worker at once, where the session has Spark's own default of 64 MB.
 BATCH_BYTES = 4 << 20
 
@@ -43,10 +51,7 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            release()
 
     return wrapped
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, lookup_join, table, trimmed, written
+from .common import crc_mod, lookup_join, release, table, trimmed, written
 
 ORDER, NODES, FREQUENT = 5, 1 << 20, 400_000
 #: A symbol is a byte plus 1; 0 stands before a text and ends it.
@@ -108,6 +108,8 @@ class Trie:
             self.grams.append(shorter)
             self.contexts.append(Lookup(contexts, total, distinct.astype(np.float32), below, held == distinct))
             self.whole.append(of_all is None)
+            del codes, counts, of_all, contexts, first, at, held, total, distinct, below, sure
+            release()
 
     def log10(self, codes: np.ndarray, order: int | None = None, so_far: np.ndarray | None = None, excluded: np.ndarray | None = None) -> np.ndarray:
         """log10 of each last symbol's probability after those before it; NaN where the grams that are held don't tell.
@@ -254,10 +256,13 @@ def train(docs: DataFrame, learn, text_col: str = "text") -> tuple[Model, DataFr
         codes = kept.column("code").to_numpy().astype(np.int64).view(np.uint64)
         orders.append((codes, kept.column("n").to_numpy().astype(np.float64), tuple(kept.column(c).to_numpy().astype(np.float64) for c in ("total", "distinct", "below"))))
         del kept, codes
+        release()
         grams_k = written(grams_k.groupBy(_low(F.col("code"), k - 1).alias("code")).agg(F.sum("n").alias("n"))) if k > 1 else grams_k
     held = dict(zip(often.column("word").to_pylist(), np.log10(often.column("n").to_numpy() + 1.0).tolist()))
     del often
+    release()
     model = Model(Trie(orders), held, (tokens or 0) + ends, distinct + (ends > 0), ends, tables)
+    release()
     return model, words.where(bucket < least)
 
 

@@ -1,6 +1,7 @@
 """Exchange matrices as ``array<array<int>>`` columns: skew-symmetric, ``b_ij > 0`` for so many arrows from i to j.
 
-All functions are built-in expressions; those that go over relabelings take matrices of up to MAX_RELABELED vertices.
+All functions are built-in expressions. Those that go over relabelings have their permutations in the plan for up to
+MAX_RELABELED vertices and make them for each row beyond that, which is factorial work: eight vertices are 40,320.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ def permutation_list(n: int) -> list[list[int]]:
     return [[*p] for p in permutations(range(n))]
 
 
-def relabelings(m: Column) -> Column:
-    """All permutations of the matrix's vertices, in lexicographic order."""
-    return by_size(m, lambda n: _literal(permutation_list(n), "array<array<int>>"))
+def all_permutations(m: Column) -> Column:
+    """Those of any number of vertices, made by inserting each vertex at every place of the permutations of those before."""
+    inserted = lambda p, v: F.transform(F.sequence(F.lit(0), F.size(p)), lambda at: F.concat(F.slice(p, F.lit(1), at), F.array(v), F.slice(p, at + 1, F.size(p) - at)))
+    return F.aggregate(vertices(m), F.array(F.array().cast("array<int>")), lambda ps, v: F.flatten(F.transform(ps, lambda p: inserted(p, v))))
 
 
 def vertices(m: Column) -> Column:
@@ -83,8 +85,10 @@ def relabel(m: Column, p: Column) -> Column:
 
 
 def canonical_form(m: Column) -> Column:
-    """The smallest of all relabelings, row by row."""
-    return F.array_min(F.transform(relabelings(m), lambda p: relabel(m, p)))
+    """The smallest of all relabelings, row by row; beyond MAX_RELABELED vertices one is held at a time."""
+    smallest = F.aggregate(all_permutations(m), m, lambda best, p: F.least(best, relabel(m, p)))
+    few = by_size(m, lambda n: F.array_min(F.transform(_literal(permutation_list(n), "array<array<int>>"), lambda p: relabel(m, p))))
+    return F.when(F.size(m) > MAX_RELABELED, smallest).otherwise(few)
 
 
 def certificate(m: Column) -> Column:

@@ -281,5 +281,7 @@ SQL["export_distinct"] = conditions(f"SELECT {_EXPORT.format(matrix=js('c'))} FR
 SQL["export_labelings"] = conditions(f"SELECT {_EXPORT.format(matrix=js('coalesce(labeling, c)'))} FROM ({_LABELINGS}) x LEFT JOIN la ON la.r = x.rep")
 SQL["download_log"] = """SELECT CASE WHEN event_id % 2 = 0 THEN 'csv' ELSE 'xlsx' END AS fmt, event_id % 100 AS row_count, CASE WHEN user_id % 3 > 0 THEN '{"rank":"' || (user_id % 3) || '","scope":"distinct"}' ELSE '{"scope":"distinct"}' END AS filters,
 CASE WHEN user_id % 2 = 1 THEN user_id || '@example.org' END AS email, NULL::VARCHAR AS name, CASE WHEN event_id % 5 > 0 THEN '10.0.0.' || (event_id % 5) ELSE '127.0.0.1' END AS ip, NULL::VARCHAR AS user_agent, event_id::VARCHAR AS referer FROM events WHERE event_type = 'purchase'"""
+SQL["client_ip"] = "SELECT event_id, CASE WHEN event_id % 5 > 0 THEN '10.0.0.' || (event_id % 5) ELSE '127.0.0.1' END AS ip FROM events WHERE event_type = 'purchase'"
+SQL["logged_filters"] = """SELECT event_id, CASE WHEN user_id % 3 > 0 THEN '{"rank":"' || (user_id % 3) || '","scope":"distinct"}' ELSE '{"scope":"distinct"}' END AS filters FROM events WHERE event_type = 'purchase'"""
 
 ORACLES: dict[str, str] = SQL

@@ -343,12 +343,33 @@ def backfill_mutation_acyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.mutation_acyclic_changes(c.classes.select("mc_id", F.col("is_mutation_acyclic").alias("resolved")))
 
 
+def _purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where("event_type = 'purchase'")
+
+
+def _forwarded():
+    return F.when(F.col("event_id") % 5 > 0, F.concat(F.lit(" 10.0.0."), (F.col("event_id") % 5).cast("string"), F.lit(", 10.1.1.1"))).otherwise("")
+
+
+def _filters():
+    return F.create_map(F.lit("rank"), F.when(F.col("user_id") % 3 > 0, (F.col("user_id") % 3).cast("string")), F.lit("scope"), F.lit("distinct"))
+
+
+def client_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of events made from purchases, every fifth without a header."""
+    return _purchases(spark, sf_dir).select("event_id", sinks.client_ip(_forwarded(), F.lit("127.0.0.1")).alias("ip"))
+
+
+def logged_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters as the log holds them, every third user's without a rank."""
+    return _purchases(spark, sf_dir).select("event_id", sinks.logged_filters(_filters()).alias("filters"))
+
+
 def download_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the log (but for the clock) of events made from purchases."""
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
-    events = e.select(
-        F.when(F.col("event_id") % 2 == 0, "csv").otherwise("xlsx").alias("fmt"), (F.col("event_id") % 100).alias("row_count"), F.create_map(F.lit("rank"), F.when(F.col("user_id") % 3 > 0, (F.col("user_id") % 3).cast("string")), F.lit("scope"), F.lit("distinct")).alias("filters"),
-        F.when(F.col("user_id") % 2 == 0, "").otherwise(F.concat(F.col("user_id").cast("string"), F.lit("@example.org"))).alias("email"), F.lit("").alias("name"), sinks.client_ip(F.when(F.col("event_id") % 5 > 0, F.concat(F.lit(" 10.0.0."), (F.col("event_id") % 5).cast("string"), F.lit(", 10.1.1.1"))).otherwise(""), F.lit("127.0.0.1")).alias("ip"),
+    events = _purchases(spark, sf_dir).select(
+        F.when(F.col("event_id") % 2 == 0, "csv").otherwise("xlsx").alias("fmt"), (F.col("event_id") % 100).alias("row_count"), _filters().alias("filters"),
+        F.when(F.col("user_id") % 2 == 0, "").otherwise(F.concat(F.col("user_id").cast("string"), F.lit("@example.org"))).alias("email"), F.lit("").alias("name"), sinks.client_ip(_forwarded(), F.lit("127.0.0.1")).alias("ip"),
         F.lit(None).cast("string").alias("user_agent"), F.col("event_id").cast("string").alias("referer"),
     )
     return sinks.log_rows(events).drop("created_at")
@@ -369,4 +390,5 @@ QUERIES = {
     "search": _items(lambda c: c.search(is_simply_laced=True, is_connected=True)), **{name: _ids(**f) for name, f in FILTERS.items()},
     "quiver_detail": quiver_detail, "class_detail": class_detail, "totals": totals, "export_distinct": export("distinct"), "export_labelings": export("labelings"), "export_cell_format": export_cell_format,
     "upsert_merge": upsert_merge, "backfill_labeling_count": backfill_labeling_count, "backfill_mutation_acyclic": backfill_mutation_acyclic, "download_log": download_log,
+    "client_ip": client_ip, "logged_filters": logged_filters,
 }

@@ -90,6 +90,45 @@ def test_larger_matrices_use_exact_integers(spark):
     assert values(spark, [path], mx.quiver_id) == values(spark, [[r[::-1] for r in path[::-1]]], mx.quiver_id)
 
 
+def test_larger_matrices_in_expressions(spark):
+    rng = random.Random(7)
+    ms = []
+    for n in (5, 5, 5, 6, 6):
+        m = [[0] * n for _ in range(n)]
+        for i, j in combinations(range(n), 2):
+            m[i][j] = rng.choice([0, 0, 1, -1, 2])
+            m[j][i] = -m[i][j]
+        ms.append(m)
+    path = [[(j == i + 1) - (j == i - 1) for j in range(6)] for i in range(6)]
+    # a four-valent star is tame, a five-valent one wild, a three-valent one with legs 1, 2, 3 finite
+    star = lambda n: [[0] + [1] * n, *[[-1] + [0] * n for _ in range(n)]]
+    cycle = [[(j == (i + 1) % 6) - (j == (i - 1) % 6) for j in range(6)] for i in range(6)]
+    tree = [[0] * 6 for _ in range(6)]
+    for i, j in ((0, 1), (0, 2), (2, 3), (0, 4), (4, 5)):
+        tree[i][j], tree[j][i] = 1, -1
+    ms += [path, star(4), star(5), cycle, tree, [[0] * 6 for _ in range(6)]]
+    det = [inv.exact_determinant(m) for m in ms]
+    kinds = [inv.exact_representation_type(m) if ac.acyclic(m) else None for m in ms]
+    assert values(spark, ms, inv.determinant_native) == det
+    assert values(spark, ms, inv.representation_type_native) == kinds
+    assert kinds[5:] == ["finite", "tame", "wild", None, "finite", "finite"]
+    smallest, order, top = [], [], []
+    for m in ms:
+        perms = [*permutations(range(len(m)))]
+        of = lambda p, m=m: [[m[i][j] for j in p] for i in p]
+        smallest.append(min(map(of, perms)))
+        group = [p for p in perms if of(p) == m]
+        order.append(len(group))
+        top.append(max(map(inv.element_order, group)))
+    assert values(spark, ms, mx.canonical_form) == smallest
+    assert values(spark, ms, inv.symmetry_order) == order
+    assert values(spark, ms, lambda m: F.array_max(F.transform(inv.automorphisms(m), lambda x: x["k"]))) == top
+    assert values(spark, [path], mx.quiver_id) == values(spark, [[r[::-1] for r in path[::-1]]], mx.quiver_id)
+    assert values(spark, [[], [[0]]], inv.determinant_native) == [1, 0] and values(spark, [[], [[0]]], inv.representation_type_native) == ["finite", "finite"]
+    general = [[[rng.randint(-5, 5) for _ in range(n)] for _ in range(n)] for n in (5, 6, 7)]
+    assert values(spark, general, inv.determinant_native) == [inv.exact_determinant(a) for a in general]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4])
 def test_subgroups(n):
     assert len(inv.subgroups(n)) == {1: 1, 2: 2, 3: 6, 4: 30}[n]

@@ -125,6 +125,8 @@ def test_larger_matrices_in_expressions(spark):
     assert values(spark, ms, lambda m: F.array_max(F.transform(inv.automorphisms(m), lambda x: x["k"]))) == top
     assert values(spark, [path], mx.quiver_id) == values(spark, [[r[::-1] for r in path[::-1]]], mx.quiver_id)
     assert values(spark, [[], [[0]]], inv.determinant_native) == [1, 0] and values(spark, [[], [[0]]], inv.representation_type_native) == ["finite", "finite"]
+    none = spark.range(1).select(F.lit(None).cast("array<array<int>>").alias("m"))
+    assert [*none.select(*[of(F.col("m")) for of in (inv.determinant_native, inv.is_positive_definite, inv.representation_type_native, mx.canonical_form)]).collect()[0]] == [None] * 4
     general = [[[rng.randint(-5, 5) for _ in range(n)] for _ in range(n)] for n in (5, 6, 7)]
     assert values(spark, general, inv.determinant_native) == [inv.exact_determinant(a) for a in general]
 

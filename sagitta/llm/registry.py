@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, jaccard, langid, licences, ppm, sharding, topk, warc
+from . import bpe, codes, decontaminate, html, jaccard, langid, licences, periodic, ppm, repeats, sharding, topk, warc
 
-_MODULES = (decontaminate, html, sharding, licences, bpe, warc, langid, ppm, topk, jaccard)
+_MODULES = (decontaminate, html, sharding, licences, bpe, warc, langid, ppm, topk, jaccard, codes, repeats, periodic)
 
 
 def queries():

@@ -94,20 +94,20 @@ def hot_anchors(texts: DataFrame, window: int, sampled: int) -> DataFrame:
     return counted.where(F.col("n") >= max(16, total // HOT_SHARE)).select("h")
 
 
-def kinds(found: DataFrame, hot: DataFrame, least: int) -> DataFrame:
-    """``row, pos, kind`` of shared anchors: ``whole`` (another has the same extension), ``open`` (none has), ``one`` (besides
-    being whole, the one of its group that open anchors are compared with)."""
+def kinds(found: DataFrame, total: int) -> DataFrame:
+    """``row, pos, kind`` of the shared ones of ``found(h, c, row, pos, hot)``: ``whole`` (another has the same extension), ``open`` (none
+    has), ``one`` (besides being whole, the one of its group that open anchors are compared with)."""
     of_h, of_both = Window.partitionBy("h"), Window.partitionBy("h", "c")
-    cold = found.join(F.broadcast(hot), "h", "left_anti").repartition("h")
+    cold = found.where("not hot").repartition("h")
     counted = cold.withColumn("n", F.count(F.lit(1)).over(of_h)).where("n > 1")
     counted = counted.withColumns({"same": F.count(F.lit(1)).over(of_both), "nth": F.row_number().over(of_both.orderBy("row", "pos"))}).withColumn("least", F.min("same").over(of_h))
     cold_kinds = counted.select("row", "pos", F.when(F.col("same") == 1, "open").when((F.col("nth") == 1) & (F.col("least") == 1), "one").otherwise("whole").alias("kind"))
     # both firsts are of one row, since all rows have both
-    at_hot = found.join(F.broadcast(hot), "h")
+    at_hot = found.where("hot")
     groups = written(at_hot.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.first("row").alias("row"), F.first("pos").alias("pos")))
     alone = groups.select("row", "pos", F.when(F.col("n") == 1, "open").otherwise("one").alias("kind"))
     several = groups.where("n > 1").select(F.struct("h", "c").alias("both"), F.col("n").alias("many"))
-    members = lookup_join(at_hot.select(F.struct("h", "c").alias("both"), "row", "pos"), several, "both", "many", least).where("many is not null")
+    members = lookup_join(at_hot.select(F.struct("h", "c").alias("both"), "row", "pos"), several, "both", "many", total).where("many is not null")
     return cold_kinds.unionByName(alone).unionByName(members.select("row", "pos", F.lit("whole").alias("kind")))
 
 
@@ -191,8 +191,9 @@ def cut_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_
         raise ValueError("a window has one word at least")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = (texts if from_files else written(texts)).withColumn("row", F.monotonically_increasing_id())
-    hot = written(hot_anchors(texts, window, sampled))
-    marks = written(kinds(anchors(texts, window), hot, texts.count()))
+    hot = hot_anchors(texts, window, sampled).withColumn("hot", F.lit(True))
+    found = written(anchors(texts, window).join(F.broadcast(hot), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
+    marks = written(kinds(found, texts.count()))
     pick = lambda *k: F.array_sort(F.collect_list(F.when(F.col("kind").isin(*k), F.col("pos"))))
     by_row = marks.groupBy("row").agg(pick("whole").alias("whole"), pick("open").alias("open"), pick("one").alias("one"))
     windows = written(single_windows(_packed(texts), by_row, window))

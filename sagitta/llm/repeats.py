@@ -30,6 +30,8 @@ from .common import HOT_SHARE, lookup_join, table, trimmed, written
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Perfect difference sets. Each step that is not 0 modulo the period is the difference of two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
+#: A group with more than one in so many of all anchors is one of the largest; there are at most so many of them.
+LARGEST = 2000
 #: One row in so many is looked at for anchors that very many places share.
 SAMPLED = 64
 
@@ -106,8 +108,13 @@ def kinds(found: DataFrame, total: int) -> DataFrame:
     at_hot = found.where("hot")
     groups = written(at_hot.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.first("row").alias("row"), F.first("pos").alias("pos")))
     alone = groups.select("row", "pos", F.when(F.col("n") == 1, "open").otherwise("one").alias("kind"))
-    several = groups.where("n > 1").select(F.struct("h", "c").alias("both"), F.col("n").alias("many"))
-    members = lookup_join(at_hot.select(F.struct("h", "c").alias("both"), "row", "pos"), several, "both", "many", total).where("many is not null")
+    # groups of equal extensions: the few largest by a list of their hashes, the others by a join
+    most = max(1000, total // LARGEST)
+    several = groups.where("n > 1")
+    largest = [c for (c,) in several.where(F.col("n") > most).select("c").collect()]
+    in_largest = F.col("c").isin(largest) if largest else F.lit(False)
+    rest = at_hot.where(~in_largest).select("h", "c", "row", "pos").join(several.where(F.col("n") <= most).select("h", "c"), ["h", "c"])
+    members = at_hot.where(in_largest).select("row", "pos").unionByName(rest.select("row", "pos"))
     return cold_kinds.unionByName(alone).unionByName(members.select("row", "pos", F.lit("whole").alias("kind")))
 
 
@@ -193,7 +200,7 @@ def cut_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_
     texts = (texts if from_files else written(texts)).withColumn("row", F.monotonically_increasing_id())
     hot = hot_anchors(texts, window, sampled).withColumn("hot", F.lit(True))
     found = written(anchors(texts, window).join(F.broadcast(hot), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
-    marks = written(kinds(found, texts.count()))
+    marks = written(kinds(found, found.count()))
     pick = lambda *k: F.array_sort(F.collect_list(F.when(F.col("kind").isin(*k), F.col("pos"))))
     by_row = marks.groupBy("row").agg(pick("whole").alias("whole"), pick("open").alias("open"), pick("one").alias("one"))
     windows = written(single_windows(_packed(texts), by_row, window))

@@ -91,6 +91,13 @@ def canonical_form(m: Column) -> Column:
     return F.when(F.size(m) > MAX_RELABELED, smallest).otherwise(few)
 
 
+def canonical_permutation(m: Column) -> Column:
+    """The first permutation, in lexicographic order, that takes the matrix to its canonical form."""
+    made = lambda p: F.struct(relabel(m, p).alias("m"), p.alias("p"))
+    few = by_size(m, lambda n: F.array_min(F.transform(_literal(permutation_list(n), "array<array<int>>"), made)))
+    return F.when(F.size(m) > MAX_RELABELED, F.array_min(F.transform(all_permutations(m), made))).otherwise(few)["p"]
+
+
 def certificate(m: Column) -> Column:
     """SHA-256 of the canonical form's compact JSON, as bytes."""
     return F.unhex(F.sha2(F.to_json(canonical_form(m)), 256))

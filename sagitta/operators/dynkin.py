@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import matrix as mx
+from ..sources.storage import written
+from .closure import canonical_codes, classes_of, coded
 from .generate import Generation, decoded
 
 #: Reference types: names and ranks.
@@ -31,21 +33,31 @@ def family_seeds(spark: SparkSession, most: int = 5) -> DataFrame:
     return sizes.select(F.concat("family", n.cast("string")).alias("name"), "n", F.transform(seq, lambda i: F.transform(seq, lambda j: entry(i, j))).alias("matrix"))
 
 
-def reference_types(spark: SparkSession, g: Generation) -> DataFrame:
-    """``name, mc_id`` of the reference types: five rows at most."""
-    rows = spark.createDataFrame([(name, family_seed(f, n)) for name, f, n in REFERENCE if n <= g.max_vertices], "name string, matrix array<array<int>>")
-    return rows.withColumn("qid", mx.quiver_id(F.col("matrix"))).join(g.quivers.select("qid", "mc_id"), "qid").select("name", "mc_id")
+_kept: dict[str, DataFrame] = {}
 
 
-def classify(spark: SparkSession, matrices: DataFrame, g: Generation, key: str) -> DataFrame:
+def reference_quivers(spark: SparkSession) -> DataFrame:
+    """``name, n, code, class_code``: the canonical codes of all quivers of the reference types' classes, 18 rows, made once in a session."""
+    key = spark.sparkContext.applicationId
+    if key not in _kept:
+        rows = spark.createDataFrame([(name, n, family_seed(f, n)) for name, f, n in REFERENCE], "name string, n int, matrix array<array<int>>")
+        coded_rows = rows.select("name", "n", coded(F.col("matrix")).alias("code"))
+        named = written(coded_rows.join(canonical_codes(coded_rows.select("n", "code")), ["n", "code"]).select("name", "n", "ccode"))
+        quivers = classes_of(named.select("n", F.col("ccode").alias("code")))
+        of = named.join(quivers.select("n", F.col("code").alias("ccode"), "class_code"), ["n", "ccode"]).select("name", "n", "class_code")
+        _kept[key] = written(quivers.join(of, ["n", "class_code"]).select("name", "n", "code", "class_code"))
+    return _kept[key]
+
+
+def classify(spark: SparkSession, matrices: DataFrame, key: str) -> DataFrame:
     """``key, dynkin_type`` of ``matrices(key, matrix)``: the sorted names of the connected parts' types, null if one part is of none."""
     parts = matrices.select(key, F.explode(mx.connected_components(F.col("matrix"))).alias("part")).withColumn("qid", mx.quiver_id(F.col("part")))
-    named = parts.join(F.broadcast(g.quivers.select("qid", "mc_id").join(F.broadcast(reference_types(spark, g)), "mc_id").select("qid", "name")), "qid", "left")
-    # quivers of five reference classes of rank four and less: at most 18 rows
+    names = decoded(reference_quivers(spark), 2, 4).select("name", mx.quiver_id_of_canonical(F.col("matrix")).alias("qid"))
+    named = parts.join(F.broadcast(names), "qid", "left")  # 18 rows
     joined = F.array_join(F.array_sort(F.collect_list("name")), " + ")
     return named.groupBy(key).agg(F.when(F.count("name") == F.count(F.lit(1)), joined).alias("dynkin_type"))
 
 
 def class_types(spark: SparkSession, g: Generation) -> DataFrame:
     """``mc_id, dynkin_type`` of closed classes."""
-    return classify(spark, decoded(g.classes.where("not is_open"), g.bound, g.max_vertices).select("mc_id", "matrix"), g, "mc_id")
+    return classify(spark, decoded(g.classes.where("not is_open"), g.bound, g.max_vertices).select("mc_id", "matrix"), "mc_id")

@@ -2,8 +2,8 @@
 
 Inside, a labeled matrix is ``(n, code)``: the entries above the diagonal, row by row, as digits of base 2 * bound + 1.
 Codes order as the matrices do, so a canonical form is the smallest code over all relabelings, and every step is
-arithmetic in generated code. All seeds are closed at once: classes are the components of the graph of canonical codes,
-labeled orbits those of the labeled graph.
+arithmetic in generated code or on arrays of codes. All seeds are closed at once (``closure``): classes are the components of
+the graph of canonical codes, and each class's labeled orbit is closed from its representative.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from ..functions import invariants as inv
 from ..functions import matrix as mx
 from ..sources.storage import written
-from .components import connected_components
+from .closure import MAX_PACKED, canonical_codes, check_size, closure, coded, relabelings
+from .components import connected_components, lookup_join
 
-#: Codes of larger matrices don't fit 63 bits at bound 2; the written-out relabelings get long well before.
+#: Up to so many vertices relabelings are written out in expressions; codes go on to MAX_PACKED.
 MAX_VERTICES = 5
 
 
@@ -28,6 +29,13 @@ def _pairs(n: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(n) for j in range(i + 1, n)]
 
 
+def digits(n: int, bound: int, code: Column) -> dict[str, Column]:
+    """Columns of the entries above the diagonal."""
+    base, pairs = 2 * bound + 1, _pairs(n)
+    # whole-number division: a quotient of doubles would round the codes of seven vertices
+    return {f"b{i}{j}": (F.call_function("div", code, F.lit(base ** (len(pairs) - 1 - k))) % base - bound).cast("long") for k, (i, j) in enumerate(pairs)}
+
+
 class Packed:
     """Expressions on the codes of matrices of ``n`` vertices."""
 
@@ -41,8 +49,7 @@ class Packed:
         return self.base ** len(self.pairs)
 
     def digits(self, code: Column) -> dict[str, Column]:
-        """Columns of the entries above the diagonal."""
-        return {f"b{i}{j}": (F.floor(code / self.base ** (len(self.pairs) - 1 - k)) % self.base - self.bound).cast("long") for k, (i, j) in enumerate(self.pairs)}
+        return digits(self.n, self.bound, code)
 
     def b(self, i: int, j: int) -> Column:
         return F.lit(0).cast("long") if i == j else F.col(f"b{i}{j}") if i < j else -F.col(f"b{j}{i}")
@@ -93,8 +100,7 @@ def decoded(rows: DataFrame, bound: int = 2, most: int = MAX_VERTICES, code: str
     """``rows(n, code, ...)`` with the matrix of ``code``."""
 
     def of(n: int) -> Column:
-        p = Packed(n, bound)
-        d = p.digits(F.col(code))
+        d = digits(n, bound, F.col(code))
         b = lambda i, j: F.lit(0) if i == j else d[f"b{i}{j}"].cast("int") if i < j else -d[f"b{j}{i}"].cast("int")
         return F.array(*[F.array(*[b(i, j) for j in range(n)]) for i in range(n)])
 
@@ -110,32 +116,31 @@ def seed_quivers(spark: SparkSession, max_vertices: int = 4, bound: int = 2) ->
     return decoded(seeds, bound, max_vertices)
 
 
+def _check_seeds(seeds: DataFrame, bound: int) -> None:
+    m = F.col("matrix")
+    bad = seeds.where(~(mx.is_skew_symmetric(m) & mx.is_bounded(m, bound))).limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0]!r} is not a bounded skew-symmetric matrix")
+
+
 def bfs_orbit(spark: SparkSession, seeds: DataFrame, bound: int = 2) -> DataFrame:
     """``seed, matrix, is_boundary``: all labeled matrices reached from each ``seeds(seed, matrix)`` by mutations within the bound.
 
-    ``is_boundary``: some mutation of the matrix leaves the bound. One round for each step from the seeds; matrices met
-    before are dropped by an anti-join. Raises ValueError for a seed that is not skew-symmetric or not within the bound.
+    ``is_boundary``: some mutation of the matrix leaves the bound. All seeds are closed at once, each class's labeled orbit is made
+    once, and a seed's own is that one relabeled: the closure's work depends on the classes and not on the seeds, and only rows of
+    the result are made for each. Seeds without a matrix have no orbit; a seed with several matrices has theirs together. Raises
+    ValueError for a seed that is not skew-symmetric or not within the bound, or that has more than MAX_PACKED vertices.
     """
-    m = F.col("matrix")
-    bad = seeds.where(~(mx.is_skew_symmetric(m) & mx.is_bounded(m, bound))).select("seed").limit(1).collect()
-    if bad:
-        raise ValueError(f"seed {bad[0][0]!r} is not a bounded skew-symmetric matrix")
-    frontier = written(seeds.select("seed", "matrix").distinct())
-    found = [frontier]
-    edges = []
-    while True:
-        steps = frontier.select("seed", "matrix", F.explode(mx.vertices(m)).alias("k")).select("seed", F.col("matrix").alias("src"), mx.mutate(m, F.col("k")).alias("matrix"))
-        steps = written(steps.withColumn("stays", mx.is_bounded(m, bound)))
-        edges.append(steps.where("not stays").select("seed", F.col("src").alias("matrix")).distinct())
-        visited = reduce(DataFrame.unionByName, found)
-        frontier = written(steps.where("stays").select("seed", "matrix").distinct().join(visited, ["seed", "matrix"], "left_anti"))
-        if not frontier.limit(1).count():
-            break
-        found.append(frontier)
-        if len(found) > 8:  # keep the plan short
-            found, edges = [written(reduce(DataFrame.unionByName, found))], [written(reduce(DataFrame.unionByName, edges))]
-    boundary = reduce(DataFrame.unionByName, edges).withColumn("is_boundary", F.lit(True))
-    return reduce(DataFrame.unionByName, found).join(boundary, ["seed", "matrix"], "left").select("seed", "matrix", F.coalesce("is_boundary", F.lit(False)).alias("is_boundary"))
+    _check_seeds(seeds, bound)
+    check_size(seeds.agg(F.max(F.size("matrix"))).collect()[0][0] or 1, bound)
+    own = written(seeds.where(F.size("matrix") > 0).select("seed", F.size("matrix").alias("n"), coded(F.col("matrix"), bound).alias("code")).distinct())
+    named = written(canonical_codes(own.select("n", "code").distinct(), bound))
+    c = closure(named.select("n", F.col("ccode").alias("code")), bound)
+    orbit = decoded(c.labeled.select("n", "code", "class_code", "is_boundary"), bound, MAX_PACKED).drop("code")
+    by_seed = own.join(relabelings(named, c), ["n", "code"]).select("seed", "n", "class_code", "by")
+    found = by_seed.join(orbit, ["n", "class_code"]).select("seed", mx.relabel(F.col("matrix"), F.col("by")).alias("matrix"), "is_boundary")
+    several = own.groupBy("seed").count().where("count > 1").limit(1).count()
+    return found.distinct() if several else found
 
 
 def merge_orbits(orbits: DataFrame) -> DataFrame:
@@ -148,20 +153,30 @@ def merge_orbits(orbits: DataFrame) -> DataFrame:
 
 
 def orbit_overlaps(orbits: DataFrame) -> DataFrame:
-    """``a, b, a_open, b_open``: pairs of orbits of ``orbits(orbit, is_open, qid)`` that share a quiver."""
-    rows = orbits.select("orbit", "is_open", "qid").distinct()
-    x, y = rows.alias("x"), rows.alias("y")
-    return x.join(y, (F.col("x.qid") == F.col("y.qid")) & (F.col("x.orbit") < F.col("y.orbit"))).select(F.col("x.orbit").alias("a"), F.col("y.orbit").alias("b"), F.col("x.is_open").alias("a_open"), F.col("y.is_open").alias("b_open")).distinct()
+    """``a, b, quivers``: pairs of orbits of ``orbits(orbit, qid)`` that span what orbits share, and for how many quivers they do.
+
+    Of each quiver's orbits the least is paired with each of the others: one edge less than orbits, whatever their number, and
+    orbits hang together by these pairs if and only if they do by all that share a quiver."""
+    rows = orbits.select("orbit", "qid").distinct()
+    least = rows.groupBy("qid").agg(F.min("orbit").alias("a"), F.count(F.lit(1)).alias("least_of"))
+    return lookup_join(rows, least.where("least_of > 1"), "qid", "least_of", rows.count()).where("orbit <> a").groupBy("a", F.col("orbit").alias("b")).agg(F.count(F.lit(1)).alias("quivers"))
+
+
+def _glued(orbits: DataFrame) -> DataFrame:
+    """``node, root`` of orbits that hang together by quivers they share."""
+    over = written(orbit_overlaps(orbits))
+    return connected_components(orbits.select(F.col("orbit").alias("node")).distinct(), over.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
 def gluing_counters(orbits: DataFrame) -> DataFrame:
-    """One row ``closed_closed, closed_open, open_open`` of overlapping pairs in the components that they glue: with only
-    open orbits glued, the last is orbits less components."""
-    over = orbit_overlaps(orbits)
-    nodes = orbits.select(F.col("orbit").alias("node")).distinct()
-    of_open = connected_components(nodes, over.where("a_open and b_open").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    pairs = over.agg(F.count_if(~F.col("a_open") & ~F.col("b_open")).alias("closed_closed"), F.count_if(F.col("a_open") != F.col("b_open")).alias("closed_open"))
-    return pairs.crossJoin(of_open.agg((F.count(F.lit(1)) - F.countDistinct("root")).alias("open_open")))  # one row each
+    """One row ``closed_closed, closed_open, open_open`` of ``orbits(orbit, is_open, qid)``: how many unions glue closed orbits to closed
+    ones, then open ones to open ones, then one kind to the other. A union glues two components, so their numbers before and
+    after count the unions: in all, orbits less components."""
+    parts = lambda rows: _glued(rows).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("root").alias("k"))
+    rows = written(orbits.select("orbit", "is_open", "qid").distinct())
+    closed, opened, both = (written(parts(x)).collect()[0] for x in (rows.where("not is_open"), rows.where("is_open"), rows))
+    counts = closed["n"] - closed["k"], closed["k"] + opened["k"] - both["k"], opened["n"] - opened["k"]
+    return orbits.sparkSession.createDataFrame([counts], "closed_closed long, closed_open long, open_open long")
 
 
 def check_gluing(orbits: DataFrame) -> dict:
@@ -197,35 +212,41 @@ def _with_id(rows: DataFrame, prefix: str, code: str, name: str, bound: int, mos
     return decoded(rows, bound, most, code, "_m").withColumn(name, made(F.col("_m"))).drop("_m")
 
 
-def run_generation(spark: SparkSession, max_vertices: int = 4, bound: int = 2) -> Generation:
-    sizes = range(1, max_vertices + 1)
-    labeled = written(reduce(DataFrame.unionByName, [labeled_matrices(spark, n, bound) for n in sizes]))
-    edges = written(reduce(DataFrame.unionByName, [mutations(labeled, n, bound) for n in sizes]))
-    # nodes of all sizes in one graph: (n, code) as one number
-    node = lambda code: F.col("n") * F.lit(1 << 58) + F.col(code)
-    of_code = labeled.select("n", "code", "ccode")
-    by_class = edges.where("dst is not null").join(of_code, ["n", "code"]).join(of_code.select("n", F.col("code").alias("dst"), F.col("ccode").alias("cdst")), ["n", "dst"]).select(node("ccode").alias("src"), node("cdst").alias("dst")).distinct()
-    seeds = labeled.where("code = ccode").select("n", "code")
-    roots = connected_components(seeds.select(node("code").alias("node")), by_class).select(F.shiftright("node", 58).cast("int").alias("n"), F.col("node").bitwiseAND((1 << 58) - 1).alias("code"), F.col("root").bitwiseAND((1 << 58) - 1).alias("class_code"))
-    parts = connected_components(labeled.select(node("code").alias("node")), edges.where("dst is not null").select(node("code").alias("src"), node("dst").alias("dst")))
-    parts = parts.select(F.shiftright("node", 58).cast("int").alias("n"), F.col("node").bitwiseAND((1 << 58) - 1).alias("code"), F.col("root").bitwiseAND((1 << 58) - 1).alias("orbit_code"))
-    quivers = _with_id(_with_id(roots, "Q", "code", "qid", bound, max_vertices), "MC", "class_code", "mc_id", bound, max_vertices)
-    quivers = written(quivers.coalesce(1).select("n", "code", "qid", "class_code", "mc_id"))
-    escapes = edges.groupBy("n", "code").agg(F.bool_or(F.col("dst").isNull()).alias("is_boundary"))
-    # a representative is the smallest code of its own labeled component
-    orbit = parts.join(quivers.where("code = class_code").select("n", F.col("code").alias("orbit_code"), "mc_id"), ["n", "orbit_code"])
-    orbit = orbit.join(labeled, ["n", "code"]).join(escapes, ["n", "code"]).join(quivers.select("n", F.col("code").alias("ccode"), "qid"), ["n", "ccode"])
-    orbit = written(orbit.select("n", "code", "ccode", F.col("orbit_code").alias("class_code"), "qid", "mc_id", "is_boundary"))
-    check_shared(orbit.join(orbit.groupBy("mc_id").agg(F.bool_or("is_boundary").alias("is_open")), "mc_id"))
-    # the labeled components of all members of a class, by the least canonical form in each: what was explored and glued
-    members = labeled.join(parts, ["n", "code"]).join(quivers.select("n", F.col("code").alias("ccode"), "mc_id"), ["n", "ccode"])
-    merged = members.groupBy("n", "orbit_code", "mc_id").agg(F.min("ccode").alias("least")).groupBy("mc_id").agg(F.countDistinct("least").cast("int").alias("merged_orbit_count"))
-    classes = orbit.groupBy("n", F.col("class_code").alias("code"), "mc_id").agg(
+def closed_generation(spark: SparkSession, start: DataFrame, max_vertices: int = 4, bound: int = 2) -> Generation:
+    """All that is reached from the canonical codes ``start(n, code)``."""
+    c = closure(start, bound)
+    roots = c.quivers.select("n", "code", "class_code")
+    quivers = written(_with_id(_with_id(roots, "Q", "code", "qid", bound, max_vertices), "MC", "class_code", "mc_id", bound, max_vertices).select("n", "code", "qid", "class_code", "mc_id"))
+    labeled = c.labeled.join(quivers.select("n", F.col("code").alias("ccode"), "qid", "mc_id"), ["n", "ccode"])
+    labeled = written(labeled.select("n", "code", "ccode", "class_code", "qid", "mc_id", "is_boundary"))
+    check_shared(labeled.join(labeled.groupBy("mc_id").agg(F.bool_or("is_boundary").alias("is_open")), "mc_id"))
+    classes = labeled.groupBy("n", F.col("class_code").alias("code"), "mc_id").agg(
         F.bool_or("is_boundary").alias("is_open"), F.count(F.lit(1)).cast("int").alias("labeled_size"), F.countDistinct("qid").cast("int").alias("distinct_quiver_count"),
-        F.count_if("is_boundary").cast("int").alias("frontier"),
+        # one orbit is explored for each class, that of its least, and none is glued to it
+        F.countDistinct("class_code").cast("int").alias("merged_orbit_count"), F.count_if("is_boundary").cast("int").alias("frontier"),
     )
-    classes = classes.join(merged, "mc_id").select("n", "code", "mc_id", "is_open", "labeled_size", "distinct_quiver_count", "merged_orbit_count", "frontier")
-    return Generation(quivers, orbit, written(classes.coalesce(1)), max_vertices, bound)
+    return Generation(quivers, labeled, written(classes), max_vertices, bound)
+
+
+def all_seeds(spark: SparkSession, max_vertices: int, bound: int = 2) -> DataFrame:
+    """``n, code`` of all canonical quivers up to a size; those of five vertices by adding one to those of four."""
+    made = [augmented_seeds(spark, bound) if n == 5 else labeled_matrices(spark, n, bound).where("code = ccode").select("n", "code") for n in range(1, max_vertices + 1)]
+    return reduce(DataFrame.unionByName, made)
+
+
+def run_generation(spark: SparkSession, max_vertices: int = 4, bound: int = 2) -> Generation:
+    return closed_generation(spark, all_seeds(spark, max_vertices, bound), max_vertices, bound)
+
+
+def generation_of(spark: SparkSession, matrices: DataFrame, max_vertices: int = 4, bound: int = 2) -> Generation:
+    """All that is reached from the matrices in ``matrices(matrix)``, of up to ``max_vertices``; null ones count for nothing. Raises ValueError as
+    ``bfs_orbit`` does."""
+    if not 1 <= max_vertices <= MAX_VERTICES:
+        raise ValueError(f"1 to {MAX_VERTICES} vertices")
+    own = matrices.where(F.size("matrix").between(1, max_vertices)).select("matrix").distinct()
+    _check_seeds(own, bound)
+    codes = own.select(F.size("matrix").alias("n"), coded(F.col("matrix"), bound).alias("code"))
+    return closed_generation(spark, canonical_codes(codes, bound).select("n", F.col("ccode").alias("code")).distinct(), max_vertices, bound)
 
 
 def consistency_violations(g: Generation) -> DataFrame:
@@ -247,7 +268,8 @@ def augmented_seeds(spark: SparkSession, bound: int = 2) -> DataFrame:
     small = labeled_matrices(spark, 4, bound).where("code = ccode").select("code").withColumns(four.digits(F.col("code")))
     ways = spark.range(five.base**4).select(*[(F.floor(F.col("id") / five.base**k) % five.base - bound).cast("long").alias(f"b{k}4") for k in range(4)])
     rows = small.crossJoin(F.broadcast(ways))  # 695 quivers, 625 ways each: fixed sizes
-    return rows.select(F.lit(5).alias("n"), five.canonical().alias("code")).distinct()
+    codes = rows.select(F.lit(5).alias("n"), five.code(five.b).alias("code"))
+    return canonical_codes(codes, bound).select("n", F.col("ccode").alias("code")).distinct()
 
 
 def bundle(matrices: DataFrame, m: str = "matrix") -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import matrix as mx
 from .storage import table
 
-EVENT_TYPES = ("view", "click", "signup", "purchase")
-REGIONS = (0, 1, 2, 3)
+#: Vertices: all event types and all regions of the tables.
+EVENT_TYPES = ("view", "click", "signup", "purchase", "error")
+REGIONS = (0, 1, 2, 3, 4)
 
 
 def _matrices(counts: DataFrame, key: str, size: int, bound: int) -> DataFrame:
@@ -18,12 +22,26 @@ def _matrices(counts: DataFrame, key: str, size: int, bound: int) -> DataFrame:
     return counts.groupBy(key).agg(*sums).select(key, F.array(*[F.array(*[net(i, j) for j in range(size)]) for i in range(size)]).alias("matrix"))
 
 
+def event_steps(events: DataFrame) -> DataFrame:
+    """``user_id, a, b``: the types of each two events of a user that follow each other in order of time and id.
+
+    Events are put in order within a user's days; from day to day the last type meets the first of the user's next day. So no task
+    sorts all events of a user."""
+    e = events.select("user_id", F.date_trunc("day", "ts").alias("day"), F.struct("ts", "event_id").alias("at"), F.struct("event_type").alias("type"))
+    inside = e.withColumn("next", F.lead("type").over(Window.partitionBy("user_id", "day").orderBy("at")))
+    days = e.groupBy("user_id", "day").agg(F.min_by("type", "at").alias("first"), F.max_by("type", "at").alias("type"))
+    across = days.withColumn("next", F.lead("first").over(Window.partitionBy("user_id").orderBy("day")))
+    both = inside.select("user_id", "type", "next").unionByName(across.select("user_id", "type", "next"))
+    return both.where("next is not null").select("user_id", F.col("type.event_type").alias("a"), F.col("next.event_type").alias("b"))
+
+
 def event_quivers(spark: SparkSession, sf_dir: str, types: tuple[str, ...] = EVENT_TYPES, bound: int = 2) -> DataFrame:
-    """``user_id, matrix``: each user's net steps between event types, in order of time and id."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    """``user_id, matrix``: each user's net steps between event types. Users without a step have no arrows."""
+    events = table(spark, sf_dir, "events")
     at = F.create_map(*[F.lit(x) for i, t in enumerate(types) for x in (t, i)])
-    steps = table(spark, sf_dir, "events").select("user_id", at[F.col("event_type")].alias("i"), at[F.lead("event_type").over(order)].alias("j"))
-    return _matrices(steps.groupBy("user_id", "i", "j").agg(F.count(F.lit(1)).alias("n")), "user_id", len(types), bound)
+    counts = event_steps(events).groupBy("user_id", at[F.col("a")].alias("i"), at[F.col("b")].alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    none = events.select("user_id").distinct().select("user_id", *[F.lit(None).cast("int").alias(c) for c in "ij"], F.lit(0).cast("long").alias("n"))
+    return _matrices(counts.unionByName(none), "user_id", len(types), bound)
 
 
 def trade_quivers(spark: SparkSession, sf_dir: str, bound: int = 2) -> DataFrame:
@@ -35,3 +53,15 @@ def trade_quivers(spark: SparkSession, sf_dir: str, bound: int = 2) -> DataFrame
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     flows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     return _matrices(flows.groupBy("month", "i", "j").agg(F.count(F.lit(1)).alias("n")), "month", len(REGIONS), bound)
+
+
+def data_quivers(spark: SparkSession, sf_dir: str, bound: int = 2) -> DataFrame:
+    """``owner, matrix``: the quivers of all users and of all months."""
+    users = event_quivers(spark, sf_dir, bound=bound).select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("owner"), "matrix")
+    return users.unionByName(trade_quivers(spark, sf_dir, bound).select(F.concat(F.lit("month "), F.col("month")).alias("owner"), "matrix"))
+
+
+def subquivers(quivers: DataFrame, most: int, size: int = len(EVENT_TYPES)) -> DataFrame:
+    """``quivers(owner, matrix)`` as ``owner, part, matrix``: what is induced on each set of one to ``most`` of the vertices (the array ``part``)."""
+    parts = [[*p] for n in range(1, most + 1) for p in combinations(range(size), n)]
+    return quivers.select("owner", "matrix", F.explode(mx._literal(parts, "array<array<int>>")).alias("part")).select("owner", "part", mx.relabel(F.col("matrix"), F.col("part")).alias("matrix"))

@@ -58,34 +58,37 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_BASE = 0x5851F42D4C957F2D
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, _AT_ONCE + 1)
-        with np.errstate(over="ignore"):
-            made = []
-            for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-                x = np.full(size, base, np.uint64)
-                x[0] = 1
-                made.append(np.cumprod(x, dtype=np.uint64))
-        _powers[:] = made
-    return _powers[0], _powers[1]
+#: Odd numbers that keep apart the places of a word's parts and words of different lengths.
+_PLACE, _LENGTH = 0x5851F42D4C957F2D, np.uint64(0x9E3779B97F4A7C15)
+#: The bytes of a part that count if it has 0 to 8 of them.
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+_LONG = 64
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word of lower-cased bytes; a word's hash doesn't depend on where it stands."""
+    """Hash and start of every word of lower-cased bytes; a word's hash doesn't depend on where it stands.
+
+    A word's eight-byte parts enter one after the other, each followed by a bijective mixing of all 64 bits, so that, other than with
+    powers of a number modulo 2**64, no family of words collides; any two do with a chance of 2**-64. Words of more than
+    _LONG bytes are few, and get a BLAKE2 hash."""
     raw = np.frombuffer(data, np.uint8)
     blank = np.concatenate([[True], _BLANK[raw], [True]])
     edges = np.flatnonzero(blank[1:] != blank[:-1])
     starts, ends = edges[::2], edges[1::2]
-    up, down = _power_tables(len(raw))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64)])
-    return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+    size = ends - starts
+    out = _mix(size.astype(np.uint64) * _LENGTH)
+    parts = np.ndarray((len(raw) + 1,), "<u8", data + bytes(16), 0, (1,))  # the eight bytes from each byte on
+    left = np.flatnonzero(size <= _LONG)
+    done = 0
+    while len(left):
+        part = parts[starts[left] + done] & _KEPT[np.minimum(size[left] - done, 8)]
+        out[left] = _mix((out[left] ^ part) + np.uint64(_PLACE * (done + 1) % (1 << 64)))
+        done += 8
+        left = left[size[left] > done]
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out, starts
 
 
 def shingle_sets(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:

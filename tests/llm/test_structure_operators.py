@@ -358,6 +358,28 @@ def test_near_duplicates_by_row(spark):
     assert again.count() == 1
 
 
+def test_words_that_collide_under_powers_modulo_two_to_the_64(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for x, y in ((word, other), (word[:64], other[:64])):
+        rows = [(1, f"one two {x} four"), (2, f"one two {y} four"), (3, f"one two {x} four")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(tuple(r) for r in jaccard.jaccard_components(docs, 4, 85).select("doc_id", "n_shingles", "component_id").collect()) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+        assert sorted(r["doc_id"] for r in jaccard.drop_near_duplicates(docs).collect()) == [1, 2]
+
+
+def test_word_hashes_stand_for_words():
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abé", k=rng.choice([1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 200]))) for _ in range(3000)]
+    data = "\n".join(words).encode()
+    found, starts = jaccard.word_hashes(data)
+    seen = {}
+    assert len(found) == len(words) and all(seen.setdefault(w, h) == h for w, h in zip(words, found.tolist())) and len({*seen.values()}) == len(seen)
+    assert [data[i : i + len(w.encode())].decode() for w, i in zip(words, starts)] == words
+
+
 def test_large_groups(spark):
     """2,000 near copies of one text, and a line in every document, beside texts at the edge of linking."""
     rng = random.Random(8)

@@ -165,13 +165,73 @@ def status(matrix, kind: str, **budget) -> tuple[str, dict | None]:
     return ("true", found) if found is not None else ("unknown" if search.budget.truncated else "false", None)
 
 
-def mutation_path(matrix, **budget) -> list[int] | None:
-    """Mutations to an acyclic quiver, if any are found."""
+def mutation_path(matrix, **budget) -> tuple[str, list[int] | None]:
+    """``true`` and the mutations to an acyclic quiver, ``false`` (only if nothing was cut short) or ``unknown``."""
     search = Search("p_prime", Budget(**{**DIRECT, **budget}))
     try:
-        return next((p for x, p in search.reached(tuple(tuple(int(v) for v in row) for row in matrix)) if acyclic(x)), None)
+        found = next((p for x, p in search.reached(tuple(tuple(int(v) for v in row) for row in matrix)) if acyclic(x)), None)
     except OutOfBudget:
-        return None
+        return "unknown", None
+    return ("true", found) if found is not None else ("unknown" if search.budget.truncated else "false", None)
+
+
+def mutation_paths(matrices: DataFrame, key: str, **budget) -> DataFrame:
+    """``key, matrix, state, path`` of ``matrices(key, matrix)``: mutations that lead to an acyclic quiver, if ``state`` is true.
+
+    Each isomorphism class is searched once, from its canonical form; a path's vertices are then the matrix's own. A null
+    matrix has no row."""
+    own = matrices.where("matrix is not null").withColumn("_p", mx.canonical_permutation(F.col("matrix"))).withColumn("_c", mx.relabel(F.col("matrix"), F.col("_p")))
+
+    def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [mutation_path([list(r) for r in m], **budget) for m in b["_c"]]
+            yield pd.DataFrame({"_c": b["_c"], "state": [s for s, _ in found], "_path": [p for _, p in found]})
+
+    forms = own.select("_c").distinct().repartition(matrices.sparkSession.sparkContext.defaultParallelism)
+    paths = written(forms.mapInPandas(searched, "_c array<array<int>>, state string, _path array<int>"))
+    return own.join(paths, "_c").select(key, "matrix", "state", F.transform("_path", lambda k: F.get("_p", k)).alias("path"))
+
+
+def replayed(m, path):
+    """The matrix after the mutations of an array column, as an expression."""
+    return F.aggregate(path, m, lambda q, k: mx.mutate(q, k))
+
+
+#: What is read of a witness: its condition is ``acyclic`` or an object with further witnesses, here as text.
+_WITNESS = "mutations array<int>, condition string"
+_CONDITION = "source int, neighbor int, witness_k string, witness_j string, witness_kj string"
+
+
+def certified(rows: DataFrame) -> DataFrame:
+    """``key, kind, valid, steps`` of ``rows(key, kind, matrix, witness)``: whether a witness (JSON) proves what it says, and of how many
+    witnesses it is made.
+
+    A witness is replayed: its mutations, then either nothing is left but to be acyclic, or the vertex that it names is a source, its
+    neighbour is one, and each deletion that ``kind`` asks for has a witness of its own. One round checks all witnesses of a depth,
+    so rounds are at most as many as vertices; no witness proves nothing."""
+    level, checked = rows.select("key", "kind", "matrix", "witness"), []
+    m = F.col("at")
+    while True:
+        told = level.select("key", "kind", "matrix", F.from_json("witness", _WITNESS).alias("w"))
+        at = told.select("key", "kind", replayed(F.col("matrix"), F.col("w.mutations")).alias("at"), F.col("w.condition").alias("condition"))
+        at = at.withColumn("c", F.when(F.col("condition") != "acyclic", F.from_json("condition", _CONDITION)))
+        k, j = F.col("c.source"), F.col("c.neighbor")
+        paired = F.col("kind") != "p_prime"
+        is_source = F.array_contains(mx.sources(m), k) & (~paired | (mx.entry(m, k, j) != 0))
+        valid = F.when(F.col("condition") == "acyclic", mx.is_acyclic(m)).otherwise(is_source)
+        one = F.struct(mx.delete_vertex(m, k).alias("matrix"), F.col("c.witness_k").alias("witness"))
+        two = F.struct(mx.delete_vertex(m, j).alias("matrix"), F.col("c.witness_j").alias("witness"))
+        both = F.struct(mx.relabel(m, F.filter(mx.vertices(m), lambda v: (v != k) & (v != j))).alias("matrix"), F.col("c.witness_kj").alias("witness"))
+        below = F.when(F.col("kind") == "p_prime", F.array(one)).when(F.col("kind") == "banff", F.array(one, two)).otherwise(F.array(one, two, both))
+        made = written(at.select("key", "kind", F.coalesce(valid, F.lit(False)).alias("valid"), F.when(F.col("c").isNotNull() & F.coalesce(valid, F.lit(False)), below).alias("below")))
+        checked.append(made.select("key", "kind", "valid"))
+        level = made.select("key", "kind", F.explode("below").alias("b")).select("key", "kind", "b.matrix", "b.witness")
+        if not level.limit(1).count():
+            break
+    out = checked[0]
+    for x in checked[1:]:
+        out = out.unionByName(x)
+    return out.groupBy("key", "kind").agg(F.bool_and("valid").alias("valid"), F.count(F.lit(1)).alias("steps"))
 
 
 _STATE = {"true": True, "false": False, "unknown": None}

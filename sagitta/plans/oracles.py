@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from .queries import FILTERS, FIRST_FOUR, SEEDS
+from .queries import FILTERS, FIRST_FOUR, LA_DEPTH, SEEDS
 
 TYPES = ("view", "click", "signup", "purchase", "error")
 
@@ -261,6 +261,28 @@ SQL["trade_components"] = """WITH RECURSIVE line AS MATERIALIZED (SELECT DISTINC
 e AS MATERIALIZED (SELECT a AS x, b AS y FROM line UNION ALL SELECT b, a FROM line),
 g AS (SELECT DISTINCT x AS node, x AS y FROM e UNION SELECT g.node, e.y FROM g JOIN e ON g.y = e.x) SELECT node, min(y) AS root FROM g GROUP BY node"""
 
+# an element is a generator if those before it don't generate it
+_THEN = "list_transform(h.p, lambda i: c.x[i])"
+SQL["symmetry_generators"] = f"""WITH RECURSIVE {OWN}, {PERM}, oaut AS MATERIALIZED (SELECT owner, p FROM own, perm WHERE n = 5 AND {relabel('m', 'p')} = m),
+made AS (SELECT owner, p AS g, [1, 2, 3, 4, 5] AS x FROM oaut UNION SELECT c.owner, c.g, {_THEN} FROM made c JOIN oaut h ON c.owner = h.owner AND h.p < c.g),
+chosen AS (SELECT owner, p FROM oaut ANTI JOIN made ON oaut.owner = made.owner AND oaut.p = made.g AND oaut.p = made.x),
+said AS (SELECT owner, count(*) AS o, max({_order()}) AS k FROM oaut GROUP BY owner)
+SELECT owner, o::VARCHAR AS "order", {NAME} AS name, coalesce(generators, '[]') AS generators FROM said LEFT JOIN (SELECT owner, to_json(list(list_transform(p, lambda i: i - 1) ORDER BY p))::VARCHAR AS generators FROM chosen GROUP BY owner) USING (owner)"""
+NATIONS = """nflow AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, s_nationkey AS i, c_nationkey AS j FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
+net AS (SELECT month, i, j, sum(n)::INTEGER AS n FROM (SELECT month, i, j, count(*) AS n FROM nflow GROUP BY ALL UNION ALL SELECT month, j, i, -count(*) FROM nflow GROUP BY ALL) GROUP BY ALL),
+cell AS (SELECT month, a.n_nationkey AS i, b.n_nationkey AS j FROM (SELECT DISTINCT month FROM nflow), nation a, nation b),
+nq AS MATERIALIZED (SELECT month, list(r ORDER BY i) AS m FROM (SELECT month, i, list(coalesce(n, 0) ORDER BY j) AS r FROM cell LEFT JOIN net USING (month, i, j) GROUP BY month, i) GROUP BY month)"""
+SQL["canonical_verify"] = f"""WITH {NATIONS}, p6 AS MATERIALIZED (SELECT list([a, b, c, d, e, f]) AS ps FROM range(1, 7) t(a), range(1, 7) u(b), range(1, 7) v(c), range(1, 7) w(d), range(1, 7) x(e), range(1, 7) y(f) WHERE len(list_distinct([a, b, c, d, e, f])) = 6),
+six AS (SELECT month || ' ' || k AS key, list_transform(m[k + 1:k + 6], lambda r: r[k + 1:k + 6]) AS s FROM nq, range(0, 20) t(k)) SELECT key, {js(canon('s'))} AS canonical, true AS agree FROM six, p6"""
+# row by row: of the vertices that stand first by their entries in the rows so far, those whose own row is least; of equal ones the first
+_ROW = "list_concat(list_transform(placed, lambda p: m[v][p]), [0], list_transform(list_sort(list_transform(list_filter(rest, lambda w: w <> v), lambda w: {'s': sig[w], 'x': m[v][w]})), lambda z: z.x))"
+SQL["canonical_nations"] = f"""WITH RECURSIVE {NATIONS},
+st AS (SELECT month, m, []::INTEGER[] AS placed, list_transform(range(1, len(m) + 1), lambda w: []::INTEGER[]) AS sig FROM nq
+UNION ALL SELECT month, m, list_append(placed, v::INTEGER), list_transform(range(1, len(m) + 1), lambda w: list_append(sig[w], m[v][w])) FROM (SELECT *, {_ROW} AS r FROM (
+  SELECT *, list_filter(range(1, len(m) + 1), lambda w: NOT list_contains(placed, w::INTEGER)) AS rest, unnest(range(1, len(m) + 1)) AS v FROM st WHERE len(placed) < len(m))
+  WHERE list_contains(rest, v) AND sig[v] = list_min(list_transform(rest, lambda w: sig[w])) AND len(list_filter(rest, lambda u: u < v AND m[u] = m[v])) = 0) QUALIFY r = min(r) OVER (PARTITION BY month))
+SELECT month, len(any_value(m))::INTEGER AS n, sha256({js(f"min({relabel('m', 'placed')})")}) AS certificate FROM st WHERE len(placed) = len(m) GROUP BY month"""
+
 #: The joined listing.
 VIEW = f", v AS MATERIALIZED (SELECT q.*, {CQ} AS quiver_id, {CM} AS mc_id, is_open, labeled_size, dq, frontier, dynkin_type, ma FROM q JOIN mc ON r = rep LEFT JOIN dyn USING (r) LEFT JOIN ma USING (r))"
 ITEM = "quiver_id, len(c)::INTEGER AS num_vertices, dynkin_type, rt AS representation_type, max_edge, acyc AS is_acyclic, connected AS is_connected, bip AS is_bipartite, is_open, CASE WHEN NOT is_open THEN labeled_size END AS class_size"
@@ -315,9 +337,26 @@ def conditions(select: str) -> str:
     return "WITH RECURSIVE " + GEN + ", " + INV + VIEW + ", " + LA + " " + select
 
 
-SQL["local_acyclicity"] = SQL["local_acyclicity_all"] = conditions(f"SELECT {CM} AS mc_id, is_banff, is_banff AS is_louise, is_p_prime FROM la")
+SQL["local_acyclicity"] = conditions(f"SELECT {CM} AS mc_id, is_banff, is_banff AS is_louise, is_p_prime FROM la")
+SQL["local_acyclicity_all"] = conditions(f"SELECT {CM} AS mc_id, is_banff, is_banff AS is_louise, is_p_prime, nullif(is_banff, false) AS banff_proved, nullif(is_banff, false) AS louise_proved, nullif(is_p_prime, false) AS p_prime_proved FROM la")
 _SAID = "coalesce({0}::VARCHAR, 'unknown')"
-SQL["provenance"] = SQL["provenance_all"] = conditions(f"SELECT {CM} AS mc_id, {_SAID.format('is_banff')} AS banff, {_SAID.format('is_banff')} AS louise, {_SAID.format('is_p_prime')} AS p_prime, CASE WHEN is_open THEN 'Derksen-Owen: a bounded mutation reached |b_ij| >= 3' END AS method FROM la JOIN mc USING (r)")
+SQL["provenance"] = conditions(f"SELECT {CM} AS mc_id, {_SAID.format('is_banff')} AS banff, {_SAID.format('is_banff')} AS louise, {_SAID.format('is_p_prime')} AS p_prime, CASE WHEN is_open THEN 'Derksen-Owen: a bounded mutation reached |b_ij| >= 3' END AS method FROM la JOIN mc USING (r)")
+# how far the first member that meets a condition is: an acyclic one, else one with a source as above; members up to entries of 8
+STEPS = f"""walk AS MATERIALIZED (SELECT r, r AS m, 0 AS d FROM base WHERE base IS DISTINCT FROM false UNION SELECT r, {mutated('m', 'len(m)', 'k')}, d + 1 FROM walk, range(1, 5) t(k) WHERE k <= len(m) AND d < 4 AND {maxabs(mutated('m', 'len(m)', 'k'))} <= 8),
+wa AS (SELECT m, i, j FROM (SELECT DISTINCT m FROM walk), range(1, 5) t(i), range(1, 5) u(j) WHERE i <= len(m) AND j <= len(m) AND m[i][j] > 0),
+wr AS (SELECT * FROM wa UNION SELECT a.m, a.i, b.j FROM wr a JOIN wa b ON a.m = b.m AND a.j = b.i),
+ends AS (SELECT r, min(d) AS steps FROM walk WHERE m NOT IN (SELECT m FROM wr WHERE i = j) GROUP BY r),
+deep AS (SELECT r, m, min(d) AS d FROM walk GROUP BY r, m),
+meets_p AS (SELECT r, min(d) AS steps FROM deep JOIN sourced s ON s.rep = r AND s.c = deep.m GROUP BY r),
+meets_b AS (SELECT r, min(d) AS steps FROM deep JOIN (SELECT DISTINCT s.rep, s.c FROM sourced s JOIN deleted e ON s.c = e.c AND e.ok AND s.c[s.k][e.k] <> 0) s ON s.rep = r AND s.c = deep.m GROUP BY r)"""
+_DOC = lambda c, state, steps: f"""'"is_{c}":{{"state":"' || {_SAID.format(state)} || '","witness":' || CASE WHEN {state} THEN coalesce(e.steps, {steps})::VARCHAR ELSE 'null' END || '}}'"""
+SQL["provenance_all"] = "WITH RECURSIVE " + GEN + ", " + INV + VIEW + ", " + LA + ", " + STEPS + f""" SELECT {qid('la.r', 'MC')} AS mc_id, '{{' || {_DOC('banff', 'is_banff', 'b.steps')} || ',' || {_DOC('louise', 'is_banff', 'b.steps')} || ',' || {_DOC('p_prime', 'is_p_prime', 'p.steps')}
+|| CASE WHEN is_open THEN ',"is_infinite_confirmed":{{"method":"Derksen-Owen: a bounded mutation reached |b_ij| >= 3"}}' ELSE '' END || '}}' AS document FROM la JOIN mc USING (r) LEFT JOIN ends e USING (r) LEFT JOIN meets_p p USING (r) LEFT JOIN meets_b b USING (r)"""
+SQL["la_path"] = f"""WITH RECURSIVE {EV}, go AS MATERIALIZED (SELECT m AS s, m, 0 AS d FROM (SELECT DISTINCT m FROM ev) UNION SELECT s, {mutated('m', '5', 'k')}, d + 1 FROM go, range(1, 6) t(k) WHERE d < {LA_DEPTH} AND {maxabs(mutated('m', '5', 'k'))} <= 8),
+near AS MATERIALIZED (SELECT s, m, min(d) AS d FROM go GROUP BY s, m), ga AS (SELECT m, i, j FROM (SELECT DISTINCT m FROM near), range(1, 6) t(i), range(1, 6) u(j) WHERE m[i][j] > 0), gr AS (SELECT * FROM ga UNION SELECT a.m, a.i, b.j FROM gr a JOIN ga b ON a.m = b.m AND a.j = b.i),
+hit AS (SELECT s, min(d) AS steps FROM near WHERE m NOT IN (SELECT m FROM gr WHERE i = j) GROUP BY s),
+cut AS (SELECT s, bool_or(d = {LA_DEPTH} OR {maxabs(mutated('m', '5', 'k'))} > 8) AS cut FROM near, range(1, 6) t(k) GROUP BY s)
+SELECT user_id, CASE WHEN steps IS NOT NULL THEN 'true' WHEN cut THEN 'unknown' ELSE 'false' END AS state, steps, CASE WHEN steps IS NOT NULL THEN true END AS replayed FROM ev JOIN cut ON cut.s = ev.m LEFT JOIN hit ON hit.s = ev.m"""
 _EXPORT = "quiver_id, len(c)::INTEGER AS num_vertices, {matrix} AS exchange_matrix, rt AS representation_type, max_edge, acyc AS is_acyclic, connected AS is_connected, bip AS is_bipartite, abu AS is_abundant, true AS is_planar, so AS symmetry_order, sn AS symmetry_name, mc_id, dynkin_type, is_open, CASE WHEN NOT is_open THEN labeled_size END AS class_size, labeled_size, dq AS distinct_quiver_count, 1 AS merged_orbit_count, NOT is_open AS is_finite_confirmed, is_open AS is_infinite_confirmed, false AS is_infinite_expected, frontier AS size_of_explored_frontier, ma AS is_mutation_acyclic, la.is_banff, la.is_banff AS is_louise, la.is_p_prime"
 SQL["export_distinct"] = conditions(f"SELECT {_EXPORT.format(matrix=js('c'))} FROM v LEFT JOIN la ON la.r = rep")
 SQL["export_labelings"] = conditions(f"SELECT {_EXPORT.format(matrix=js('coalesce(labeling, c)'))} FROM ({_LABELINGS}) x LEFT JOIN la ON la.r = x.rep")

@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import groups
 from ..functions import invariants as inv
 from ..functions import matrix as mx
 from ..operators import acyclicity as ac
 from ..operators import closure, dynkin, generate
 from ..operators.catalogue import Catalogue
-from ..operators.catalogue import provenance as provenance_json
 from ..operators.components import connected_components
 from ..sources import sinks
-from ..sources.derived import data_quivers, event_quivers, subquivers, trade_quivers
+from ..sources.derived import data_quivers, event_quivers, nation_quivers, subquivers, trade_quivers
 from ..sources.storage import table, written
 
 json_of = F.to_json
 
 
+#: Mutations from each user's quiver that la_path looks at.
+LA_DEPTH = 4
+
+
 def M():  # noqa: N802
     return F.col("matrix")
 
@@ -110,7 +114,6 @@ SCALARS = {
     "rep_tame": _scalar(rep_tame=inv.is_representation_tame),
     "symmetry_order": _scalar(symmetry_order=inv.symmetry_order),
     "symmetry_name": _scalar(symmetry_name=inv.symmetry_name),
-    "symmetry_generators": _scalar(generators=lambda m: json_of(inv.symmetry_generators(m))),
     "quiver_invariants": lambda spark, sf_dir: event_quivers(spark, sf_dir).select("user_id", *[c.alias(n) for n, c in inv.quiver_invariants(M()).items()]),
     "connected_components": _scalar(components=lambda m: json_of(mx.connected_components(m))),
     "sources": _scalar(sources=lambda m: json_of(mx.sources(m))),
@@ -119,6 +122,29 @@ SCALARS = {
 }
 
 
+def symmetry_generators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symmetry groups of all users' and months' quivers, with their greedy generators."""
+    return groups.symmetry_groups(data_quivers(spark, sf_dir), "owner").withColumn("generators", json_of("generators"))
+
+
+def canonical_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical form of each month's quiver of all nations."""
+    return groups.canonical_forms(nation_quivers(spark, sf_dir), "month").select("month", F.size("canonical").alias("n"), F.sha2(json_of("canonical"), 256).alias("certificate"))
+
+
+def canonical_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each month's quivers of six nations in a row: both ways to the canonical form."""
+    rows = nation_quivers(spark, sf_dir).select("month", M(), F.explode(F.sequence(F.lit(0), F.size("matrix") - 6)).alias("first"))
+    six = rows.select(F.concat_ws(" ", "month", "first").alias("key"), mx.relabel(M(), F.sequence("first", F.col("first") + 5)).alias("matrix"))
+    return groups.verified(six, "key").select("key", json_of("canonical").alias("canonical"), "agree")
+
+
+def exact_determinants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Determinants of each month's quiver of all nations but the last and of its form, whatever their size."""
+    rows = nation_quivers(spark, sf_dir).select("month", mx.delete_vertex(M(), F.size("matrix") - 1).alias("matrix"))
+    return rows.select("month", inv.determinant(M()).alias("determinant"), inv.determinant(inv.tits_form(M())).alias("of_form"))
+
+
 def mutate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_quivers(spark, sf_dir).select("user_id", M(), F.explode(mx.vertices(M())).alias("k")).select("user_id", "k", json_of(mx.mutate(M(), F.col("k"))).alias("mutated"))
 
@@ -324,36 +350,39 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _said(rows: DataFrame) -> DataFrame:
-    states = [F.get_json_object("provenance", f"$.is_{c}.state").alias(c) for c in ac.CONDITIONS]
-    return rows.select("mc_id", *states, F.get_json_object("provenance", "$.is_infinite_confirmed.method").alias("method"))
-
-
-def _counted_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = generation(spark, sf_dir)
-    return written(ac.class_conditions(g, **ac.COUNTED)).join(g.classes.select("mc_id", "is_open"), "mc_id")
+    get = lambda path: F.try_variant_get("provenance", path, "string")
+    return rows.select("mc_id", *[get(f"$.is_{c}.state").alias(c) for c in ac.CONDITIONS], get("$.is_infinite_confirmed.method").alias("method"))
 
 
 def local_acyclicity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """States of all classes, with a budget of expanded quivers instead of seconds."""
-    return _counted_conditions(spark, sf_dir).select("mc_id", "is_banff", "is_louise", "is_p_prime")
+    """States of all classes, searched anew, and whether each witness, replayed, proves its state."""
+    g = generation(spark, sf_dir)
+    found = written(ac.class_conditions(g, **ac.COUNTED))
+    rows = generate.decoded(g.classes, g.bound, g.max_vertices).select("mc_id", "matrix").join(found, "mc_id")
+    told = rows.select(F.col("mc_id").alias("key"), "matrix", F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(f"{c}_witness").alias("witness")) for c in ac.CONDITIONS])).alias("w"))
+    valid = ac.certified(told.where("w.witness is not null").select("key", "w.kind", "matrix", "w.witness"))
+    by_class = valid.groupBy("key").agg(*[F.max(F.when(F.col("kind") == c, F.col("valid"))).alias(f"{c}_proved") for c in ac.CONDITIONS])
+    states = found.select("mc_id", *[f"is_{c}" for c in ac.CONDITIONS])
+    return states.join(by_class.withColumnRenamed("key", "mc_id"), "mc_id", "left")
 
 
 def provenance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _counted_conditions(spark, sf_dir)
-    said = rows.select("mc_id", provenance_json(rows).alias("provenance"))
-    return _said(said)
+    """The whole stored documents, but for the vertices of witnesses: in their place stand the numbers of their mutations."""
+    text = F.to_json("provenance")
+    for c in ac.CONDITIONS:
+        steps = F.size(F.from_json(F.get_json_object(F.to_json("provenance"), f"$.is_{c}.witness.mutations"), "array<int>"))
+        plain = F.to_json(F.struct(F.try_variant_get("provenance", f"$.is_{c}.state", "string").alias("state"), F.when(steps >= 0, steps).alias("witness")), {"ignoreNullFields": "false"})
+        own = F.concat(F.lit(f'"is_{c}":'), plain)
+        text = own if c == ac.CONDITIONS[0] else F.concat(text, F.lit(","), own)
+    why = F.get_json_object(F.to_json("provenance"), "$.is_infinite_confirmed.method")
+    tail = F.when(why.isNotNull(), F.concat(F.lit(',"is_infinite_confirmed":'), F.to_json(F.struct(why.alias("method"))))).otherwise("")
+    return catalogue(spark, sf_dir).classes.select("mc_id", F.concat(F.lit("{"), text, tail, F.lit("}")).alias("document"))
 
 
 def la_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mutations that lead each user's quiver to an acyclic one, with a budget of expanded quivers instead of seconds."""
-    rows = event_quivers(spark, sf_dir)
-
-    def searched(batches):
-        for b in batches:
-            found = [ac.mutation_path([list(r) for r in m], timeout=None, max_depth=6, cap=8, max_nodes=2000) for m in b["matrix"]]
-            yield b.assign(path=[None if p is None else ",".join(map(str, p)) for p in found])[["user_id", "path"]]
-
-    return rows.mapInPandas(searched, "user_id long, path string")
+    """Whether each user's quiver leads to an acyclic one in LA_DEPTH mutations with entries up to 8, by how many, and whether they do when replayed."""
+    found = ac.mutation_paths(event_quivers(spark, sf_dir), "user_id", timeout=None, max_depth=LA_DEPTH, cap=8)
+    return found.select("user_id", "state", F.when(F.size("path") >= 0, F.size("path")).alias("steps"), F.when(F.col("path").isNotNull(), mx.is_acyclic(ac.replayed(M(), F.col("path")))).alias("replayed"))
 
 
 def _items(of):
@@ -463,7 +492,7 @@ def download_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    **SCALARS, "mutate": mutate, "delete_vertex": delete_vertex, "are_isomorphic": are_isomorphic, "trade_quiver_ids": trade_quiver_ids, "join_events_catalogue": join_events_catalogue,
+    **SCALARS, "symmetry_generators": symmetry_generators, "canonical_nations": canonical_nations, "canonical_verify": canonical_verify, "exact_determinants": exact_determinants, "mutate": mutate, "delete_vertex": delete_vertex, "are_isomorphic": are_isomorphic, "trade_quiver_ids": trade_quiver_ids, "join_events_catalogue": join_events_catalogue,
     "seed_enumeration": seed_enumeration, "dynkin_seeds": dynkin_seeds, "bfs_orbit": bfs_orbit, "explore_a3": _explored("A3"), "explore_d4": _explored("D4"), "explore_open3": _explored("open3"),
     "canonical_class_rep": canonical_class_rep, "orbit_overlap": orbit_overlap, "merge_orbits": merge_orbits, "gluing_counters": gluing_counters, "generated_gluing": generated_gluing,
     "run_generation_n3": run_generation(3), "run_generation_n4": run_generation(4), "mutation_components": mutation_components, "nation_components": nation_components, "trade_components": trade_components, "membership": membership,

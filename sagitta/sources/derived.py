@@ -55,6 +55,21 @@ def trade_quivers(spark: SparkSession, sf_dir: str, bound: int = 2) -> DataFrame
     return _matrices(flows.groupBy("month", "i", "j").agg(F.count(F.lit(1)).alias("n")), "month", len(REGIONS), bound)
 
 
+def nation_quivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``month, matrix``: each month's net order lines from suppliers' to customers' nations, as they are: all nations in order of their keys."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("j"))
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("i"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    flows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    counts = flows.groupBy("month", "i", "j").agg(F.count(F.lit(1)).alias("n")).groupBy("month").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("i", "j"), "n"))).alias("n"))
+    # nations are a small table; of a month there is one entry for two of them at most
+    keys = table(spark, sf_dir, "nation").agg(F.array_sort(F.collect_list("n_nationkey")).alias("keys"))
+    of = lambda i, j: F.coalesce(F.element_at("n", F.struct(i.alias("i"), j.alias("j"))), F.lit(0).cast("long"))
+    net = F.transform("keys", lambda i: F.transform("keys", lambda j: (of(i, j) - of(j, i)).cast("int")))
+    return counts.crossJoin(F.broadcast(keys)).select("month", net.alias("matrix"))  # one row
+
+
 def data_quivers(spark: SparkSession, sf_dir: str, bound: int = 2) -> DataFrame:
     """``owner, matrix``: the quivers of all users and of all months."""
     users = event_quivers(spark, sf_dir, bound=bound).select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("owner"), "matrix")

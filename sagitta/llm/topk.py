@@ -1,11 +1,12 @@
 """Exact top-k inner products by three phases with a uniform threshold.
 
 A vector's components form SLICES lists of partial scores. Phase 1 makes the first list only: every partition gathers the
-full scores of its head, and each query's k-th best of all heads is a safe cutoff. Phase 2: the cutoff is broadcast, and
-lists are made again; an entry that reaches the cutoff has the uniform threshold cutoff / SLICES in one list at least, and
-candidates whose first half falls so far short that the other can't make up for it get no further lists. Phase 3: the
-remaining scores of the collected are added up exactly, and each partition's k best go to the final ranking. Queries come in blocks of BLOCK, one after the other, so what is broadcast has a fixed
-bound; no pair of a query and a candidate is ever shuffled.
+full scores of its head, and each query's k-th best of all heads is a safe cutoff. Phase 2: the cutoff is broadcast and lists are made
+again; entries that have the uniform threshold cutoff / SLICES in one list at least are collected, since an entry that reaches the
+cutoff has. Candidates whose first half falls so far short for every query of a tile that the other half can't make up for it, by
+Cauchy and Schwarz, get no further lists. Phase 3: of the collected entries, and of no others, the scores of all lists are added
+up exactly, and each partition's k best go to the final ranking. Queries come in blocks of BLOCK, one after the other, so what is
+broadcast has a fixed bound; no pair of a query and a candidate is ever shuffled.
 """
 
 from __future__ import annotations
@@ -105,29 +106,31 @@ def head(q: np.ndarray, c: np.ndarray, other: np.ndarray, k: int) -> tuple[np.nd
     return i, j, _pairs(q[i], c[j])
 
 
-def reaching(q: np.ndarray, c: np.ndarray, other: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Phases 2 and 3: places and scores of all entries that reach their query's cutoff, and how many list entries were made.
+def reaching(q: np.ndarray, c: np.ndarray, other: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """Phases 2 and 3: places and scores of all entries that reach their query's cutoff; then how many list entries were made, and how many
+    entries collected.
 
-    An entry that reaches it has a list with the uniform threshold cutoff / SLICES or more. Where the first half of the lists
-    falls short of its share, the rest must make up for that; by Cauchy and Schwarz it can't add more than the product of
-    the two rests' lengths, and candidates for which that is too little for every query of the tile get no further lists."""
-    cuts, half = _cuts(q.shape[1]), SLICES // 2 - 1
+    Where all lists of an entry are below cutoff / SLICES, their sum is below the cutoff, so it is not collected and never added up."""
+    cuts = _cuts(q.shape[1])
     most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
     if most >= 2**53:
-        cuts, half = [(0, q.shape[1])], -1  # partial sums might pass what a long holds
-    at, cut, score, made = np.arange(len(c)), cut[:, None], 0, 0
+        cuts = [(0, q.shape[1])]  # partial sums might pass what a long holds
+    threshold = -(-cut // len(cuts))[:, None]
+    at, lists, collected, made = np.arange(len(c)), [], np.zeros(other.shape, bool), 0
     for n, (a, z) in enumerate(cuts):
         part = q[:, a:z] @ c[at, a:z].T if most < 2**53 else products(q, c)
-        score, made = score + part, made + part.size
-        if n == half:
+        collected |= part >= threshold
+        lists.append(part)
+        made += part.size
+        if n == len(cuts) // 2 - 1:
             rest = np.sqrt((q[:, z:] ** 2).sum(1))[:, None] * (np.sqrt((c[:, z:] ** 2).sum(1)) * (1 + 1e-9))[None] + 1
-            left = (score + rest >= cut).any(0)
+            left = (sum(lists) + rest >= cut[:, None]).any(0)
             if not left.all():
-                at, score = at[left], score[:, left]
-    i, j = np.nonzero(score >= cut)
-    scores, j = score[i, j].astype(np.int64), at[j]
-    own = other[i, j]
-    return i[own], j[own], scores[own], made
+                at, lists, collected = at[left], [x[:, left] for x in lists], collected[:, left]
+    i, j = np.nonzero(collected & other[:, at])
+    score = sum(x[i, j] for x in lists).astype(np.int64)
+    reach = score >= cut[i]
+    return i[reach], at[j[reach]], score[reach], made, len(i)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -168,7 +171,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
         def collected(batches):
             best = Best(k)
             for numbers, own, q, ids, c in _tiles(batches, scale, sent.value):
-                i, j, scores, _ = reaching(q, c, own[:, None] != ids[None], safe.value[numbers])
+                i, j, scores, _, _ = reaching(q, c, own[:, None] != ids[None], safe.value[numbers])
                 best.add(numbers[i], ids[j], scores)
             yield best.batch()
 

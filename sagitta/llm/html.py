@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -141,6 +141,48 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     return out
 
 
+#: Rows of the alignment between two that are kept; those between are made again on the way back.
+ROWS_KEPT = 256
+
+
+def _aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """A longest common subsequence, with a row of the table as the bits of one number: a 0 where the length grows.
+
+    Time is len(a) additions of len(b) bits; memory as many bits for each ROWS_KEPT-th row and for ROWS_KEPT rows, so
+    neither knows how often a line is repeated."""
+    masks: dict[int, int] = {}
+    for j, y in enumerate(b):
+        masks[y] = masks.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+
+    def after(row: int, x: int) -> int:
+        both = row & masks.get(x, 0)
+        return (row + both | row - both) & full
+
+    kept, row = [full], full
+    for i, x in enumerate(a, 1):
+        row = after(row, x)
+        if i % ROWS_KEPT == 0:
+            kept.append(row)
+    length = lambda row, j: j - (row & (1 << j) - 1).bit_count()
+    out, j = [], len(b)
+    for block in range(len(a) // ROWS_KEPT, -1, -1):
+        rows = [kept[block]]
+        for x in a[block * ROWS_KEPT : (block + 1) * ROWS_KEPT]:
+            rows.append(after(rows[-1], x))
+        for k in range(len(rows) - 1, 0, -1):
+            i = block * ROWS_KEPT + k - 1
+            have = length(rows[k], j)
+            if not have:
+                return out[::-1]
+            if length(rows[k - 1], j) == have:
+                continue
+            # line i is matched, with the last place at which the length still grows
+            j = (~rows[k] & (1 << j) - 1).bit_length() - 1
+            out.append((i, j))
+    return out[::-1]
+
+
 def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """A longest common subsequence of two lists, as pairs of places. Common ends are taken first."""
     lo = 0
@@ -149,31 +191,12 @@ def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     hi = 0
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
-    out = [(i, i) for i in range(lo)]
     # only lines that both have can be matched
-    both = {*a[lo : len(a) - hi]} & {*b[lo : len(b) - hi]}
+    both = {x: n for n, x in enumerate({*a[lo : len(a) - hi]} & {*b[lo : len(b) - hi]})}
     x = [i for i in range(lo, len(a) - hi) if a[i] in both]
     y = [j for j in range(lo, len(b) - hi) if b[j] in both]
-    places: dict[str, list[int]] = {}
-    for k in range(len(y) - 1, -1, -1):
-        places.setdefault(b[y[k]], []).append(k)
-    # longest increasing chain of matches (Hunt and Szymanski): memory and time by matches
-    ends: list[int] = []
-    links: list[tuple] = []
-    for i in x:
-        for k in places[a[i]]:
-            p = bisect_left(ends, k)
-            link = (i, y[k], links[p - 1] if p else None)
-            if p == len(ends):
-                ends.append(k)
-                links.append(link)
-            else:
-                ends[p], links[p] = k, link
-    chain, link = [], links[-1] if links else None
-    while link:
-        chain.append((link[0], link[1]))
-        link = link[2]
-    return out + chain[::-1] + [(len(a) - 1 - k, len(b) - 1 - k) for k in range(hi - 1, -1, -1)]
+    inner = _aligned([both[a[i]] for i in x], [both[b[j]] for j in y])
+    return [(i, i) for i in range(lo)] + [(x[i], y[j]) for i, j in inner] + [(len(a) - 1 - k, len(b) - 1 - k) for k in range(hi - 1, -1, -1)]
 
 
 #: Two pages that share this part of the characters of one's plain lines have the same article: being shared tells nothing.

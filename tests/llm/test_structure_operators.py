@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -142,20 +143,46 @@ def test_sharding_of_equal_rows(spark):
         assert all(sorted(r["slot"] for r in out if r["shard"] == n) == [*range(m)] for n, m in shards.items())
 
 
-def test_top_k_makes_fewer_entries():
-    """Candidates that can't reach the cutoff any more get no further lists, and all that reach it are found."""
+@pytest.mark.parametrize("clustered", [True, False])
+def test_uniform_threshold(clustered):
+    """Entries without a list at the threshold are never added up, all that reach the cutoff are found, and on clustered vectors
+    candidates that can't reach it any more get no further lists."""
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 32)) * 100
-    c = np.floor(centres[rng.integers(0, 20, 900)] + rng.normal(size=(900, 32)) * 5)
+    c = np.floor(centres[rng.integers(0, 20, 900)] + rng.normal(size=(900, 32)) * 5) if clustered else np.floor(rng.normal(size=(900, 32)) * 100)
     q, other = c[:10], np.ones((10, 900), bool)
+    other[:, 5] = False
     full = (q @ c.T).astype(np.int64)
-    cut = np.sort(full, axis=1)[:, -5]
-    i, j, scores, made = topk.reaching(q, c, other, cut)
-    want = {(a, b) for a, b in zip(*np.nonzero(full >= cut[:, None]))}
-    assert {*zip(i.tolist(), j.tolist())} == want and (scores == full[i, j]).all()
-    assert made < 0.9 * full.size * topk.SLICES
+    for cut in (np.sort(full, axis=1)[:, -5], np.sort(full, axis=1)[:, 40], np.full(10, topk.LOWEST)):
+        i, j, scores, made, collected = topk.reaching(q, c, other, cut)
+        want = {(a, b) for a, b in zip(*np.nonzero((full >= cut[:, None]) & other))}
+        assert {*zip(i.tolist(), j.tolist())} == want and (scores == full[i, j]).all()
+        lists = np.stack([q[:, a:z] @ c[:, a:z].T for a, z in topk._cuts(32)])
+        at_threshold = ((lists * topk.SLICES >= cut[:, None]).any(0) & other).sum()
+        assert len(want) <= collected <= at_threshold
+        if cut[0] > 0:
+            assert collected < 0.5 * full.size and (not clustered or made < 0.9 * full.size * topk.SLICES)
     i, j, scores = topk.head(q, c, other, 5)
     assert (scores == full[i, j]).all() and len(i) == 50
+    # one list where products don't fit
+    big = c[:50] * 2.0**24
+    i, j, scores, _, _ = topk.reaching(big[:3], big, other[:3, :50], np.zeros(3, np.int64))
+    assert (scores >= 0).all() and {*zip(i.tolist(), j.tolist())} == {(a, b) for a, b in zip(*np.nonzero((full[:3, :50] >= 0) & other[:3, :50]))}
+
+
+def test_alignment_of_many_equal_lines():
+    """Twenty thousand equal lines on two pages: by bits, not by pairs."""
+    n = 20_000
+    a, b = ["y", *["x"] * n, "q"], ["z", *["x"] * n, "y"]
+    began = time.time()
+    tracemalloc.start()
+    found = html.common_lines(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == n and most < 50 << 20 and time.time() - began < 5
+    page = "<body>" + "<table>" + "<tr><td>x</td></tr>" * 6_000 + "</table><p>own {}</p></body>"
+    pages = [html.blocks(page.format(k)) for k in (1, 2)]
+    assert html.main_text(pages[0], [pages[1]])[1] >= 0
 
 
 def test_warc(spark, tmp_path):

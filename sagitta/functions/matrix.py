@@ -88,7 +88,7 @@ def canonical_form(m: Column) -> Column:
     """The smallest of all relabelings, row by row; beyond MAX_RELABELED vertices one is held at a time."""
     smallest = F.aggregate(all_permutations(m), m, lambda best, p: F.least(best, relabel(m, p)))
     few = by_size(m, lambda n: F.array_min(F.transform(_literal(permutation_list(n), "array<array<int>>"), lambda p: relabel(m, p))))
-    return F.when(F.size(m) > MAX_RELABELED, smallest).otherwise(few)
+    return F.when(F.size(m) == 0, m).when(F.size(m) > MAX_RELABELED, smallest).otherwise(few)
 
 
 def canonical_permutation(m: Column) -> Column:

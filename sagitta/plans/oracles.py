@@ -312,7 +312,7 @@ SQL |= {
  (SELECT to_json(list(quiver_id ORDER BY c <> rep, -lc, quiver_id))::VARCHAR FROM v WHERE v.rep = mc.r) AS distinct_ids FROM mc LEFT JOIN dyn USING (r) WHERE {CM} = 'MC.n3.b381eb01e067a126'"""),
     "totals": view("SELECT count(*) AS total, count(*) AS distinct_total, coalesce(sum(lc), 0)::BIGINT AS labeled_total FROM v WHERE len(c) = 4 AND connected"),
     "export_cell_format": view("SELECT quiver_id, coalesce(rt, '') AS representation_type, max_edge::VARCHAR AS max_edge, upper(acyc::VARCHAR) AS is_acyclic, '' AS class_size, 'TRUE' AS is_planar FROM v WHERE is_open"),
-    "upsert_merge": view("SELECT quiver_id AS quiver_id, len(c)::INTEGER AS n_vertices, CASE WHEN len(c) = 2 THEN -1 ELSE lc END AS labeling_count FROM v WHERE len(c) <= 3"),
+    "upsert_merge": view("SELECT quiver_id AS quiver_id, len(c)::INTEGER AS n_vertices, CASE WHEN len(c) = 2 THEN -2 ELSE lc END AS labeling_count FROM v"),
     "backfill_labeling_count": view("SELECT quiver_id AS quiver_id, CASE WHEN mc_id < 'MC.n4.8' THEN lc ELSE 1 END AS labeling_count FROM v"),
     "backfill_mutation_acyclic": gen(f"SELECT {CM} AS mc_id, base AS was, ma AS now FROM base JOIN ma USING (r) WHERE base IS DISTINCT FROM ma", True),
     "join_events_catalogue": view(f"""SELECT user_id, k, {qid('e.c')} AS quiver_id, mc_id, rt AS representation_type, is_open, dynkin_type

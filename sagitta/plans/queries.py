@@ -438,9 +438,10 @@ def export_cell_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quivers of rank three and less, upserted by those of rank two with another count."""
-    own = catalogue(spark, sf_dir).quivers.where("n_vertices <= 3").select("quiver_id", "n_vertices", "labeling_count")
-    return sinks.upsert(own, own.where("n_vertices = 2").withColumn("labeling_count", F.lit(-1)), "quiver_id")
+    """The quivers, upserted by those of rank two with other counts, each twice: the later one stays."""
+    own = catalogue(spark, sf_dir).quivers.select("quiver_id", "n_vertices", "labeling_count")
+    new = own.where("n_vertices = 2").withColumn("at", F.explode(F.array(*map(F.lit, (2, 1))))).withColumn("labeling_count", -F.col("at"))
+    return sinks.upsert(own, new, "quiver_id", latest=F.col("at"))
 
 
 def backfill_labeling_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,9 +15,20 @@ SHEET = "quivers"
 LOG_SCHEMA = "created_at timestamp, fmt string, row_count long, filters string, email string, name string, ip string, user_agent string, referer string"
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of ``new``, and those of ``old`` that it has no key of. Nothing is deleted."""
-    return old.join(new.select(key), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+def upsert(old: DataFrame, new: DataFrame, key: str, latest: Column | None = None, unique: bool = True) -> DataFrame:
+    """Rows of ``new``, and those of ``old`` that it has no key of. Nothing else is deleted.
+
+    Of ``new`` rows with one key the one with the greatest ``latest`` stays, else the greatest by its columns as text; with ``unique`` off all do,
+    each once. A null key is no key: such rows stay as they are."""
+    columns = old.columns
+    named = new.select(*columns, (latest if latest is not None else F.lit(0)).alias("_latest"))
+    if unique:
+        text = F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns if dict(new.dtypes)[c] != "variant"])
+        kept = named.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("_latest", text)).alias("row")).select("row.*")
+        named = kept.unionByName(named.where(F.col(key).isNull()).select(*columns))
+    else:
+        named = named.select(*columns).distinct()
+    return old.join(new.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti").select(*columns).unionByName(named.select(*columns))
 
 
 def cell(c: Column, kind: str) -> Column:

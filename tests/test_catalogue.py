@@ -54,6 +54,15 @@ def test_labelings_and_totals(small):
     assert small.totals(rank=9).collect()[0][:] == (0, 0, 0)
 
 
+@pytest.mark.parametrize(("sort", "direction"), [("num_vertices", "asc"), ("class_size", "asc"), ("class_size", "desc"), ("max_edge", "desc"), ("quiver_id", "asc")])
+def test_pages_of_labelings(small, sort, direction):
+    place = lambda rows: [(r["quiver_id"], r["exchange_matrix"]) for r in rows.collect()]
+    whole = place(small.list_quivers(scope="labelings", sort=sort, direction=direction, limit=None))
+    assert len(whole) == 5
+    for offset, limit in ((0, 2), (1, 1), (2, 9), (5, 3), (0, 0)):
+        assert place(small.list_quivers(scope="labelings", sort=sort, direction=direction, offset=offset, limit=limit)) == whole[offset : offset + limit]
+
+
 def test_details(small):
     assert small.quiver("Q.zzz").count() == 0 and small.class_("M.zzz").count() == 0
     assert small.quiver("Q.c").collect()[0]["tags"] == []

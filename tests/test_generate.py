@@ -61,7 +61,7 @@ def test_mutation_acyclicity(spark):
 def test_search():
     assert ac.status(SEEDS["D4"], "louise") == ("true", {"mutations": [], "condition": "acyclic"})
     cycle = [[0, 1, -1], [-1, 0, 1], [1, -1, 0]]
-    assert ac.mutation_path(cycle) == [0]
+    assert ac.mutation_path(cycle) == ("true", [0]) and ac.mutation_path(SEEDS["markov"]) == ("false", None) and ac.mutation_path(SEEDS["open3"], max_depth=0) == ("true", [])
     assert ac.status(cycle, "banff")[0] == "true"
     assert ac.status(SEEDS["markov"], "p_prime") == ("false", None)
     assert ac.status([[0, 3, -3], [-3, 0, 3], [3, -3, 0]], "banff", max_depth=2, cap=8, timeout=None)[0] == "unknown"

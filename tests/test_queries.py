@@ -53,8 +53,8 @@ def test_the_library_does_not_import_the_training_data_operators():
 
 
 def test_local_acyclicity_of_all_classes(spark):
-    from sagitta.operators.catalogue import generation
     from sagitta.operators.generate import decoded
+    from sagitta.plans.queries import generation
 
     def mutate(q, k):
         return tuple(tuple(-b if k in (i, j) else b + (abs(q[i][k]) * q[k][j] + q[i][k] * abs(q[k][j])) // 2 for j, b in enumerate(r)) for i, r in enumerate(q))
@@ -90,7 +90,7 @@ def test_local_acyclicity_of_all_classes(spark):
             known[q] = True if good else None if cut else False
         return known[q]
 
-    g = generation(spark)
+    g = generation(spark, DATA)
     classes = decoded(g.classes, g.bound, g.max_vertices).select("mc_id", "n", "matrix", "is_open").collect()
     assert {r["n"] for r in classes} == {1, 2, 3, 4}
     kept = {(kind, depth): {} for kind in ("banff", "louise", "p_prime") for depth in (8, 64)}
@@ -101,6 +101,24 @@ def test_local_acyclicity_of_all_classes(spark):
         want[r["mc_id"]] = tuple(state(q, kind, depth, kept[kind, depth]) for kind in ("banff", "louise", "p_prime"))
     rows = QUERIES["local_acyclicity_all"](spark, DATA).collect()
     assert len(rows) == len(classes) and {r["mc_id"]: (r["is_banff"], r["is_louise"], r["is_p_prime"]) for r in rows} == want
+    proved = [r[f"{c}_proved"] for r in rows for c in ("banff", "louise", "p_prime") if r[f"is_{c}"]]
+    assert proved and all(proved)
     said = {True: "true", False: "false", None: "unknown"}
-    rows = QUERIES["provenance_all"](spark, DATA).collect()
+    rows = QUERIES["provenance"](spark, DATA).collect()
     assert len(rows) == len(classes) and {r["mc_id"]: (r["banff"], r["louise"], r["p_prime"], r["method"] is not None) for r in rows} == {r["mc_id"]: (*(said[x] for x in want[r["mc_id"]]), r["is_open"]) for r in classes}
+
+
+def test_false_witnesses_prove_nothing(spark):
+    from sagitta.operators.acyclicity import certified
+
+    star, cycle = [[0, 1, 1], [-1, 0, 0], [-1, 0, 0]], [[0, 1, -1], [-1, 0, 1], [1, -1, 0]]
+    acyclic, moved = '{"mutations":[],"condition":"acyclic"}', '{"mutations":[0],"condition":"acyclic"}'
+    source = lambda k, j, *w: '{"mutations":[],"condition":{"source":%d,"neighbor":%d,"witness_k":%s,"witness_j":%s%s}}' % (k, j, *w, "")
+    cases = [
+        ("a", "banff", star, acyclic, True), ("b", "banff", cycle, acyclic, False), ("c", "louise", cycle, moved, True), ("d", "banff", star, source(0, 1, acyclic, acyclic), True),
+        ("e", "banff", star, source(1, 0, acyclic, acyclic), False), ("f", "banff", star, source(1, 2, acyclic, acyclic), False), ("g", "banff", star, source(0, 1, acyclic, "null"), False), ("h", "p_prime", star, None, False), ("i", "p_prime", star, "{}", False),
+        ("j", "louise", star, source(0, 1, acyclic, acyclic), False), ("k", "p_prime", star, '{"mutations":[],"condition":{"source":0,"witness_k":' + acyclic + "}}", True),
+    ]
+    rows = spark.createDataFrame([c[:4] for c in cases], "key string, kind string, matrix array<array<int>>, witness string")
+    found = {r["key"]: r["valid"] for r in certified(rows).collect()}
+    assert found == {c[0]: c[4] for c in cases}

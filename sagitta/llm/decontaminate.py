@@ -159,7 +159,7 @@ def find_hits(docs: DataFrame, items: DataFrame, ngram: int = 10, id_col: str =
     if more is None:
         found = scan(rows, send(block))
     else:
-        hits = None
+        rows, hits = written(rows), None  # numbered once, whatever they come from
         while block is not None:
             sent = send(block)
             part = written(scan(rows.withColumn("_keep", F.lit(None).cast(kept)), sent).where(F.size("spans") > 0).select("row", "items", "spans"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from ..operators.catalogue import EXPORT_COLUMNS
 from .queries import FILTERS, FIRST_FOUR, LA_DEPTH, SEEDS
 
 TYPES = ("view", "click", "signup", "purchase", "error")
@@ -360,6 +361,8 @@ SELECT user_id, CASE WHEN steps IS NOT NULL THEN 'true' WHEN cut THEN 'unknown'
 _EXPORT = "quiver_id, len(c)::INTEGER AS num_vertices, {matrix} AS exchange_matrix, rt AS representation_type, max_edge, acyc AS is_acyclic, connected AS is_connected, bip AS is_bipartite, abu AS is_abundant, true AS is_planar, so AS symmetry_order, sn AS symmetry_name, mc_id, dynkin_type, is_open, CASE WHEN NOT is_open THEN labeled_size END AS class_size, labeled_size, dq AS distinct_quiver_count, 1 AS merged_orbit_count, NOT is_open AS is_finite_confirmed, is_open AS is_infinite_confirmed, false AS is_infinite_expected, frontier AS size_of_explored_frontier, ma AS is_mutation_acyclic, la.is_banff, la.is_banff AS is_louise, la.is_p_prime"
 SQL["export_distinct"] = conditions(f"SELECT {_EXPORT.format(matrix=js('c'))} FROM v LEFT JOIN la ON la.r = rep")
 SQL["export_labelings"] = conditions(f"SELECT {_EXPORT.format(matrix=js('coalesce(labeling, c)'))} FROM ({_LABELINGS}) x LEFT JOIN la ON la.r = x.rep")
+_LINE = ", ".join(f"""coalesce({f'upper({c}::VARCHAR)' if c.startswith('is_') else f"CASE WHEN {c} LIKE '%,%' THEN '\"' || {c} || '\"' ELSE {c} END" if c == 'exchange_matrix' else f'{c}::VARCHAR'}, '')""" for c in EXPORT_COLUMNS)
+SQL["export_csv"] = f"SELECT concat_ws(',', {_LINE}) AS line FROM ({SQL['export_distinct']})"
 SQL["download_log"] = """SELECT CASE WHEN event_id % 2 = 0 THEN 'csv' ELSE 'xlsx' END AS fmt, event_id % 100 AS row_count, CASE WHEN user_id % 3 > 0 THEN '{"rank":"' || (user_id % 3) || '","scope":"distinct"}' ELSE '{"scope":"distinct"}' END AS filters,
 CASE WHEN user_id % 2 = 1 THEN user_id || '@example.org' END AS email, NULL::VARCHAR AS name, CASE WHEN event_id % 5 > 0 THEN '10.0.0.' || (event_id % 5) ELSE '127.0.0.1' END AS ip, NULL::VARCHAR AS user_agent, event_id::VARCHAR AS referer FROM events"""
 SQL["client_ip"] = "SELECT event_id, CASE WHEN event_id % 5 > 0 THEN '10.0.0.' || (event_id % 5) ELSE '127.0.0.1' END AS ip FROM events"

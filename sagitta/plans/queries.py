@@ -433,6 +433,11 @@ def export(scope: str):
     return query
 
 
+def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the exported file."""
+    return sinks.csv_lines(catalogue(spark, sf_dir).export())
+
+
 def export_cell_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.cells(catalogue(spark, sf_dir).export(is_open=True).select("quiver_id", "representation_type", "max_edge", "is_acyclic", "class_size", "is_planar"))
 
@@ -505,7 +510,7 @@ QUERIES = {
     "list_sorted": _items(lambda c: c.list_quivers(sort="class_size", direction="desc", limit=None)), "list_page": _items(lambda c: c.list_quivers(sort="max_edge", direction="desc", offset=20, limit=30)),
     "labelings_scope": _items(lambda c: c.list_quivers(scope="labelings", limit=None)), "labelings_page": _items(lambda c: c.list_quivers(scope="labelings", sort="quiver_id", offset=100, limit=50)),
     "search": _items(lambda c: c.search(is_simply_laced=True, is_connected=True)), **{name: _ids(**f) for name, f in FILTERS.items()},
-    "quiver_detail": quiver_detail, "class_detail": class_detail, "totals": totals, "export_distinct": export("distinct"), "export_labelings": export("labelings"), "export_cell_format": export_cell_format,
+    "quiver_detail": quiver_detail, "class_detail": class_detail, "totals": totals, "export_distinct": export("distinct"), "export_labelings": export("labelings"), "export_csv": export_csv, "export_cell_format": export_cell_format,
     "upsert_merge": upsert_merge, "backfill_labeling_count": backfill_labeling_count, "backfill_mutation_acyclic": backfill_mutation_acyclic, "download_log": download_log,
     "client_ip": client_ip, "logged_filters": logged_filters,
 }

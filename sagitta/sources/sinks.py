@@ -9,9 +9,12 @@ from html import escape
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import work_dir
+
 #: Fixed values of the formats: byte order mark and line end of CSV, file names, the workbook's sheet.
 BOM, LINE_END = b"\xef\xbb\xbf", "\r\n"
 SHEET = "quivers"
+FORMATS, SCOPES = ("csv", "xlsx"), ("distinct", "labelings")
 LOG_SCHEMA = "created_at timestamp, fmt string, row_count long, filters string, email string, name string, ip string, user_agent string, referer string"
 
 
@@ -46,18 +49,39 @@ def write_csv(rows: DataFrame, path: str) -> None:
     cells(rows).write.option("header", True).option("lineSep", LINE_END).option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def _quoted(value: str) -> str:
-    return f'"{value.replace(chr(34), chr(34) * 2)}"' if any(c in value for c in ',"\r\n') else value
+def csv_lines(rows: DataFrame) -> DataFrame:
+    """``line``: each row as a line of CSV, cells in quotes where they need them."""
+    doubled = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    quoted = [F.when(F.col(f"`{c}`").rlike('[,"\r\n]'), doubled(F.col(f"`{c}`"))).otherwise(F.col(f"`{c}`")) for c in rows.columns]
+    return cells(rows).select(F.concat_ws(",", *quoted).alias("line"))
 
 
 def write_csv_file(rows: DataFrame, path: str) -> int:
-    """One CSV file with a byte order mark, streamed partition by partition through the driver; returns its rows."""
-    n = 0
-    with open(path, "wb") as out:
-        out.write(BOM + (",".join(map(_quoted, rows.columns)) + LINE_END).encode())
-        for n, row in enumerate(cells(rows).toLocalIterator(), 1):
-            out.write((",".join(map(_quoted, row)) + LINE_END).encode())
-    return n
+    """One CSV file with header and byte order mark; returns its bytes.
+
+    All executors write lines, in the order of ``rows``, and the parts are put behind the header by the file system: copied as
+    streams, each to where the lengths of those before it say. No row passes through Python on the driver."""
+    spark = rows.sparkSession
+    parts = work_dir(spark)
+    csv_lines(rows).write.option("lineSep", LINE_END).text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, folder = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(parts)
+    files = target.getFileSystem(conf)
+    found = folder.getFileSystem(conf).listStatus(folder)
+    sources = sorted((x.getPath().getName(), x.getLen(), x.getPath()) for x in found if x.getPath().getName().startswith("part-") and x.getLen())
+    head = csv_lines(spark.createDataFrame([tuple(rows.columns)], ", ".join(f"`{c}` string" for c in rows.columns))).collect()[0][0]
+    out = files.create(target, True)
+    out.write(bytearray(BOM + (head + LINE_END).encode()))
+    begins = out.getPos()
+    for _, size, source in sources:
+        data = source.getFileSystem(conf).open(source)
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(data, out, conf, False)
+        data.close()
+        begins += size
+        if out.getPos() != begins:
+            raise OSError(f"{source} has not been copied whole")
+    out.close()
+    return begins
 
 
 def _column(i: int) -> str:
@@ -108,6 +132,16 @@ def file_name(scope: str, fmt: str, now: datetime | None = None, prefix: str = "
     return f"{prefix}-{'labelings' if scope == 'labelings' else 'quivers'}-{(now or datetime.now(UTC)).strftime('%Y%m%d-%H%M%S')}.{fmt}"
 
 
+def checked(scope: str, fmt: str) -> tuple[str, str]:
+    """Scope and format of a download in lower case; ValueError for others than there are."""
+    scope, fmt = scope.lower(), fmt.lower()
+    if fmt not in FORMATS:
+        raise ValueError(f"format is one of {FORMATS}")
+    if scope not in SCOPES:
+        raise ValueError(f"scope is one of {SCOPES}")
+    return scope, fmt
+
+
 def client_ip(forwarded: Column, peer: Column) -> Column:
     """The first forwarded address, else the peer's; an empty header is none."""
     return F.when(F.length(forwarded) > 0, F.trim(F.split(forwarded, ",")[0])).otherwise(peer)

@@ -1,3 +1,6 @@
+import csv
+import io
+import re
 import zipfile
 
 import pytest
@@ -75,7 +78,12 @@ def test_export(small, tmp_path):
     assert rows.columns == EXPORT_COLUMNS
     n = sinks.write_csv_file(rows, str(tmp_path / "x.csv"))
     data = (tmp_path / "x.csv").read_bytes()
-    assert n == 4 and data.startswith(b"\xef\xbb\xbfquiver_id,") and data.count(b"\r\n") == 5
+    # byte for byte what Python's writer makes of the rows
+    buffer = io.StringIO()
+    writer = csv.writer(buffer)
+    writer.writerows([rows.columns, *map(list, sinks.cells(rows).collect())])
+    assert data == b"\xef\xbb\xbf" + buffer.getvalue().encode() and n == len(data)
+    assert data.startswith(b"\xef\xbb\xbfquiver_id,") and data.count(b"\r\n") == 5
     assert b'Q.a,2,"[[0,1],[-1,0]]",finite,1,TRUE,TRUE,TRUE,FALSE,TRUE,1,1,M.1,A2,FALSE,2,' in data and b"Q.c,3," in data
     assert sinks.write_xlsx(rows, str(tmp_path / "x.xlsx")) == 4
     book = zipfile.ZipFile(tmp_path / "x.xlsx")
@@ -85,6 +93,31 @@ def test_export(small, tmp_path):
     assert any(b'"[[0,1],[-1,0]]"' in p.read_bytes() for p in (tmp_path / "many").glob("*.csv"))
 
 
+def test_csv_of_odd_cells(spark, tmp_path):
+    rows = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate(['a,b', 'say "x"', "two\r\nlines", "", None, "é日", " plain ", '"'] * 50)], "`a,b` int, t string, ok boolean").repartition(7).orderBy("`a,b`")
+    sinks.write_csv_file(rows, str(tmp_path / "odd.csv"))
+    buffer = io.StringIO()
+    csv.writer(buffer).writerows([rows.columns, *([str(i), t or "", str(ok).upper()] for i, t, ok in rows.collect())])
+    assert (tmp_path / "odd.csv").read_bytes() == b"\xef\xbb\xbf" + buffer.getvalue().encode()
+    sinks.write_csv_file(rows.limit(0), str(tmp_path / "odd.csv"))
+    assert (tmp_path / "odd.csv").read_bytes() == b'\xef\xbb\xbf"a,b",t,ok\r\n'
+
+
+def test_download(small, spark, tmp_path):
+    log = str(tmp_path / "log")
+    path = small.download(str(tmp_path), log, scope="Labelings", fmt="CSV", email="", rank=2)
+    assert re.search(r"catalogue-labelings-\d{8}-\d{6}\.csv$", path) and open(path, "rb").read().count(b"\r\n") == 5
+    small.download(str(tmp_path), log, fmt="xlsx")
+    rows = {r["fmt"]: r for r in spark.read.parquet(log).collect()}
+    assert (rows["csv"]["row_count"], rows["csv"]["filters"], rows["csv"]["email"], rows["xlsx"]["row_count"]) == (4, '{"rank":"2","scope":"labelings"}', None, 4)
+    for bad in ({"scope": "all"}, {"fmt": "json"}):
+        with pytest.raises(ValueError):
+            small.download(str(tmp_path), log, **bad)
+    (tmp_path / "file").write_text("x")
+    with pytest.warns(UserWarning, match="not logged"):
+        small.download(str(tmp_path), str(tmp_path / "file" / "log"), rank=2)
+
+
 def test_backfills(small, spark):
     assert {r[0]: r[1] for r in small.backfilled_labeling_counts().select("quiver_id", "labeling_count").collect()} == {"Q.a": 2, "Q.b": 1, "Q.c": 1, "Q.d": 1}
     changes = small.mutation_acyclic_changes(spark.createDataFrame([("M.1", True), ("M.2", False), ("M.3", None)], "mc_id string, resolved boolean"))

@@ -44,10 +44,11 @@ def closure(generators, n):
 
 
 def greedy(elements, n):
-    out = []
+    out, made = [], closure([], n)
     for g in sorted(elements):
-        if g not in closure(out, n):
+        if g not in made:
             out.append(g)
+            made = closure(out, n)
     return out
 
 
@@ -72,8 +73,8 @@ def test_against_all_relabelings(m):
 @pytest.mark.parametrize("n", [7, 8])
 def test_groups_of_seven_and_eight_vertices(n):
     rng = random.Random(n)
-    for _ in range(3):
-        half = skew(n // 2, [rng.choice([0, 1, -1]) for _ in range(6)])
+    for _ in range(2):
+        half = skew(n // 2, [rng.choice([1, -1, 0, 2]) for _ in range(6)])
         m = [[half[i % (n // 2)][j % (n // 2)] if i // (n // 2) == j // (n // 2) and max(i, j) < 2 * (n // 2) else 0 for j in range(n)] for i in range(n)]
         elements = [q for q in permutations(range(n)) if relabeled(m, q) == m]
         group = groups.automorphisms(m)
@@ -132,4 +133,4 @@ def test_exact_determinants(spark):
 def test_primes():
     found = inv.primes(20)
     assert found[0] == 2**31 - 1 and [*found] == sorted(found, reverse=True) and all(p % q for p in found for q in range(3, 46_342, 2))
-    assert inv._is_prime(10_007) and not inv._is_prime(10_005) and not inv._is_prime(3_215_031_751 % (1 << 31) | 1)
+    assert inv._is_prime(10_007) and not inv._is_prime(10_005) and not inv._is_prime(46_337 * 46_339)

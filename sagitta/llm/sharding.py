@@ -19,6 +19,8 @@ from .common import table, written
 
 #: Key bits that the first round probes, those that each later round adds, and those below the key.
 FIRST_BITS, MORE_BITS, SALT = 10, 6, 18
+#: Rows of a cell that stand in no other's way; tables of more than 256 million rows get more cells, not larger ones.
+MOST_IN_CELL = 1_000_000
 
 
 def sort_key(text: Column, id_col: Column) -> Column:
@@ -71,7 +73,8 @@ def histogram_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     order. Rows of equal text and id are told apart by where they are stored, so a group of them is divided as any other;
     which of them comes first makes no difference. Texts of any length count whole. An empty table gives no rows.
     Rows are written once to the shared folder, so that probes and exchange see the same. Probe counts grow with
-    ``shards`` and with rows / ``rows_per_cell`` (default: an even 1/1024 of the rows, times 4), not with the table.
+    ``shards`` and with rows / ``rows_per_cell`` (default: an even 1/1024 of the rows,
+    times 4, MOST_IN_CELL at most, since a cell is put in order by one task).
     """
     spark, text = docs.sparkSession, F.col(text_col)
     size = F.coalesce(F.octet_length(text.cast("binary")), F.lit(0)).cast("long") + 1
@@ -80,7 +83,7 @@ def histogram_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = written(docs.select(row.alias("row"), size.alias("size"), sort_key(text, F.col(id_col)).alias("key"), salt.alias("salt")))
     keyed = rows.select("key", "salt", "size")
     n = keyed.count()
-    cells = probe(keyed, shards, tolerance, rows_per_cell or max(1, 4 * n // (1 << FIRST_BITS)))
+    cells = probe(keyed, shards, tolerance, rows_per_cell or max(1, min(MOST_IN_CELL, 4 * n // (1 << FIRST_BITS))))
     total, below, shard, slot, dealt = sum(c[3] for c in cells), 0, 0, 0, defaultdict(list)
     for number, (bits, p, q, size, count) in enumerate(cells):
         # a cell goes to the shard in whose share its middle lies

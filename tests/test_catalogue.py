@@ -138,3 +138,21 @@ def test_log(spark, tmp_path):
     ip = spark.range(1).select(sinks.client_ip(F.lit(" 1.2.3.4 , 5.6.7.8"), F.lit("p")), sinks.client_ip(F.lit(""), F.lit("p")), sinks.client_ip(F.lit(None).cast("string"), F.lit("p"))).collect()[0]
     assert ip[:] == ("1.2.3.4", "p", "p")
     assert sinks.file_name("labelings", "csv").startswith("catalogue-labelings-")
+
+
+def test_a_catalogue_of_five_vertices(spark):
+    """What a path of five vertices and its parts reach, with generators, listings and pages of labelings."""
+    from itertools import permutations
+
+    from sagitta.operators.generate import generation_of
+
+    path = [[(j == i + 1) - (j == i - 1) for j in range(5)] for i in range(5)]
+    matrices = spark.createDataFrame([([r[:n] for r in path[:n]],) for n in range(1, 6)], "matrix array<array<int>>")
+    c = Catalogue.of(spark, generation_of(spark, matrices, max_vertices=5))
+    assert {r["n_vertices"]: r["labeled_size"] for r in c.classes.collect()} == {1: 1, 2: 2, 3: 14, 4: 144, 5: 1_980}
+    for r in c.quivers.where("n_vertices = 5").collect():
+        m, group = r["canonical_matrix"], r["symmetry_group"]
+        own = [p for p in permutations(range(5)) if [[m[i][j] for j in p] for i in p] == m]
+        assert group["order"] == len(own) and (len(own) > 1) == bool(group["generators"]) and all(tuple(g) in own for g in group["generators"])
+    assert c.classes.where("is_banff and is_louise and is_p_prime and is_mutation_acyclic").count() == 5
+    assert c.totals(rank=5).collect()[0]["labeled_total"] == 1_980 and c.list_quivers(scope="labelings", rank=5, offset=1_970, limit=50).count() == 10

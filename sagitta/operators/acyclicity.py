@@ -180,7 +180,9 @@ def mutation_paths(matrices: DataFrame, key: str, **budget) -> DataFrame:
 
     Each isomorphism class is searched once, from its canonical form; a path's vertices are then the matrix's own. A null
     matrix has no row."""
-    own = matrices.where("matrix is not null").withColumn("_p", mx.canonical_permutation(F.col("matrix"))).withColumn("_c", mx.relabel(F.col("matrix"), F.col("_p")))
+    # written before it is used, so that the permutation is not looked for again for each entry
+    own = written(matrices.where("matrix is not null").select(key, "matrix", mx.canonical_permutation(F.col("matrix")).alias("_p")))
+    own = own.withColumn("_c", mx.relabel(F.col("matrix"), F.col("_p")))
 
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

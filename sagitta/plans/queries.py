@@ -382,7 +382,9 @@ def provenance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def la_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each user's quiver leads to an acyclic one in LA_DEPTH mutations with entries up to 8, by how many, and whether they do when replayed."""
     found = ac.mutation_paths(event_quivers(spark, sf_dir), "user_id", timeout=None, max_depth=LA_DEPTH, cap=8)
-    return found.select("user_id", "state", F.when(F.size("path") >= 0, F.size("path")).alias("steps"), F.when(F.col("path").isNotNull(), mx.is_acyclic(ac.replayed(M(), F.col("path")))).alias("replayed"))
+    # a column of its own, so that a matrix is replayed once and not for each of its entries
+    ends = found.withColumn("end", F.when(F.col("path").isNotNull(), ac.replayed(M(), F.col("path"))))
+    return ends.select("user_id", "state", F.when(F.size("path") >= 0, F.size("path")).alias("steps"), F.when(F.col("end").isNotNull(), mx.is_acyclic(F.col("end"))).alias("replayed"))
 
 
 def _items(of):

@@ -200,9 +200,12 @@ def closure(start: DataFrame, bound: int = 2) -> Closure:
 def relabelings(seeds: DataFrame, c: Closure) -> DataFrame:
     """``n, code, class_code, by`` of ``seeds(n, code, ccode, perm)``: the permutation that takes the class's labeled orbit onto the seed's own.
 
-    A member m with the seed's canonical form is taken there by its permutation p; the seed s by q. So p, then the inverse of q, takes m to s."""
+    A member m with the seed's canonical form is taken there by its permutation p; the seed s by q. So p, then the inverse of q, takes m to s.
+    A seed that is a member itself stays as it is, so all seeds of one labeled orbit that holds the representative share it."""
     member = c.labeled.groupBy("n", "ccode").agg(F.min(F.struct("code", "perm", "class_code")).alias("m")).select("n", "ccode", F.col("m.perm").alias("p"), F.col("m.class_code").alias("class_code"))
-    both, bound = seeds.select("n", "code", "ccode", F.col("perm").alias("q")).join(member, ["n", "ccode"]), c.bound
+    itself = c.labeled.select("n", "code", F.col("perm").alias("own"))
+    both = seeds.select("n", "code", "ccode", F.col("perm").alias("q")).join(member, ["n", "ccode"]).join(itself, ["n", "code"], "left").withColumn("p", F.coalesce("own", "p"))
+    bound = c.bound
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

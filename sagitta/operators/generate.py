@@ -8,6 +8,7 @@ the graph of canonical codes, and each class's labeled orbit is closed from its
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import permutations
@@ -23,6 +24,8 @@ from .components import connected_components, lookup_join
 
 #: Up to so many vertices relabelings are written out in expressions; codes go on to MAX_PACKED.
 MAX_VERTICES = 5
+#: Seeds and members of an orbit that meet under one key of a join, and rows of the result that a task makes.
+SEEDS_OF_KEY, MEMBERS_OF_KEY, ROWS_OF_TASK = 200, 5000, 2_000_000
 
 
 def _pairs(n: int) -> list[tuple[int, int]]:
@@ -123,22 +126,42 @@ def _check_seeds(seeds: DataFrame, bound: int) -> None:
         raise ValueError(f"{bad[0]!r} is not a bounded skew-symmetric matrix")
 
 
-def bfs_orbit(spark: SparkSession, seeds: DataFrame, bound: int = 2) -> DataFrame:
+def _expanded_orbits(by_seed: DataFrame, members: DataFrame) -> DataFrame:
+    """``by_seed(seed, orbit)`` and ``members(orbit, matrix, is_boundary)`` joined: a row for each seed and member of its orbit.
+
+    Few orbits may hold nearly all seeds, so those of one orbit are dealt to many keys: SEEDS_OF_KEY seeds meet MEMBERS_OF_KEY members."""
+    sizes = by_seed.groupBy("orbit").agg(F.count(F.lit(1)).alias("seeds")).join(members.groupBy("orbit").agg(F.count(F.lit(1)).alias("members")), "orbit")
+    sizes = written(sizes.select("orbit", F.ceil(F.col("seeds") / SEEDS_OF_KEY).cast("int").alias("a"), F.ceil(F.col("members") / MEMBERS_OF_KEY).cast("int").alias("b"), (F.col("seeds") * F.col("members")).alias("rows")))
+    tasks = (sizes.agg(F.sum("rows")).collect()[0][0] or 0) // ROWS_OF_TASK
+    dealt = lambda rows, own, by, other, each: rows.join(sizes.select("orbit", "a", "b"), "orbit").select("*", F.pmod(F.xxhash64(by), F.col(own)).cast("int").alias(f"in_{own}"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"in_{other}")).select("orbit", "in_a", "in_b", *each)
+    key = ["orbit", "in_a", "in_b"]
+    left, right = dealt(by_seed, "a", "seed", "b", ["seed"]), dealt(members, "b", "matrix", "a", ["matrix", "is_boundary"])
+    if tasks > 1:  # by rows of the result: the joined tables are small, and would be put into a few tasks
+        left, right = left.repartition(tasks, *key), right.repartition(tasks, *key)
+    return left.join(right, key).select("seed", "matrix", "is_boundary")
+
+
+def bfs_orbit(spark: SparkSession, seeds: DataFrame, bound: int = 2, form: Callable[[Column], Column] = lambda m: m) -> DataFrame:
     """``seed, matrix, is_boundary``: all labeled matrices reached from each ``seeds(seed, matrix)`` by mutations within the bound.
 
     ``is_boundary``: some mutation of the matrix leaves the bound. All seeds are closed at once, each class's labeled orbit is made
-    once, and a seed's own is that one relabeled: the closure's work depends on the classes and not on the seeds, and only rows of
-    the result are made for each. Seeds without a matrix have no orbit; a seed with several matrices has theirs together. Raises
-    ValueError for a seed that is not skew-symmetric or not within the bound, or that has more than MAX_PACKED vertices.
+    once, and a seed's own is that one relabeled: the closure's work depends on the classes and not on the seeds. Relabeled orbits,
+    with ``form`` of each matrix, are made once, too, and only rows of the result are made for each seed. Seeds without a matrix
+    have no orbit; a seed with several matrices has theirs together. Raises ValueError for a seed that is not skew-symmetric or
+    not within the bound, or that has more than MAX_PACKED vertices.
     """
+    seeds = written(seeds.select("seed", "matrix"))  # they are read several times
     _check_seeds(seeds, bound)
     check_size(seeds.agg(F.max(F.size("matrix"))).collect()[0][0] or 1, bound)
     own = written(seeds.where(F.size("matrix") > 0).select("seed", F.size("matrix").alias("n"), coded(F.col("matrix"), bound).alias("code")).distinct())
     named = written(canonical_codes(own.select("n", "code").distinct(), bound))
     c = closure(named.select("n", F.col("ccode").alias("code")), bound)
+    orbit_of = F.concat_ws(" ", "n", "class_code", F.array_join("by", ",")).alias("orbit")
+    relabeled = written(relabelings(named, c).select("n", "code", "class_code", "by", orbit_of))
     orbit = decoded(c.labeled.select("n", "code", "class_code", "is_boundary"), bound, MAX_PACKED).drop("code")
-    by_seed = own.join(relabelings(named, c), ["n", "code"]).select("seed", "n", "class_code", "by")
-    found = by_seed.join(orbit, ["n", "class_code"]).select("seed", mx.relabel(F.col("matrix"), F.col("by")).alias("matrix"), "is_boundary")
+    members = relabeled.select("n", "class_code", "by", "orbit").distinct().join(orbit, ["n", "class_code"])
+    members = written(members.select("orbit", form(mx.relabel(F.col("matrix"), F.col("by"))).alias("matrix"), "is_boundary"))
+    found = _expanded_orbits(written(own.join(relabeled.select("n", "code", "orbit"), ["n", "code"]).select("seed", "orbit")), members)
     several = own.groupBy("seed").count().where("count > 1").limit(1).count()
     return found.distinct() if several else found
 

@@ -183,7 +183,7 @@ def dynkin_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bfs_orbit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that the quiver of each user and month reaches."""
-    return generate.bfs_orbit(spark, data_quivers(spark, sf_dir).withColumnRenamed("owner", "seed")).select(F.col("seed").alias("owner"), json_of(M()).alias("matrix"), "is_boundary")
+    return generate.bfs_orbit(spark, data_quivers(spark, sf_dir).withColumnRenamed("owner", "seed"), form=json_of).withColumnRenamed("seed", "owner")
 
 
 def _explored(name: str):

@@ -162,3 +162,24 @@ def test_gluing_counts_unions(spark):
     # three closed ones are one, three open ones are one, and these two are one
     assert G.gluing_counters(frame).collect()[0][:] == (2, 1, 2)
     assert sorted(map(tuple, G.orbit_overlaps(frame).collect())) == [(0, 1, 1), (0, 2, 1), (0, 3, 1), (3, 4, 1), (3, 5, 1)]
+
+
+def test_orbits_of_many_seeds_are_dealt_to_many_tasks(spark, monkeypatch):
+    """Five hundred seeds of one orbit, read once: no task makes a large part of the result, and relabeled orbits are made once."""
+    for name, value in (("SEEDS_OF_KEY", 20), ("MEMBERS_OF_KEY", 10), ("ROWS_OF_TASK", 500)):
+        monkeypatch.setattr(G, name, value, raising=False)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    q = ((0, 1, 0, 0), (-1, 0, 1, 0), (0, -1, 0, 1), (0, 0, -1, 0))
+    ids = spark.range(500, numPartitions=2).mapInArrow(counted, "id long")
+    seeds = ids.select(F.col("id").alias("seed"), F.lit([[*r] for r in q]).alias("matrix"))
+    found = G.bfs_orbit(spark, seeds).select("seed", F.to_json("matrix").alias("m"), F.spark_partition_id().alias("p")).cache()
+    want = len(reached(q))
+    assert found.count() == found.distinct().count() == 500 * want and {r[0] for r in found.groupBy("seed").count().select("count").distinct().collect()} == {want}
+    assert max(r[0] for r in found.groupBy("p").count().select("count").collect()) < 500 * want / 4
+    assert read.value == 500

@@ -19,6 +19,8 @@ from ..sources.storage import table, written
 json_of = F.to_json
 
 
+#: Keys of customers and suppliers whose names stand in their order: nine digits.
+KEYS = 1_000_000_000
 #: Mutations from each user's quiver that la_path looks at.
 LA_DEPTH = 4
 
@@ -274,11 +276,32 @@ def nation_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and suppliers of each month, linked by its order lines."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    edges = written(lines.select(F.format_string("%s/c%09d", "month", "o_custkey").alias("src"), F.format_string("%s/s%09d", "month", "l_suppkey").alias("dst")).distinct())
-    return connected_components(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct(), edges)
+    """Customers and suppliers of each month, linked by its order lines.
+
+    Nodes are numbers in the order of their names: month, kind and key, which take a fraction of the names' room. Keys of more
+    than nine digits (or less than 0) don't stand in order in names; then the names themselves are linked."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    span = lambda rows, key, *more: rows.agg(F.coalesce(F.min(key) >= 0, F.lit(True)) & F.coalesce(F.max(key) < KEYS, F.lit(True)), *more).collect()[0]
+    years = F.coalesce((F.year(F.min("o_orderdate")) >= 0) & (F.year(F.max("o_orderdate")) < 10_000), F.lit(True))
+    by_number = all(span(orders, "o_custkey", years)) and all(span(lines, "l_suppkey"))
+    if by_number:
+        month = (F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).cast("long")
+        node = lambda kind, key: ((F.col("month") * 2 + kind) * KEYS + F.col(key)).alias("src" if kind == 0 else "dst")
+    else:
+        month = F.date_format("o_orderdate", "yyyy-MM")
+        node = lambda kind, key: F.when(F.col(key).isNotNull(), F.concat("month", F.format_string(f"/{'cs'[kind]}%09d", key))).alias("src" if kind == 0 else "dst")
+    met = lines.join(orders.select("o_orderkey", "o_custkey", month.alias("month")), F.col("l_orderkey") == F.col("o_orderkey"))
+    found = connected_components(None, met.select(node(0, "o_custkey"), node(1, "l_suppkey")))
+    if not by_number:
+        return found
+
+    def name(x: str):
+        div = lambda by: F.call_function("div", F.col(x), F.lit(by))
+        text = lambda number, width: F.lpad(number.cast("string"), width, "0")
+        return F.concat(text(div(24 * KEYS), 4), F.lit("-"), text(div(2 * KEYS) % 12 + 1, 2), F.when(div(KEYS) % 2 == 0, "/c").otherwise("/s"), text(F.col(x) % KEYS, 9)).alias(x)
+
+    return found.select(name("node"), name("root"))
 
 
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:

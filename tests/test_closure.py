@@ -183,3 +183,48 @@ def test_orbits_of_many_seeds_are_dealt_to_many_tasks(spark, monkeypatch):
     assert found.count() == found.distinct().count() == 500 * want and {r[0] for r in found.groupBy("seed").count().select("count").distinct().collect()} == {want}
     assert max(r[0] for r in found.groupBy("p").count().select("count").collect()) < 500 * want / 4
     assert read.value == 500
+
+
+def test_components_delete_the_tables_of_their_rounds(spark, tmp_path, monkeypatch):
+    from sagitta.sources import storage
+
+    monkeypatch.setattr(storage, "work_dir", lambda _: f"{tmp_path}/sagitta-{len([*tmp_path.iterdir()])}-{random.random()}")
+    path = spark.range(300).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert [r[:] for r in K.connected_components(path.select(F.col("src").alias("node")), path).groupBy("root").count().collect()] == [(0, 300)]
+    assert len([*tmp_path.iterdir()]) <= 2
+
+
+def test_ends_of_edges_as_nodes(spark):
+    rows = [(1, 2), (2, 3), (5, 5), (7, None), (None, 8), (2, 1)]
+    frame = spark.createDataFrame(rows, "src long, dst long")
+    assert {r[:] for r in K.connected_components(None, frame).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (7, 7), (8, 8), (None, None)}
+
+
+@pytest.mark.parametrize("end", ["src", "dst"])
+def test_components_with_hot_nodes_of_either_end(spark, end):
+    """A hot node in the middle of the numbers has thousands of smaller and of larger neighbours."""
+    n, other = 3000, "dst" if end == "src" else "src"
+    star = spark.range(2 * n).select(F.lit(n).cast("long").alias(end), F.col("id").alias(other))
+    tail = spark.range(1, n).select(F.col("id").alias("src"), (F.col("id") + 10 * n).alias("dst"))
+    found = K.connected_components(None, star.unionByName(tail)).groupBy("root").count().collect()
+    assert [r[:] for r in found] == [(0, 2 * n + n - 1)]
+
+
+@pytest.mark.parametrize("shift", [0, 999_999_990])
+def test_trade_components_by_numbers_and_by_names(spark, tmp_path, shift):
+    """Keys that names don't put in order, and null keys, give what the SQL does."""
+    import duckdb
+
+    from sagitta.plans import oracles, queries
+
+    rng = random.Random(5)
+    orders = [(i, rng.choice([None, *range(1 + shift, 21 + shift)]), rng.choice(["1995-01-31", "1995-02-01", "2001-12-31"])) for i in range(60)]
+    lines = [(rng.randrange(70), rng.choice([None, *range(1 + shift, 16 + shift)])) for _ in range(110)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, d string").withColumn("o_orderdate", F.col("d").cast("date")).drop("d").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    c = duckdb.connect()
+    for name in ("orders", "lineitem"):
+        c.execute(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = c.execute(oracles.SQL["trade_components"]).fetchall()
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted((r[:] for r in queries.trade_components(spark, str(tmp_path)).collect()), key=key) == sorted(want, key=key)

@@ -15,8 +15,9 @@ from sagitta.llm.common import table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, or no letter at all) go; nothing else does, repeated rows and null ids included."""
-    return langid.keep_known(docs, langid.fit(docs, ~langid.held_out()), least_score=0.0)
+    """``lang`` becomes the language that the text is identified as; what stood there is only learned from. Documents without a language
+    (null, or no letter at all) go; nothing else does, repeated rows and null ids included."""
+    return langid.labeled(docs, langid.fit(docs, ~langid.held_out()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +34,10 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian 32-bit) and decoded text of each row that is left; a null text has none."""
+    """Language, token ids (little-endian 32-bit) and decoded text of each row that is left; a null text has none."""
     # the workers hold other stages' memory, too
-    rows = bpe.encode_decode(docs, remembered=40_000, keep=False)
-    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
+    rows = bpe.encode_decode(docs, remembered=40_000, keep=False, others=("lang",))
+    return rows.select("doc_id", "lang", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [("language_id", identify_language), ("near_duplicates", drop_near_duplicates), ("decontamination", remove_benchmark), ("bpe", encode)]

@@ -276,8 +276,8 @@ class Vocabulary:
 _loaded: dict[int, Vocabulary] = {}
 
 
-def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED, keep: bool = True) -> DataFrame:
-    """``doc_id, ids binary (little-endian 32-bit), decoded string`` for every row of ``docs``.
+def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED, keep: bool = True, others: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, ids binary (little-endian 32-bit), decoded string`` for every row of ``docs``, and the columns ``others`` as they are.
 
     A null text is an empty one: no ids, empty decoded text. ``path``: the vocabulary file, on the driver; its text (a
     few MB, fixed) is broadcast. Repeated rows and null ids are kept as they are; texts of any length are encoded whole; an
@@ -297,11 +297,12 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 out = [v.encode(x or "") for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string()), *part.columns[2:]], ["doc_id", "ids", "decoded", *others])
         if not keep:
             _loaded.clear()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(encoded), "doc_id long, ids binary, decoded string")
+    schema = "doc_id long, ids binary, decoded string" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *others).mapInArrow(trimmed(encoded), schema)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,6 +178,24 @@ def keep_known(docs: DataFrame, classifier: Classifier, least_score: float, text
     return docs.mapInArrow(trimmed(kept), docs.schema)
 
 
+def labeled(docs: DataFrame, classifier: Classifier, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that have a language, with the predicted one in ``lang``, whatever stood there; if nothing was learned, those
+    with a letter, as they are. All other columns are kept."""
+    sent = docs.sparkSession.sparkContext.broadcast(classifier)
+    at = docs.columns.index(lang_col)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            texts = b.column(text_col).to_pylist()
+            if not sent.value.langs:
+                yield b.filter(pa.array([bool(t) and len(gram_codes(t)) > 0 for t in texts], pa.bool_()))
+                continue
+            langs = pa.array(sent.value.predict(texts)[0], b.schema.field(at).type)
+            yield b.set_column(at, b.schema.field(at), langs).filter(pc.not_equal(langs, UNKNOWN))
+
+    return docs.mapInArrow(trimmed(told), docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Documents that nothing is learned from; those without an id too."""
     return F.coalesce(crc_mod(F.col(id_col), 4) == 2, F.lit(True))

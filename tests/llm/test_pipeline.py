@@ -3,6 +3,7 @@
 import random
 import re
 import sys
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +103,20 @@ def test_pipeline_is_registered():
     import __spark_entry__
 
     assert "pipeline" in __spark_entry__.queries() and "corpus_pipeline" in sys.modules
+
+
+def test_languages_are_identified_and_kept(spark, tmp_path):
+    """Every row has the language of its text, also where none or a wrong one is given, and brings it to the end."""
+    docs, items = corpus()
+    given = {i: (t, lang) for i, t, lang, *_ in docs if i < 80 and i != 5}
+    # of documents that nothing is learned from some have no language, others a wrong one
+    held = [i for i in given if zlib.crc32(str(i).encode()) % 4 == 2]
+    wrong = {i: None if k % 2 else {"en": "de", "de": "en"}[given[i][1]] for k, i in enumerate(held)}
+    table = spark.createDataFrame([(i, t, wrong.get(i, lang), s, n) for i, t, lang, s, n in docs], COLUMNS)
+    found = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, table, str(tmp_path)).collect()}
+    assert len(held) > 10 and set(found.values()) == {"de", "en"}
+    assert all(found[i] == given[i][1] for i in held if len(given[i][0].split()) >= 20)
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "lang").collect()
+    assert rows and all(found[r["doc_id"]] == r["lang"] for r in rows if r["doc_id"] != 5)

@@ -123,6 +123,25 @@ def test_bpe(spark):
     assert bpe.encode_decode(docs.limit(0)).count() == 0
 
 
+def test_bpe_new_words_go_together(monkeypatch):
+    """Of a batch's thousands of new words only the few longest may be worked on one by one; the ids stay the library's."""
+    tokenizers = pytest.importorskip("tokenizers")
+    library, v = tokenizers.Tokenizer.from_file(bpe.default_path()), bpe.Vocabulary(open(bpe.default_path(), encoding="utf-8").read(), remembered=1000)
+    rng, single, alone = random.Random(8), [], bpe.Vocabulary.symbols
+    monkeypatch.setattr(bpe.Vocabulary, "symbols", lambda self, s: single.append(s) or alone(self, s))
+    word = lambda: "".join(rng.choices("aeinrsthoücß'AÜİȺ²7.,-" if rng.random() < 0.9 else "aé日\u0301Σ😀\x1c", k=rng.randint(1, 14)))
+    texts = [" ".join(word() for _ in range(300)) for _ in range(20)] + ["Ab" * 400 + " end<|endoftext|>" + "é" * 900]
+    for _ in range(2):  # the second time after all were forgotten
+        for text, (ids, decoded) in zip(texts, v.encode(texts)):
+            want = library.encode(text, add_special_tokens=False).ids
+            assert [*memoryview(ids).cast("I")] == want, text
+            assert decoded == library.decode(want, skip_special_tokens=False)
+    assert 0 < len(single) < 2 * bpe.TOGETHER
+    pairs = [(rng.choice([*v.names]), rng.choice([*v.names])) for _ in range(5000)] + [*v.parts.values()][:5000]
+    for _ in range(2):  # computed, then looked up
+        assert v._fit(*bpe.np.array(pairs).T).tolist() == [v.compatible(a, b) for a, b in pairs]
+
+
 def test_bpe_query_digests(spark, tmp_path):
     docs = frame(spark, [(1, "The cat"), (2, None)])
     docs.write.parquet(str(tmp_path / "documents.parquet"))

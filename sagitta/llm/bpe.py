@@ -43,7 +43,7 @@ TOGETHER = 64
 #: Texts that are encoded together.
 TEXTS = 250
 #: Bits of a token id (a pair is one number), of a byte, and of a place in the table of pairs.
-ID_BITS, CHAR_BITS, PAIR_BITS = 20, 8, 20
+ID_BITS, CHAR_BITS, PAIR_BITS = 20, 8, 19
 
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -89,11 +89,15 @@ class Vocabulary:
         spec = json.loads(spec)
         self.ids: dict[str, int] = spec["model"]["vocab"]
         self.special: dict[str, int] = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.names = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        #: of each id
+        self.names = [""] * (max([*self.ids.values(), *self.special.values()]) + 1)
+        for t, i in [*self.ids.items(), *self.special.items()]:
+            self.names[i] = t
         self.chars = byte_chars()
-        #: symbols of each token
-        self.size = {i: len(t.removesuffix(WORD_END)) or len(t) for t, i in self.ids.items()}
-        self.rank: dict[int, int] = {}
+        #: bytes of each token, and the merge that makes it
+        self.size, self.rank = [0] * len(self.names), [-1] * len(self.names)
+        for t, i in self.ids.items():
+            self.size[i] = len(t.removesuffix(WORD_END)) or len(t)
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         for r, (a, b) in enumerate(spec["model"]["merges"]):
@@ -163,7 +167,10 @@ class Vocabulary:
             k = link[s]
             above[s] = k if tokens[k] >= 0 else above[k]
             above[n + s] = k if tokens[n + k] >= 0 else above[n + k]
-        self.link, self.length, self.step, self.tokens, self.above = link, length, step, tokens, above
+        self.link, self.length, self.tokens, self.above = link, length, tokens, above
+        byte = {c: b for b, c in enumerate(self.chars)}
+        # a dict for each state would take twice the memory
+        self.step = {s << CHAR_BITS | byte[c]: k for s, to in enumerate(step) for c, k in to.items()}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges of the joined text of tokens a and b give just (a, b).
@@ -177,7 +184,7 @@ class Vocabulary:
             if r is not None and (r, 1) < before:
                 out = False
                 break
-            rx, ry = self.rank.get(x, -1), self.rank.get(y, -1)
+            rx, ry = self.rank[x], self.rank[y]
             if rx < 0 and ry < 0:
                 out = True
                 break
@@ -190,12 +197,11 @@ class Vocabulary:
 
     def symbols(self, word: bytes) -> list[int]:
         """The ids of one split word."""
-        s = [*map(self.chars.__getitem__, word)]
-        n, step, link, lengths, fits, end = len(s), self.step, self.link, self.length, self.fits, len(self.link)
+        n, step, link, lengths, fits, end = len(word), self.step, self.link, self.length, self.fits, len(self.link)
         state, length, last = 0, 0, [-1]
         for i in range(1, n + 1):
-            c = s[i - 1]
-            while (to := step[state].get(c)) is None and state:
+            c = word[i - 1]
+            while (to := step.get(state << CHAR_BITS | c)) is None and state:
                 state = link[state]
                 length = lengths[state]
             if to is not None:
@@ -224,21 +230,19 @@ class Vocabulary:
 
     def _arrays(self) -> None:
         """The automaton, the merges and the halves of tokens as arrays; ``whole[t]``: whether the text of token t is encoded as t alone."""
-        ids = max(self.names) + 1
-        byte = {c: b for b, c in enumerate(self.chars)}
-        goto = np.array([(s << CHAR_BITS | byte[c], k) for s, to in enumerate(self.step) for c, k in to.items()] + [(1 << 40, 0)])
-        self.goto, self.to = goto[np.argsort(goto[:, 0])].T.copy()
+        goto, to = (np.fromiter(x, np.int64, len(self.step)) for x in (self.step.keys(), self.step.values()))
+        order = np.argsort(goto)
+        self.goto, self.to = np.append(goto[order], 1 << 40), np.append(to[order], 0)
         self.links, self.lengths, self.ends, self.aboves = map(np.array, (self.link, self.length, self.tokens, self.above))
-        self.sizes, self.ranks, self.left, self.right = (np.full(ids, x) for x in (0, -1, -1, -1))
-        for to, column in ((self.sizes, self.size), (self.ranks, self.rank)):
-            to[[*column]] = [*column.values()]
+        self.sizes, self.ranks = np.array(self.size), np.array(self.rank)
+        self.left, self.right = np.full((2, len(self.names)), -1)
         made = sorted(self.parts, key=self.rank.__getitem__)
-        self.left[made], self.right[made] = np.array([self.parts[t] for t in made]).reshape(-1, 2).T
-        pairs = sorted((a << ID_BITS | b, r) for (a, b), r in self.merged.items())
-        self.pairs, self.pair_ranks = np.array([k for k, _ in pairs] + [1 << 60]), np.array([r for _, r in pairs] + [1 << 40])
+        self.left[made], self.right[made] = np.fromiter((x for t in made for x in self.parts[t]), np.int64).reshape(-1, 2).T
+        pairs = np.fromiter((x for (a, b), r in self.merged.items() for x in (a << ID_BITS | b, r)), np.int64).reshape(-1, 2)
+        self.pairs, self.pair_ranks = np.append(pairs[np.argsort(pairs[:, 0])].T, [[1 << 60], [1 << 40]], 1)
         #: Pairs of tokens and in the last bit whether they are compatible; a later pair takes an earlier one's place.
         self.seen = np.full(1 << PAIR_BITS, -1)
-        whole = [True] * ids
+        whole = [True] * len(self.names)
         # the merge that makes t is made, if its halves are left alone until then
         for t, alone in zip(made, self._seam(self.left[made], self.right[made], 4 * self.ranks[made] + 1).tolist()):
             a, b = self.parts[t]
